@@ -25,7 +25,8 @@ STEPS, PLACES, TOLERANCE = 30, 3, 1e-5
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    """Lower-case words between ASCII white space; splitting at one character is Java's fast path."""
+    return F.array_remove(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
 def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, sample: int = SAMPLE, n_words: int = WORDS) -> tuple[list[str], list[float], list[tuple]]:
@@ -60,29 +61,24 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     return names, prior, [(w, odds) for w, odds, _ in got]
 
 
-def posteriors(text: Column, names: list[str], prior: list[float], odds: list[tuple]) -> Column:
-    """An array of one posterior per domain, rounded to PLACES so that documents alike are summed together."""
-    if not names:
-        return F.array().cast("array<double>")
-    present = F.array_intersect(words_of(text), F.array(*(F.lit(w) for w, _ in odds)).cast("array<string>"))
+def with_posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, list[str]]:
+    """``docs`` with posterior (an array with a value per domain, rounded to PLACES so that documents alike are summed
+    together) and n_tokens; each step has a projection of its own, so that a text is split once."""
+    names, prior, odds = learn(docs, labels, domains)
+    df = docs.withColumn("_words", words_of(F.col("text").cast("string")))
+    df = df.withColumns({"n_tokens": F.size("_words").cast("bigint"), "_present": F.array_intersect("_words", F.array(*(F.lit(w) for w, _ in odds)).cast("array<string>"))}).drop("_words")
 
     def logit(k: int) -> Column:
         if not odds:
             return F.lit(float(prior[k]))
         table = F.create_map(*(x for w, o in odds for x in (F.lit(w), F.lit(float(o[k])))))
-        return F.aggregate(present, F.lit(float(prior[k])), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0)))
-
-    logits = F.array(*(logit(k) for k in range(len(names))))
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: F.round(x / total, PLACES))
+        return F.aggregate("_present", F.lit(float(prior[k])), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0)))
 
-
-def with_posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, list[str]]:
-    names, prior, odds = learn(docs, labels, domains)
-    text = F.col("text").cast("string")
-    return docs.withColumn("posterior", posteriors(text, names, prior, odds)).withColumn("n_tokens", F.size(words_of(text)).cast("bigint")), names
+    df = df.withColumn("_logits", F.array(*(logit(k) for k in range(len(names)))).cast("array<double>")).drop("_present")
+    df = df.withColumn("_top", F.array_max("_logits"))
+    df = df.withColumn("_weights", F.transform("_logits", lambda x: F.exp(x - F.col("_top")))).drop("_logits", "_top")
+    df = df.withColumn("_sum", F.aggregate("_weights", F.lit(0.0), lambda a, x: a + x))
+    return df.withColumn("posterior", F.transform("_weights", lambda x: F.round(x / F.col("_sum"), PLACES))).drop("_weights", "_sum"), names
 
 
 def rate_of(posterior: Column, history: list[list[float]]) -> Column:
@@ -123,15 +119,19 @@ def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float] = T
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
-    """``docs`` with posterior (array), domain (the likeliest; ties go to the first name), n_tokens, rate and copies.
+def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, steps: int = STEPS, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with domain (the likeliest; ties go to the first name), posterior (array), n_tokens, rate and copies.
 
-    ``copies`` is the rate rounded down or up by a hash of doc_id and text, so that its mean is the rate; what has zero
-    copies is not part of the mixture. Null and empty texts have no tokens and the priors' posteriors. Labels whose values
-    are null or name no domain are ignored; without labels the rate is 1 everywhere. Repeated rows get equal values.
+    ``copies`` is the rate rounded down or up by a hash of doc_id and text, so that its mean is the rate. With
+    ``columns``, only these of ``docs`` stay, and the texts are read once less. Null and empty texts have no tokens and
+    the priors' posteriors. Labels whose values are null or name no domain are ignored; without labels the rate is 1
+    everywhere. Repeated rows get equal values; an empty table stays empty.
     """
     scored, names = with_posteriors(docs, labels, domains)
-    rate = rate_of(F.col("posterior"), fit_rates(scored, names, targets, steps))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(1_000_000)) / 1_000_000.0
+    scored = scored.withColumn("_draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(1_000_000)) / 1_000_000.0)
+    if columns is not None:
+        scored = cut(scored.select(*columns, "posterior", "n_tokens", "_draw"))
     named = F.element_at(F.array(*(F.lit(d) for d in names)), F.array_position("posterior", F.array_max("posterior")).cast("int")) if names else F.lit(None).cast("string")
-    return scored.withColumn("domain", named).withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("bigint")).cast("bigint"))
+    out = scored.withColumns({"domain": named, "rate": rate_of(F.col("posterior"), fit_rates(scored, names, targets, steps))})
+    copies = F.floor("rate") + (F.col("_draw") < F.col("rate") - F.floor("rate")).cast("bigint")
+    return out.withColumn("copies", copies.cast("bigint")).drop("_draw")

@@ -20,8 +20,7 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "labels"))
-    return mixed.select("doc_id", "domain", "posterior", "n_tokens", "rate", "copies")
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "labels"), columns=["doc_id"])
 
 
 def op4_warc_revisits(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +78,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 m AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
 r AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS pos FROM g JOIN m USING (k) WHERE first < doc_id) GROUP BY doc_id),
-o AS (SELECT doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, at: NOT list_contains(gone, at)) END AS kept FROM d LEFT JOIN r USING (doc_id))
+o AS (SELECT doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, place: NOT list_contains(gone, place)) END AS kept FROM d LEFT JOIN r USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM o
 """
 
@@ -100,10 +99,10 @@ FROM j LEFT JOIN t ON j.host = t.host
 _OP7 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-i AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[at:at + 12], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS at FROM b WHERE len(w) > 0)),
-g AS (SELECT doc_id, at, n, array_to_string(w[at:at + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM d, (SELECT DISTINCT n FROM i))),
-o AS (SELECT doc_id, at, g.n, item_id FROM g JOIN i ON g.k = i.k AND g.n = i.n),
-p AS (SELECT doc_id, count(DISTINCT pos) AS hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS pos FROM o) GROUP BY doc_id),
+i AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[place:place + 12], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS place FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, place, n, array_to_string(w[place:place + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS place FROM d, (SELECT DISTINCT n FROM i))),
+o AS (SELECT doc_id, place, g.n, item_id FROM g JOIN i ON g.k = i.k AND g.n = i.n),
+p AS (SELECT doc_id, count(DISTINCT pos) AS hit FROM (SELECT doc_id, unnest(range(place, place + n)) AS pos FROM o) GROUP BY doc_id),
 x AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
     coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated
