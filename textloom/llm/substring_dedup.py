@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions
@@ -55,55 +55,68 @@ def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-_SEEDS = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("seeds", pa.binary()), ("known", pa.bool_())])
+#: Bytes of a seed that travel; the top byte is implied by the bucket, which is a range of the top bits.
+SEED_BYTES = 7
+_LOW = np.uint64((1 << 56) - 1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :SEED_BYTES].tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // SEED_BYTES, 8), np.uint8)
+    out[:, :SEED_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, SEED_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+_SEEDS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("seeds", pa.binary()), ("known", pa.bool_())])
 
 
 def _seed_rows(buckets: int, window: int) -> Callable:
     """Packs the seeds of slabs of documents by bucket. Of a seed that several documents of a slab hold, only the
     smallest document asks the block; the others are answered at once."""
 
-    def slab(keys: list[int], ids: list[int], seeds: list[np.ndarray]) -> Iterator[tuple]:
+    def slab(ids: list[int], seeds: list[np.ndarray]) -> Iterator[tuple]:
         order = np.argsort(np.array(ids, np.int64), kind="stable")
-        keys, ids, seeds = np.array(keys, np.int64)[order], np.array(ids, np.int64)[order], [seeds[k] for k in order]
+        ids, seeds = np.array(ids, np.int64)[order], [seeds[k] for k in order]
         h = np.concatenate(seeds)
         owner = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
-        if not len(h):
-            return
         by = np.argsort(h, kind="stable")  # documents stay in order of their ids
         hs, os = h[by], owner[by]
         start = np.concatenate([[True], hs[1:] != hs[:-1]])
         first = os[np.flatnonzero(start)][np.cumsum(start) - 1]
         known = ids[os] > ids[first]
-        ask = start & ~known
-        for flag, which in ((True, known & np.concatenate([[True], (hs[1:] != hs[:-1]) | (os[1:] != os[:-1])])), (False, ask)):
+        told = known & (start | np.concatenate([[True], os[1:] != os[:-1]]))
+        for flag, which in ((True, told), (False, start)):
             x, o = hs[which], os[which]
-            b = np.remainder(keys[o], buckets) if flag else (x >> np.uint64(32)).astype(np.int64) % buckets
+            b = np.remainder(ids[o], buckets) if flag else (((x >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
             by = np.lexsort((o, b))
             x, o, b = x[by], o[by], b[by]
             for s, e in _stretches(b):
                 docs, counts = np.unique(o[s:e], return_counts=True)
-                yield int(b[s]), keys[docs].tobytes(), ids[docs].tobytes(), counts.astype(np.int32).tobytes(), x[s:e].tobytes(), flag
+                gaps = np.diff(ids[docs], prepend=np.int64(0))  # small numbers, so that they compress
+                yield int(b[s]), gaps.tobytes(), counts.astype(np.int32).tobytes(), _packed(x[s:e]), flag
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, seeds, held = [], [], [], 0
+        ids, seeds, held = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(slab(keys, ids, seeds))
+            rows = list(slab(ids, seeds))
             for at in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), _SEEDS.types, strict=True)], schema=_SEEDS)
 
         for b in batches:
-            for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = seeds_of(words_of(t.as_buffer().to_pybytes() if t.is_valid else None), window)
                 if not len(x):
                     continue
-                keys.append(k)
-                ids.append(NO_ID if i is None else i)
+                ids.append(i)
                 seeds.append(x)
                 held += len(x)
                 if held >= SLAB:
                     yield from out()
-                    keys, ids, seeds, held = [], [], [], 0
+                    ids, seeds, held = [], [], 0
         if seeds:
             yield from out()
 
@@ -117,21 +130,20 @@ def _blocks() -> Callable:
     """Each bucket as a reference block: its seeds sorted, with the smallest document of each, answer all that asked."""
 
     def answer(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
-        docs = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
-        ids = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
-        counts = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
-        seeds = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
-        owner = np.repeat(np.arange(len(docs)), counts)
+        docs = np.concatenate([np.cumsum(np.frombuffer(r[1], np.int64)) for r in rows])
+        counts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
+        seeds = np.concatenate([_unpacked(r[3]) for r in rows])
+        owner = np.repeat(docs, counts)
         by = np.argsort(seeds, kind="stable")
         hs, who = seeds[by], owner[by]
         start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-        least = np.minimum.reduceat(ids[who], start)
-        known = ids[who] > np.repeat(least, np.diff(np.concatenate([start, [len(hs)]])))
+        least = np.minimum.reduceat(who, start)
+        known = who > np.repeat(least, np.diff(np.concatenate([start, [len(hs)]])))
         x, o = hs[known], who[known]
         by = np.argsort(o, kind="stable")
         x, o = x[by], o[by]
         for s, e in _stretches(o):
-            yield int(docs[o[s]]), x[s:e].tobytes()
+            yield int(o[s]), _packed(x[s:e])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -144,10 +156,10 @@ def _blocks() -> Callable:
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[5]:
-                    counts = np.frombuffer(r[3], np.int32)
-                    ends = np.cumsum(counts) * 8
-                    out.extend((int(k), r[4][e - 8 * c : e]) for k, c, e in zip(np.frombuffer(r[1], np.int64), counts.tolist(), ends.tolist(), strict=True))
+                if r[4]:
+                    counts = np.frombuffer(r[2], np.int32)
+                    ends = np.cumsum(counts) * SEED_BYTES
+                    out.extend((int(k), r[3][e - SEED_BYTES * c : e]) for k, c, e in zip(np.cumsum(np.frombuffer(r[1], np.int64)), counts.tolist(), ends.tolist(), strict=True))
                     continue
                 if held and held[0][0] != r[0]:
                     out.extend(answer(held))
@@ -175,7 +187,7 @@ def _parse(window: int, digest_only: bool) -> Callable:
                 n, found = len(words), []
                 if known:
                     seeds = seeds_of(words, window)
-                    found = factors(np.isin(seeds, np.concatenate([np.frombuffer(x, np.uint64) for x in known])), window)
+                    found = factors(np.isin(seeds & _LOW, np.concatenate([_unpacked(x) for x in known])), window)
                     drop = np.zeros(n, bool)
                     for s, size in found:
                         drop[s : s + size] = True
@@ -190,10 +202,6 @@ def _parse(window: int, digest_only: bool) -> Callable:
     return run
 
 
-def doc_key() -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, digest_only: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, unless ``digest_only``, kept_text and factors.
 
@@ -202,9 +210,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     words; a null doc_id comes after every number. Rows with equal doc_id never make each other duplicate. Repeated rows
     are repeated in the result; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc", doc_key())
-    buckets = 8 * partitions(docs.sparkSession)
-    packed = rows.select("doc", "doc_id", "text").mapInArrow(_seed_rows(buckets, window), "bucket long, docs binary, ids binary, counts binary, seeds binary, known boolean")
-    known = packed.repartition("bucket").sortWithinPartitions("bucket", "known").mapInArrow(_blocks(), "doc long, known binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    buckets = min(1 << 24, 2 * partitions(docs.sparkSession))
+    packed = rows.select(own.alias("doc"), "text").mapInArrow(_seed_rows(buckets, window), "bucket long, ids binary, counts binary, seeds binary, known boolean")
+    known = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(), "doc long, known binary")
     known = known.groupBy("doc").agg(F.collect_list("known").alias("known"))
-    return rows.join(known.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("doc_id", "text", "known").mapInArrow(_parse(window, digest_only), _OUT_DIGEST if digest_only else _OUT)
+    return rows.join(known, own == F.col("doc"), "left").select("doc_id", "text", "known").mapInArrow(_parse(window, digest_only), _OUT_DIGEST if digest_only else _OUT)
