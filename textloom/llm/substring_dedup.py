@@ -10,6 +10,7 @@ the reference too; it ends at the first that isn't. A factor is at least one win
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,7 +91,7 @@ def _seed_rows(buckets: int, window: int) -> Callable:
         told = known & (start | np.concatenate([[True], os[1:] != os[:-1]]))
         for flag, which in ((True, told), (False, start)):
             x, o = hs[which], os[which]
-            b = np.remainder(ids[o], buckets) if flag else (((x >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+            b = (((x >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
             by = np.lexsort((o, b))
             x, o, b = x[by], o[by], b[by]
             for s, e in _stretches(b):
@@ -123,55 +124,69 @@ def _seed_rows(buckets: int, window: int) -> Callable:
     return run
 
 
+_REPLIES = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("seeds", pa.binary())])
 _KNOWN = pa.schema([("doc", pa.int64()), ("known", pa.binary())])
 
 
-def _blocks() -> Callable:
+def _by_key(batches: Iterator[pa.RecordBatch], answer: Callable) -> Iterator[tuple]:
+    """What ``answer`` makes of the rows of each key; they come sorted by it."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][0] != r[0]:
+                yield from answer(held)
+                held = []
+            held.append(r)
+    if held:
+        yield from answer(held)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _replies(x: np.ndarray, who: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Packed (document, seed) by the part that gathers the document's replies."""
+    part = np.remainder(who, parts)
+    by = np.lexsort((who, part))
+    x, who, part = x[by], who[by], part[by]
+    for s, e in _stretches(part):
+        ids, counts = np.unique(who[s:e], return_counts=True)
+        yield int(part[s]), np.diff(ids, prepend=np.int64(0)).tobytes(), counts.astype(np.int32).tobytes(), _packed(x[s:e])
+
+
+def _blocks(parts: int) -> Callable:
     """Each bucket as a reference block: its seeds sorted, with the smallest document of each, answer all that asked."""
 
-    def answer(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
-        docs = np.concatenate([np.cumsum(np.frombuffer(r[1], np.int64)) for r in rows])
-        counts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
+    def answer(rows: list[tuple]) -> Iterator[tuple]:
         seeds = np.concatenate([_unpacked(r[3]) for r in rows])
-        owner = np.repeat(docs, counts)
+        owner = np.concatenate([np.repeat(np.cumsum(np.frombuffer(r[1], np.int64)), np.frombuffer(r[2], np.int32)) for r in rows])
+        told = np.repeat(np.array([r[4] for r in rows]), [len(r[3]) // SEED_BYTES for r in rows])
+        yield from _replies(seeds[told], owner[told], parts)
+        seeds, owner = seeds[~told], owner[~told]
         by = np.argsort(seeds, kind="stable")
         hs, who = seeds[by], owner[by]
-        start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-        least = np.minimum.reduceat(who, start)
+        start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(who, start) if len(hs) else who
         known = who > np.repeat(least, np.diff(np.concatenate([start, [len(hs)]])))
-        x, o = hs[known], who[known]
-        by = np.argsort(o, kind="stable")
-        x, o = x[by], o[by]
-        for s, e in _stretches(o):
-            yield int(o[s]), _packed(x[s:e])
+        yield from _replies(hs[known], who[known], parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple[int, bytes]] = []
+    return lambda batches: _batches(_by_key(batches, answer), _REPLIES, 500)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5000], strict=True), _KNOWN.types, strict=True)], schema=_KNOWN)
-            out.clear()
 
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[4]:
-                    counts = np.frombuffer(r[2], np.int32)
-                    ends = np.cumsum(counts) * SEED_BYTES
-                    out.extend((int(k), r[3][e - SEED_BYTES * c : e]) for k, c, e in zip(np.cumsum(np.frombuffer(r[1], np.int64)), counts.tolist(), ends.tolist(), strict=True))
-                    continue
-                if held and held[0][0] != r[0]:
-                    out.extend(answer(held))
-                    held = []
-                held.append(r)
-            if len(out) > 20_000:
-                yield from flush()
-        if held:
-            out.extend(answer(held))
-        yield from flush()
+def _gathered() -> Callable:
+    """One row per document with all its known seeds."""
 
-    return run
+    def answer(rows: list[tuple]) -> Iterator[tuple]:
+        seeds = np.concatenate([_unpacked(r[3]) for r in rows])
+        owner = np.concatenate([np.repeat(np.cumsum(np.frombuffer(r[1], np.int64)), np.frombuffer(r[2], np.int32)) for r in rows])
+        by = np.argsort(owner, kind="stable")
+        seeds, owner = seeds[by], owner[by]
+        for s, e in _stretches(owner):
+            yield int(owner[s]), _packed(seeds[s:e])
+
+    return lambda batches: _batches(_by_key(batches, answer), _KNOWN, 2000)
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:bigint,words:bigint>>"
@@ -187,7 +202,7 @@ def _parse(window: int, digest_only: bool) -> Callable:
                 n, found = len(words), []
                 if known:
                     seeds = seeds_of(words, window)
-                    found = factors(np.isin(seeds & _LOW, np.concatenate([_unpacked(x) for x in known])), window)
+                    found = factors(np.isin(seeds & _LOW, _unpacked(known)), window)
                     drop = np.zeros(n, bool)
                     for s, size in found:
                         drop[s : s + size] = True
@@ -214,6 +229,6 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     own = F.coalesce("doc_id", F.lit(NO_ID))
     buckets = min(1 << 24, 2 * partitions(docs.sparkSession))
     packed = rows.select(own.alias("doc"), "text").mapInArrow(_seed_rows(buckets, window), "bucket long, ids binary, counts binary, seeds binary, known boolean")
-    known = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(), "doc long, known binary")
-    known = known.groupBy("doc").agg(F.collect_list("known").alias("known"))
+    replies = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(buckets), "part long, ids binary, counts binary, seeds binary")
+    known = replies.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered(), "doc long, known binary")
     return rows.join(known, own == F.col("doc"), "left").select("doc_id", "text", "known").mapInArrow(_parse(window, digest_only), _OUT_DIGEST if digest_only else _OUT)
