@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import partitions
 
 WINDOW = 13
-SLAB = 3_000_000
+SLAB = 1_500_000
 #: A document without an id comes after all others.
 NO_ID = (1 << 63) - 1
 
@@ -163,14 +163,14 @@ def _blocks(parts: int) -> Callable:
         seeds = np.concatenate([_unpacked(r[3]) for r in rows])
         owner = np.concatenate([np.repeat(np.cumsum(np.frombuffer(r[1], np.int64)), np.frombuffer(r[2], np.int32)) for r in rows])
         told = np.repeat(np.array([r[4] for r in rows]), [len(r[3]) // SEED_BYTES for r in rows])
-        yield from _replies(seeds[told], owner[told], parts)
+        told_seeds, told_owner = seeds[told], owner[told]
         seeds, owner = seeds[~told], owner[~told]
         by = np.argsort(seeds, kind="stable")
         hs, who = seeds[by], owner[by]
         start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
         least = np.minimum.reduceat(who, start) if len(hs) else who
         known = who > np.repeat(least, np.diff(np.concatenate([start, [len(hs)]])))
-        yield from _replies(hs[known], who[known], parts)
+        yield from _replies(np.concatenate([told_seeds, hs[known]]), np.concatenate([told_owner, who[known]]), parts)
 
     return lambda batches: _batches(_by_key(batches, answer), _REPLIES, 500)
 
@@ -229,6 +229,6 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, digest_only: bool = F
     own = F.coalesce("doc_id", F.lit(NO_ID))
     buckets = min(1 << 24, 2 * partitions(docs.sparkSession))
     packed = rows.select(own.alias("doc"), "text").mapInArrow(_seed_rows(buckets, window), "bucket long, ids binary, counts binary, seeds binary, known boolean")
-    replies = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(buckets), "part long, ids binary, counts binary, seeds binary")
+    replies = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(partitions(docs.sparkSession)), "part long, ids binary, counts binary, seeds binary")
     known = replies.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered(), "doc long, known binary")
     return rows.join(known, own == F.col("doc"), "left").select("doc_id", "text", "known").mapInArrow(_parse(window, digest_only), _OUT_DIGEST if digest_only else _OUT)
