@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import punctuation
 from ..functions.text import paragraphs
-from ..operators import glossary, layout, matching, quality
+from ..operators import cells, events, glossary, imports, layout, matching, quality
 from ..sources import readers
 from . import registry as r
 from .registry import table
@@ -87,6 +87,40 @@ def _dup_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.dup_lines(_boxes(lines, 800).withColumn("conf", (F.col("x0") % 100 / 100).cast("double")))
 
 
+def _papers(orders: DataFrame, least: int, size: int, name: str = "box") -> DataFrame:
+    """Boxes made of a customer's orders, those whose key leaves at least ``least`` over three."""
+    x, y, k = F.col("o_orderkey") * 7 % 1000, F.col("o_orderkey") * 13 % 1000, F.col("o_orderkey")
+    return orders.where((k % 3 == 0) if least == 0 else (k % 3 > 0)).select(F.col("o_custkey").alias("page"), k.alias(name), x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + size).alias("y1"), "o_orderpriority", "o_orderstatus")
+
+
+def _owners(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "text").when(F.col("o_orderstatus") == "O", "ad").otherwise("table")
+    return cells.line_owners(_papers(orders, 1, 20).withColumn("score", F.col("box") % 10 / 10), _papers(orders, 0, 400, "block").withColumn("kind", kind))
+
+
+def _cell_texts(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return cells.cell_texts(_papers(orders, 1, 20).withColumnRenamed("o_orderpriority", "text"), _papers(orders, 0, 400, "cell"))
+
+
+def _import(spark: SparkSession, d: str, overwrite: bool) -> DataFrame:
+    part = table(spark, d, "part")
+    had = part.where("p_size = 50").groupBy(F.col("p_name").alias("source")).agg(F.max_by("p_brand", "p_partkey").alias("target"))
+    return imports.import_outcomes(had, part.where("p_size <> 50").select(F.col("p_name").alias("source"), F.col("p_brand").alias("target"), F.col("p_partkey").alias("arrival")), overwrite)
+
+
+def _usage_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Use of two runs: events of even and of odd numbers."""
+    e = table(spark, d, "events")
+    part = lambda k: events.usage_rollup(events.usage_facts(e.where(F.col("event_id") % 2 == k)))
+    return imports.usage_merge(part(0), part(1))
+
+
+def _gates(spark: SparkSession, d: str) -> DataFrame:
+    return imports.gates(quality.align_issues(quality.pairs(table(spark, d, "conversations"))), _term_rate(spark, d), glossary.conflicts(r._merged(spark, d)))
+
+
 def _term_rate(spark: SparkSession, d: str) -> DataFrame:
     terms = glossary.ascii_terms(table(spark, d, "benchmark")).select("source", F.col("source").alias("target"), F.lit("").alias("type"), F.lit(None).cast("array<string>").alias("aliases"))
     pairs = quality.pairs(table(spark, d, "conversations")).withColumn("pair", F.concat_ws(":", "conv_id", "turn"))
@@ -117,6 +151,13 @@ def queries() -> dict[str, Query]:
         "line_block_join": _line_blocks,
         "dup_lines": _dup_lines,
         "layout_order": lambda s, d: layout.layout_order(_boxes(table(s, d, "lineitem"), 50)),
+        "line_owners": _owners,
+        "cell_texts": _cell_texts,
+        "merged_cells": lambda s, d: cells.merged_cells(_papers(table(s, d, "orders"), 0, 300)),
+        "glossary_import": lambda s, d: _import(s, d, False),
+        "glossary_overwrite": lambda s, d: _import(s, d, True),
+        "usage_merge": _usage_merge,
+        "gates": _gates,
         "term_rate": _term_rate,
         "term_counts_any_script": _scripts,
         "conflict_filter": lambda s, d: glossary.conflicts(r._merged(s, d)).where("not resolved").select("source", "nth", "existing_target", "proposed_target"),
@@ -130,6 +171,10 @@ def queries() -> dict[str, Query]:
     }
 
 
+_PAPER = "SELECT o_custkey AS page, o_orderkey AS {1}, o_orderkey * 7 % 1000 AS x0, o_orderkey * 13 % 1000 AS y0, o_orderkey * 7 % 1000 + {0} AS x1, o_orderkey * 13 % 1000 + {0} AS y1, o_orderpriority AS text, CASE o_orderstatus WHEN 'F' THEN 'text' WHEN 'O' THEN 'ad' ELSE 'table' END AS kind FROM orders WHERE o_orderkey % 3 {2} 0"
+_IN = "l.page = b.page AND {0} BETWEEN b.x0 AND b.x1 AND {1} BETWEEN b.y0 AND b.y1"
+_IMPORT = """had AS (SELECT p_name AS source, arg_max(p_brand, p_partkey) AS had FROM part WHERE p_size = 50 GROUP BY p_name),
+i AS (SELECT p_partkey AS arrival, p_name AS source, p_brand AS target, had, first(p_brand) OVER v AS f, row_number() OVER v AS rank FROM part LEFT JOIN had ON p_name = source WHERE p_size <> 50 WINDOW v AS (PARTITION BY p_name ORDER BY p_partkey))"""
 _BOX = "SELECT l_orderkey AS page, l_linenumber AS box, l_partkey % 1000 AS x0, l_suppkey * 37 % 1000 AS y0, l_partkey % 1000 + {0} + l_linenumber * 10 AS x1, l_suppkey * 37 % 1000 + {0} AS y1 FROM lineitem"
 
 
@@ -153,6 +198,11 @@ def oracle_sql() -> dict[str, str]:
                 FROM s JOIN n ON n.page = s.page AND n.i = s.i + 1))
             SELECT page, r.box, r.x0, r.y0, r.x1, r.y1, r.conf FROM (SELECT page, g, arg_max({{'box': box, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'conf': conf}}, i) AS r FROM s GROUP BY page, g)""",
         "term_rate": f"WITH {r._PAIRS}, {r._HITS.split(',' + chr(10))[0]}, k AS (SELECT conv_id, turn, source, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(replace(lower(src), 'ß', 'ss'), '[a-z0-9_]+')) AS source FROM pr) JOIN w USING (source) GROUP BY ALL), z2 AS (SELECT conv_id, turn, source, count(*) AS m FROM (SELECT conv_id, turn, unnest(regexp_extract_all(replace(lower(zh), 'ß', 'ss'), '[a-z0-9_]+')) AS source FROM pr) GROUP BY ALL), t AS (SELECT coalesce(sum(n), 0)::BIGINT AS expected, coalesce(sum(greatest(n - coalesce(m, 0), 0)), 0)::BIGINT AS violations FROM k LEFT JOIN z2 USING (conv_id, turn, source)) SELECT *, CASE WHEN expected = 0 THEN 1.0::DOUBLE ELSE round_even(1 - violations::DOUBLE / expected::DOUBLE, 4) END AS rate FROM t",
+        "line_owners": f"WITH l AS ({_PAPER.format(20, 'box', '>')}), b AS ({_PAPER.format(400, 'block', '=')}), h AS (SELECT l.page, l.box, b.kind, b.block, row_number() OVER (PARTITION BY l.page, l.box ORDER BY CASE b.kind WHEN 'text' THEN 0 WHEN 'ad' THEN 1 ELSE 2 END, b.block) AS k FROM l LEFT JOIN b ON {_IN.format('(l.x0 + l.x1) // 2', '(l.y0 + l.y1) // 2')} WHERE l.box % 10 > 0) SELECT page, box, coalesce(kind, 'independent') AS kind, block FROM h WHERE k = 1",
+        "cell_texts": f"WITH l AS ({_PAPER.format(20, 'box', '>')}), b AS ({_PAPER.format(400, 'cell', '=')}), h AS (SELECT l.*, b.cell, row_number() OVER (PARTITION BY l.page, l.box ORDER BY (l.x0 + l.x1 - b.x0 - b.x1) ** 2 + (l.y0 + l.y1 - b.y0 - b.y1) ** 2, b.cell) AS k FROM l JOIN b ON {_IN.format('(l.x0 + l.x1) / 2', '(l.y0 + l.y1) / 2')}) SELECT b.page, b.cell, coalesce(content, '') AS content FROM b LEFT JOIN (SELECT page, cell, string_agg(text, '' ORDER BY y0, x0, box) AS content FROM h WHERE k = 1 GROUP BY page, cell) USING (page, cell)",
+        "glossary_import": f"WITH {_IMPORT} SELECT arrival, source, target, CASE WHEN had IS NULL AND rank = 1 THEN 'added' WHEN target = coalesce(had, f) THEN 'updated' ELSE 'skipped' END AS outcome FROM i",
+        "glossary_overwrite": f"WITH {_IMPORT} SELECT arrival, source, target, CASE WHEN had IS NULL AND rank = 1 THEN 'added' ELSE 'updated' END AS outcome FROM i",
+        "usage_merge": f"WITH {r._USAGE} SELECT 'tier' AS level, tier AS name, count(*) AS calls, sum(tokens)::BIGINT AS tokens FROM f GROUP BY tier UNION ALL SELECT 'stage', stage, count(*), sum(tokens)::BIGINT FROM f WHERE stage IS NOT NULL GROUP BY stage UNION ALL SELECT 'total', 'all', count(*), sum(tokens)::BIGINT FROM f",
         "term_counts_any_script": f"WITH {r._HITS} SELECT * FROM h",
         "conflict_filter": f"WITH {r._MERGE} SELECT source, nth, existing_target, proposed_target FROM cf WHERE NOT resolved",
         "export_projection": f"WITH {r._MERGE} SELECT source, target, 'auto' AS origin FROM mg WHERE action = 'inserted'",
