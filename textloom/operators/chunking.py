@@ -34,26 +34,32 @@ def chunks(docs: DataFrame, target: int = TARGET, longest: int = LONGEST, separa
         return F.when(is_heading(p), F.array(unit(i, yes, no, p))).when(F.length(p) > longest, cut).otherwise(F.array(unit(i, no, no, p)))
 
     listed = docs.select("doc_id", F.flatten(F.transform(paragraphs(F.col("text"), separator), units)).alias("units"))
-    chunk = "struct<para:int,head:boolean,n:int,texts:array<string>>"
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("cur"), F.lit(0).alias("len"), F.lit(-1).alias("para"), no.alias("head"), no.alias("long"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("len"), F.lit(-1).alias("para"), no.alias("head"), no.alias("long"))
 
     def fold(a, u):
-        fresh = a["cur"].isNull() | u["head"] | a["head"] | (u["long"] != a["long"]) | (u["long"] & (u["para"] != a["para"])) | (a["len"] + F.length(u["t"]) > target)
-        new = F.struct(u["para"].alias("para"), u["head"].alias("head"), F.lit(1).alias("n"), F.array(u["t"]).alias("texts"))
-        more = F.struct(a["cur"]["para"].alias("para"), a["cur"]["head"].alias("head"), (a["cur"]["n"] + 1).alias("n"), F.concat(a["cur"]["texts"], F.array(u["t"])).alias("texts"))
-        done = F.when(fresh & a["cur"].isNotNull(), F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
+        fresh = (a["i"] == 0) | u["head"] | a["head"] | (u["long"] != a["long"]) | (u["long"] & (u["para"] != a["para"])) | (a["len"] + F.length(u["t"]) > target)
+        starts = F.when(fresh, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"])
         length = F.when(fresh, F.length(u["t"])).otherwise(a["len"] + F.length(u["t"]))
-        return F.struct(done.alias("done"), F.when(fresh, new).otherwise(more).alias("cur"), length.alias("len"), u["para"].alias("para"), u["head"].alias("head"), u["long"].alias("long"))
+        return F.struct(starts.alias("starts"), (a["i"] + 1).alias("i"), length.alias("len"), u["para"].alias("para"), u["head"].alias("head"), u["long"].alias("long"))
 
-    folded = listed.where(F.size("units") > 0).select("doc_id", F.aggregate("units", start, fold, lambda a: F.concat(a["done"], F.array(a["cur"]))).alias("cs"))
-    one = folded.select("doc_id", F.posexplode("cs").alias("k", "c"))
-    return one.select("doc_id", (F.col("k") + 1).alias("chunk"), F.array_join("c.texts", "\n\n").alias("body"), F.col("c.n").alias("paragraphs"), F.col("c.para").alias("start_paragraph"), F.col("c.head").alias("is_head"))
+    # The fold keeps only where chunks begin, so its state grows with the chunks and not with the text.
+    begun = listed.select("doc_id", "units", F.aggregate("units", start, fold, lambda a: a["starts"]).alias("starts"))
+    end = lambda k: F.coalesce(F.try_element_at("starts", k + 2), F.size("units"))
+    one = begun.select("doc_id", F.posexplode(F.transform("starts", lambda s, k: F.slice("units", s + 1, end(k) - s))).alias("k", "u"))
+    first = F.col("u")[0]
+    return one.select("doc_id", (F.col("k") + 1).alias("chunk"), F.array_join("u.t", "\n\n").alias("body"), F.size("u").alias("paragraphs"), first["para"].alias("start_paragraph"), first["head"].alias("is_head"))
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """Documents dealt by id: the windows over their chunks then need no shuffle of their own, and few large files no longer
+    mean few tasks."""
+    return docs.select("doc_id", "text").repartition("doc_id")
 
 
 def chunk_structure(docs: DataFrame, target: int = TARGET, longest: int = LONGEST, separator: str = LINES) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy("chunk")
     opened = F.lag("body").over(by)
-    return chunks(docs, target, longest, separator).select(
+    return chunks(_spread(docs), target, longest, separator).select(
         "doc_id", "chunk", F.length("body").alias("chars"), "paragraphs", "start_paragraph", "is_head",
         F.sum(F.col("is_head").cast("bigint")).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("chapter_index"),
         F.coalesce(ends_open(opened), F.lit(False)).alias("starts_mid_sentence"), ends_open(F.col("body")).alias("ends_mid_sentence"), F.sha2("body", 256).alias("sha256"),
@@ -63,7 +69,7 @@ def chunk_structure(docs: DataFrame, target: int = TARGET, longest: int = LONGES
 def boundary_suspects(docs: DataFrame) -> DataFrame:
     """Neighbours whose boundary falls inside a sentence, with 40 characters of either side."""
     by = Window.partitionBy("doc_id").orderBy("chunk")
-    pairs = chunks(docs).select("doc_id", "chunk", "body", F.lag("body").over(by).alias("prev"))
+    pairs = chunks(_spread(docs)).select("doc_id", "chunk", "body", F.lag("body").over(by).alias("prev"))
     return pairs.where(F.col("prev").isNotNull() & ends_open(strip("prev"))).select("doc_id", (F.col("chunk") - 1).alias("prev_chunk"), F.col("chunk").alias("next_chunk"), F.right(strip("prev"), F.lit(40)).alias("prev_end"), F.left(strip("body"), F.lit(40)).alias("cur_start"))
 
 
