@@ -45,3 +45,11 @@ def ends_open(c: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"([0-9]+)"), 1)
+
+
+def first_line_with(c: Column, needle: Column, longest: int = 60) -> Column:
+    """(line, excerpt): the number, from 0, of the first line that holds ``needle``, and its text, cut to ``longest`` characters; null without one."""
+    numbered = F.transform(F.split(c, "\n"), lambda x, i: F.struct(i.alias("line"), strip(x).alias("t"), F.contains(x, needle).alias("has")))
+    first = F.try_element_at(F.filter(numbered, lambda r: r["has"]), F.lit(1))
+    cut = F.when(F.length(first["t"]) <= longest, first["t"]).otherwise(F.concat(F.left(first["t"], F.lit(longest - 3)), F.lit("…")))
+    return F.when(first.isNotNull(), F.struct(first["line"].alias("line"), cut.alias("excerpt")))

@@ -13,13 +13,13 @@ def happens_before(events: DataFrame, first: str, then: str, key: str, seq: str)
     return seen.select(key, "first_seq", "then_seq", F.when(F.col("first_seq").isNull(), "missing").when(F.col("first_seq") >= F.col("then_seq"), "out_of_order").otherwise("ok").alias("status"))
 
 
-def sequenced(events: DataFrame, order: str, start: int = 0, width: int = 10_000) -> DataFrame:
-    """Gap-free ``seq`` in order of the whole number ``order``: rows are numbered within ranges of ``width`` values, and
+def sequenced(events: DataFrame, order: str, start: int = 0, width: int = 10_000, then: tuple[str, ...] = ()) -> DataFrame:
+    """Gap-free ``seq`` in order of the whole number ``order``, at equal ones of the columns ``then``: rows are numbered within ranges of ``width`` values, and
     each range adds what lies before it, so only one count per range meets in a single task."""
     ranged = events.withColumn("_range", F.floor(F.col(order) / width))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order, *then))
     joined = ranged.withColumn("_own", own).join(before, F.col("_range") == F.col("_r"))
     return joined.withColumn("seq", (F.col("_own") + F.col("_before") + start).cast("bigint")).drop("_range", "_own", "_r", "_before")
 
@@ -57,3 +57,23 @@ def cascade_route(lines: DataFrame) -> DataFrame:
     """Which of three models a line goes to by its predicted length, and whether it is split in halves."""
     n = F.length("para")
     return lines.select("doc_id", "para_idx", n.alias("predicted"), F.when(n < 25, 30).when(n < 45, 50).otherwise(100).alias("model"), (n >= 98).alias("halved"))
+
+
+def usage_samples(calls: DataFrame, flat: str = "deepseek") -> DataFrame:
+    """Calls (provider, usage as JSON) with prompt, completion, total, hit and miss tokens.
+
+    Totals that are missing or zero are the sum of both sides. A ``flat`` provider says hits and misses itself; for any other
+    misses follow from the cached tokens and are zero, like the hits, without them. A null or broken usage
+    is left out; a field that is missing or not a number counts as zero.
+    """
+    number = lambda path: F.coalesce(F.get_json_object("usage", path).try_cast("bigint"), F.lit(0))
+    cached = F.get_json_object("usage", "$.prompt_tokens_details.cached_tokens")
+    prompt, completion, total = number("$.prompt_tokens"), number("$.completion_tokens"), number("$.total_tokens")
+    is_flat, hit = F.coalesce(F.col("provider") == flat, F.lit(False)), F.coalesce(cached.try_cast("bigint"), F.lit(0))
+    return calls.where(F.get_json_object("usage", "$").isNotNull() & F.startswith(F.ltrim("usage"), F.lit("{"))).withColumns({
+        "prompt_tokens": prompt,
+        "completion_tokens": completion,
+        "total_tokens": F.when(total != 0, total).otherwise(prompt + completion),
+        "hit_tokens": F.greatest(F.lit(0), F.when(is_flat, number("$.prompt_cache_hit_tokens")).otherwise(hit)),
+        "miss_tokens": F.greatest(F.lit(0), F.when(is_flat, number("$.prompt_cache_miss_tokens")).when(cached.isNull(), 0).otherwise(F.greatest(F.lit(0), prompt - hit))),
+    })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,68 @@ def owed_artifacts(runs: DataFrame) -> DataFrame:
     due = F.array_except(F.array_intersect("planned", "finished"), F.coalesce("skipped", F.array().cast("array<string>")))
     owed = F.array_sort(F.array_except(due, F.coalesce("files", F.array().cast("array<string>"))))
     return runs.withColumn("owed", owed).withColumn("passed", F.size("owed") == 0)
+
+
+def resume_reasons(runs: DataFrame, version: int = 1) -> DataFrame:
+    """Runs with why each may not be resumed, the first that holds, empty if none does, and ``resumable``.
+
+    Columns: enable_resume, schema_version, input_sha256 and params_sha256 as stored, now_input and now_params as they are, finished.
+    A missing value differs from any other; a missing ``finished`` is not finished, a missing ``enable_resume`` is true.
+    """
+    same = lambda a, b: F.coalesce(F.col(a) == b, F.lit(False))
+    reason = (
+        F.when(~F.coalesce("enable_resume", F.lit(True)), "resume_disabled")
+        .when(~same("schema_version", F.lit(version)), "schema_mismatch")
+        .when(~same("input_sha256", F.col("now_input")), "input_changed")
+        .when(~same("params_sha256", F.col("now_params")), "params_changed")
+        .when(F.coalesce("finished", F.lit(False)), "finished")
+        .otherwise("")
+    )
+    return runs.withColumn("reason", reason).withColumn("resumable", F.col("reason") == "")
+
+
+def total_chunks(runs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, total): the first number above zero of structure, config and status (columns ``in_structure``, ``in_config``, ``in_status``),
+    else how many chunks (key, chunk) there are from 1 on without a gap."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("chunk"))
+    run = found.where("chunk >= 1").select(key, "chunk").distinct().withColumn("_n", nth).where("chunk = _n").groupBy(key).agg(F.count("*").alias("_n"))
+    known = [F.when(F.col(c) > 0, F.col(c)) for c in ("in_structure", "in_config", "in_status")]
+    return runs.join(run, key, "left").select(key, F.coalesce(*known, "_n", F.lit(0)).cast("bigint").alias("total"))
+
+
+def policies(runs: DataFrame) -> DataFrame:
+    """Runs (has_user, auto) with their policy, A to D, and what it allows."""
+    user, auto = F.coalesce("has_user", F.lit(False)), F.coalesce("auto", F.lit(False))
+    policy = F.when(user & ~auto, "A").when(user, "B").when(auto, "C").otherwise("D")
+    return runs.withColumns({"policy": policy, "inserts": auto, "seeds": user, "maintains": user | auto, "suggests": user & ~auto})
+
+
+def adopted(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """The user's terms (source, target, origin, locked, status) with found terms (source, target, arrival) taken over as locked user terms.
+
+    A found term is new, or replaces one of the same target or one that is not locked. What was taken over is locked, so the
+    first found term of a source decides its target. Sources of ``terms`` must be unique.
+    """
+    first = found.groupBy("source").agg(F.min_by("target", "arrival").alias("_t"))
+    both = terms.join(first, "source", "full")
+    takes = F.col("_t").isNotNull() & (F.col("target").isNull() | (F.col("target") == F.col("_t")) | ~F.coalesce("locked", F.lit(False)))
+    pick = lambda c, new: F.when(takes, new).otherwise(F.col(c)).alias(c)
+    return both.select("source", pick("target", F.col("_t")), pick("origin", F.lit("user")), pick("locked", F.lit(True)), pick("status", F.lit("ok")))
+
+
+def folder_differences(source: DataFrame, copy: DataFrame) -> DataFrame:
+    """(path, problem) between a folder's files (path, sha256) and its copy's: ``missing``, ``changed`` or, only in the copy, ``orphan``."""
+    a, b = source.select("path", F.col("sha256").alias("a"), F.lit(True).alias("in_a")), copy.select("path", F.col("sha256").alias("b"), F.lit(True).alias("in_b"))
+    problem = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "orphan").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return a.join(b, "path", "full").select("path", problem.alias("problem")).where("problem is not null")
+
+
+def compliance(order: DataFrame, owed: DataFrame, wanted: DataFrame, pending: DataFrame) -> DataFrame:
+    """(check, passed) of a run: the order of events (status), owed artifacts (passed) and chunks still pending; without any
+    wanted chunk the last one fails. ``all`` is their conjunction."""
+    checks = order.agg((F.count_if(F.col("status") != "ok") == 0).alias("p")).select(F.lit("pre_extract_order").alias("check"), "p")
+    checks = checks.union(owed.agg((F.count_if(~F.col("passed")) == 0).alias("p")).select(F.lit("stage_artifacts"), "p"))
+    left = pending.agg(F.count("*").alias("_left"))
+    whole = wanted.agg(F.count("*").alias("_n")).join(left, F.lit(True)).select(F.lit("chunk_complete"), ((F.col("_n") > 0) & (F.col("_left") == 0)).alias("p"))
+    checks = checks.union(whole)
+    return checks.withColumnRenamed("p", "passed").union(checks.agg(F.bool_and("p").alias("passed")).select(F.lit("all"), "passed"))

@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -164,3 +164,29 @@ def layout_boxes(files: DataFrame, key: str, xml: str) -> DataFrame:
             yield out.astype({"block": "Int32"})
 
     return files.select(F.col(key).cast("string").alias("k"), F.col(xml).alias("x")).mapInPandas(parse, LAYOUT)
+
+
+def recognized_boxes(files: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, box, x0, y0, x1, y1, text): the lines of recognition results with the corners around their points, whole numbers,
+    numbered by y0, then x0. Lines without points or text are left out; broken results have none."""
+    line = "struct<boundingBox:array<array<double>>,text:string>"
+    rows = files.select(key, F.posexplode(F.flatten(F.filter(F.from_json(F.col(json), f"struct<contents:array<array<{line}>>>")["contents"], lambda b: b.isNotNull()))).alias("_n", "_l"))
+    rows = rows.where("_l.text is not null and size(_l.boundingBox) > 0")
+    end = lambda f, i: f(F.transform("_l.boundingBox", lambda p: p[i])).cast("bigint")
+    flat = rows.select(key, "_n", end(F.array_min, 0).alias("x0"), end(F.array_min, 1).alias("y0"), end(F.array_max, 0).alias("x1"), end(F.array_max, 1).alias("y1"), F.col("_l.text").alias("text"))
+    pages = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "_n", "x1", "y1", "text"))).alias("_b"))
+    return pages.select(key, F.posexplode("_b").alias("box", "b")).select(key, "box", "b.x0", "b.y0", "b.x1", "b.y1", "b.text")
+
+
+def line_centres(boxes: DataFrame) -> DataFrame:
+    """Boxes with the middle of each, rounded down; those with a missing corner are left out."""
+    return boxes.dropna(subset=["x0", "y0", "x1", "y1"]).withColumns({"x": F.floor((F.col("x0") + F.col("x1")) / 2), "y": F.floor((F.col("y0") + F.col("y1")) / 2)})
+
+
+def typed_pairs(c: Column) -> Column:
+    """Column: ``k=v`` items of a list as an array of (key, kind, value), the kind the first of int, float, bool and string that
+    fits. Items without ``=`` are left out."""
+    key, value = (lambda x: F.substring_index(x, "=", 1)), (lambda x: F.substring(x, F.locate("=", x) + 1, 2**31 - 1))
+    kind = lambda v: F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), "int").when(v.try_cast("double").isNotNull(), "float").when(F.lower(v).isin("true", "false"), "bool").otherwise("string")
+    held = F.filter(c, lambda x: F.contains(x, F.lit("=")))
+    return F.transform(held, lambda x: F.struct(key(x).alias("key"), kind(value(x)).alias("kind"), value(x).alias("value")))
