@@ -15,6 +15,7 @@ HEADING_MAX = 60
 PLACEHOLDERS = {"brace": r"\{[^{}\n]{0,40}\}", "printf": r"%[-+ #0]?\d*(?:\.\d+)?[sdifgxXeEc]", "tag": r"<[A-Za-z/][^<>\n]{0,40}>"}
 KANA = r"[぀-ヿ]"
 HALF_WIDTH = r"[,.!?;:]"
+WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def strip(c: Column) -> Column:
@@ -44,7 +45,8 @@ def ends_open(c: Column) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"([0-9]+)"), 1)
+    """Runs of digits, full-width ones as plain ones."""
+    return F.regexp_extract_all(F.translate(c, WIDE_DIGITS, "0123456789"), F.lit(r"([0-9]+)"), 1)
 
 
 def first_line_with(c: Column, needle: Column, longest: int = 60) -> Column:

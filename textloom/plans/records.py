@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_line_with
-from ..operators import events, lifecycle, nesting, quality, tables
+from ..functions.text import HALF_WIDTH, PLACEHOLDERS, first_line_with
+from ..operators import events, glossary, lifecycle, nesting, quality, scanner, tables
 from ..sources import exports, readers
 from . import registry as r
 from .more import _papers
@@ -120,8 +120,20 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(readers.typed_pairs(items)).alias("p")).select("event_id", "p.*")
 
 
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as pairs, letters beyond ASCII as what should not be left, benchmark tokens as terms that stay as they are."""
+    terms = glossary.ascii_terms(table(spark, d, "benchmark")).select("source", F.col("source").alias("target"), F.lit("").alias("type"), F.lit(None).cast("array<string>").alias("aliases"))
+    return scanner.qa_issues(quality.pairs(table(spark, d, "conversations")), ["conv_id", "turn"], terms, residue=LEFT, separator=r"\n")
+
+
+#: Letters that stand for those of the source's script.
+LEFT = "[äöüßéèêçñwq]"
+
+
 def queries() -> dict[str, Query]:
     return {
+        "qa_issues": _issues,
+        "qa_counts": lambda s, d: scanner.qa_counts(_issues(s, d)),
         "note_blocks": _notes,
         "nested_blocks": _nested,
         "detections": lambda s, d: nesting.detections(_sheets(_orders(s, d)).withColumns({"w": F.lit(1000), "h": F.lit(1000)}), "w", "h", side=10).select("page", "box", "x0", "y0", "x1", "y1"),
@@ -153,8 +165,41 @@ _ZONE = "'L' || lpad(page::VARCHAR, 4, '0') || '_' || lpad(box::VARCHAR, greates
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
+_LIST = "array_to_string(list_sort(list_distinct({}))[1:{}], '{}')"
+_EXCERPT = "CASE WHEN length({0}) <= 60 THEN {0} ELSE left({0}, 57) || '…' END"
+_PLACE = " UNION ALL ".join(
+    f"SELECT conv_id, turn, 4, {i}, 'placeholder', 'error', '{k}', NULL, len(regexp_extract_all(zh, '{p}')) - len(regexp_extract_all(src, '{p}')), {_LIST.format(f"regexp_extract_all(src, '{p}')", 5, ', ')}, NULL FROM fl WHERE len(regexp_extract_all(src, '{p}')) <> len(regexp_extract_all(zh, '{p}'))"
+    for i, (k, p) in enumerate(PLACEHOLDERS.items())
+)
+_MARKS = " UNION ALL ".join(
+    f"SELECT conv_id, turn, 6, {i}, 'punctuation', '{v}', NULL, NULL, len(regexp_extract_all(zh, '{p}')), {_LIST.format(f"regexp_extract_all(zh, '{p}')", 20, '')}, NULL FROM fl WHERE len(regexp_extract_all(zh, '{p}')) > 0"
+    for i, (p, v) in enumerate(((scanner.BRACKETS, "warn"), (HALF_WIDTH, "info")))
+)
+_ISSUES = f"""WITH {r._PAIRS}, fl AS (SELECT * FROM pr WHERE zh IS NOT NULL AND {r._STRIP.format("zh")} <> ''),
+ln AS (SELECT conv_id, turn, unnest(range(len(ls))) AS i, unnest(ls) AS t FROM (SELECT conv_id, turn, string_split(zh, chr(10)) AS ls FROM fl)),
+re AS (SELECT *, regexp_extract_all(t, '{LEFT}') AS c, {r._STRIP.format("t")} AS s FROM ln),
+sn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, number ORDER BY pos) AS nth FROM (SELECT conv_id, turn, unnest(range(len(ns))) AS pos, unnest(ns) AS number FROM (SELECT conv_id, turn, regexp_extract_all(src, '[0-9]+') AS ns FROM fl))),
+zn AS (SELECT conv_id, turn, number, count(*) AS m FROM (SELECT conv_id, turn, unnest(regexp_extract_all(zh, '[0-9]+')) AS number FROM fl) GROUP BY ALL),
+mn AS (SELECT conv_id, turn, list(number ORDER BY pos) AS ns FROM sn LEFT JOIN zn USING (conv_id, turn, number) WHERE nth > coalesce(m, 0) GROUP BY conv_id, turn),
+{r._HITS.split("," + chr(10))[0]},
+ts AS (SELECT conv_id, turn, source, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(replace(lower(src), 'ß', 'ss'), '[a-z0-9_]+')) AS source FROM fl) JOIN w USING (source) GROUP BY ALL),
+tz AS (SELECT conv_id, turn, source, count(*) AS m FROM (SELECT conv_id, turn, unnest(regexp_extract_all(replace(lower(zh), 'ß', 'ss'), '[a-z0-9_]+')) AS source FROM fl) GROUP BY ALL),
+tm AS (SELECT conv_id, turn, source, n - coalesce(m, 0) AS n, zh FROM ts LEFT JOIN tz USING (conv_id, turn, source) JOIN fl USING (conv_id, turn) WHERE n > coalesce(m, 0)),
+tl AS (SELECT conv_id, turn, source, min(i) AS i, arg_min(s, i) AS s FROM tm JOIN re USING (conv_id, turn) WHERE contains(t, source) GROUP BY ALL),
+iss(conv_id, turn, rank, part, kind, severity, detail, line, n, found, excerpt) AS (
+    SELECT conv_id, turn, 1, 0, 'empty', 'error', CASE WHEN zh IS NULL THEN 'missing' ELSE 'blank' END, NULL, NULL, NULL, NULL FROM pr WHERE zh IS NULL OR {r._STRIP.format("zh")} = ''
+    UNION ALL SELECT conv_id, turn, 2, i, 'residue', 'error', NULL, i + 1, len(c), {_LIST.format("c", 20, "")}, {_EXCERPT.format("s")} FROM re WHERE len(c) > 0
+    UNION ALL SELECT conv_id, turn, 3, 0, 'terminology', 'error', source, i + 1, n, CASE WHEN contains(zh, source) THEN source ELSE '' END, {_EXCERPT.format("s")} FROM tm LEFT JOIN tl USING (conv_id, turn, source)
+    UNION ALL {_PLACE}
+    UNION ALL SELECT conv_id, turn, 5, 0, 'number', 'warn', NULL, NULL, len(ns), array_to_string(ns[1:8], ', '), NULL FROM mn
+    UNION ALL {_MARKS}
+    UNION ALL SELECT conv_id, turn, 7, 0, 'paragraph', 'warn', NULL, NULL, {r._N_PARAS.format("zh")} - {r._N_PARAS.format("src")}, NULL, NULL FROM fl WHERE {r._N_PARAS.format("zh")} <> {r._N_PARAS.format("src")})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "qa_issues": f"{_ISSUES} SELECT row_number() OVER (ORDER BY conv_id, turn, rank, part, detail) AS id, conv_id, turn, kind, severity, detail, line::BIGINT AS line, n::BIGINT AS n, found, excerpt FROM iss",
+        "qa_counts": f"{_ISSUES}, k(level, name) AS (VALUES {', '.join(f"('kind', '{k}')" for k in scanner.KINDS)}, {', '.join(f"('severity', '{v}')" for v in scanner.SEVERITIES)}), f AS (SELECT 'kind' AS level, kind AS name, count(*) AS n FROM iss GROUP BY kind UNION ALL SELECT 'severity', severity, count(*) FROM iss GROUP BY severity) SELECT level, name, coalesce(n, 0) AS n FROM k LEFT JOIN f USING (level, name)",
         "detections": f"WITH {_SHEET}, c AS (SELECT page, box, least(x0, 1000) AS x0, least(y0, 1000) AS y0, least(x1, 1000) AS x1, least(y1, 1000) AS y1 FROM s WHERE box % 10 / 10.0::DOUBLE > 0.25) SELECT * FROM c WHERE x1 - x0 >= 10 OR y1 - y0 >= 10",
         "page_stats": f"WITH {_SHEET} SELECT page, count(*) AS n_lines, count(*) FILTER (x1 - x0 < y1 - y0) AS n_vertical, median(x1 - x0)::DOUBLE AS median_width, median(y1 - y0)::DOUBLE AS median_height, count(*) < 2 * count(*) FILTER (x1 - x0 < y1 - y0) AS vertical FROM s GROUP BY page",
         "dataset_summary": f"""WITH {_SHEET}, v AS (SELECT 'width' AS measure, (x1 - x0)::DOUBLE AS v FROM s UNION ALL SELECT 'height', (y1 - y0)::DOUBLE FROM s UNION ALL SELECT 'aspect', (y1 - y0)::DOUBLE / (x1 - x0)::DOUBLE FROM s UNION ALL SELECT 'per_page', count(*)::DOUBLE FROM s GROUP BY page),
