@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from textloom.operators import events, lifecycle, nesting, tables
-from textloom.sources import exports, readers
+from textloom.sources import exports, readers, writers
 
 NOTE = "page long, box long, x0 long, y0 long, x1 long, y1 long, rank long"
 
@@ -102,3 +102,36 @@ def test_runs_without_chunks_do_not_comply(spark):
     none, one = spark.createDataFrame([], "chunk long"), spark.createDataFrame([(1,)], "chunk long")
     assert dict(lifecycle.compliance(order, owed, none, none).collect()) == {"pre_extract_order": True, "stage_artifacts": True, "chunk_complete": False, "all": False}
     assert all(r.passed for r in lifecycle.compliance(order, owed, one, none).collect())
+
+
+def test_annotated_pages(spark):
+    xml = """<OCRDATASET xmlns="u"><PAGE IMAGENAME="a.jpg">
+      <LINE X="1" Y="2" WIDTH="3" HEIGHT="4" TYPE="body"><CHAR MOJI="字" X="1" Y="2" WIDTH="1" HEIGHT="1"/><INLINE TYPE="note" X="1" Y="2" WIDTH="1" HEIGHT="1"/><CHAR MOJI="x" X="a"/></LINE>
+      <LINE ERROR="1" X="1" Y="2" WIDTH="3" HEIGHT="4"/><LINE X="?" Y="2" WIDTH="3" HEIGHT="4"/>
+      <BLOCK TYPE="広告" X="0" Y="0" WIDTH="9" HEIGHT="9"><TEXTBLOCK><SHAPE><POLYGON POINTS="5,6,1,2,3,9"/></SHAPE><LINE X="0" Y="0" WIDTH="1" HEIGHT="1"/></TEXTBLOCK></BLOCK>
+      <TEXTBLOCK><SHAPE><POLYGON POINTS="1,2,3"/></SHAPE></TEXTBLOCK></PAGE><PAGE/></OCRDATASET>"""
+    files = spark.createDataFrame([("f", xml), ("g", "<"), ("h", None)], "name string, xml string")
+    got = readers.annotated_boxes(files, "name", "xml").orderBy("item").collect()
+    assert [(r.key, r.page, r.image, r.kind, r.type, r.x0, r.y0, r.x1, r.y1) for r in got] == [
+        ("f", 0, "a.jpg", "line", "body", 1, 2, 4, 6),
+        ("f", 0, "a.jpg", "block", "広告", 0, 0, 9, 9),
+        ("f", 0, "a.jpg", "text_block", "広告本文ブロック", 1, 2, 5, 9),
+        ("f", 0, "a.jpg", "line", "", 0, 0, 1, 1),
+    ]
+    assert [(c.kind, c.value) for c in got[0].chars] == [("char", "字"), ("inline", "note")] and got[2].points == [5, 6, 1, 2, 3, 9]
+    assert {(r.kind, r.n) for r in readers.annotated_counts(readers.annotated_boxes(files, "name", "xml")).groupBy("kind").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {("line", 2), ("block", 1), ("text_block", 1)}
+
+
+def test_report_lists_the_first_and_counts_the_rest(spark):
+    terms = spark.createDataFrame([(True, "user"), (False, "auto")], "locked boolean, origin string")
+    logged = spark.createDataFrame([(f"s{i}", 1, "a|b", "c", i == 0) for i in range(4)], "source string, nth int, existing_target string, proposed_target string, resolved boolean")
+    alignment = spark.createDataFrame([(1, "missing_file", "error", None, None), (2, "length_ratio", "warn", None, 2.0)], "chunk long, kind string, severity string, delta int, ratio double")
+    issues = spark.createDataFrame([("number", "warn")], "kind string, severity string")
+    checks = spark.createDataFrame([("stage_artifacts", False), ("all", False)], "check string, passed boolean")
+    run = {"total": 2, "done": 1, "failed": 1, "src_chars": 10, "zh_chars": 7, "path_mode": "simple", "prescan_mode": "off"}
+    text = writers.delivery_report(run, terms, logged, alignment, issues, checks, files={"pdf": "x.pdf"}, most=2)
+    assert [x for x in text.split("\n") if x.startswith("## ")] == ["## 1. Size and progress", "## 2. Terms", "## 3. Alignment", "## 4. Consistency", "## 5. Compliance", "## 6. Left out", "## 7. Files"]
+    for line in ("| ratio | 0.7 |", "| open conflicts | 3 |", "| s1 | a\\|b | c |", "… and 1 more", "1 errors, 1 warnings", "| 1 | missing_file |  |", "| number | warn | 1 |", "not compliant", "- no prescan", "- 1 chunks failed", "| pdf | x.pdf |"):
+        assert line in text
+    empty = writers.delivery_report({}, terms.limit(0), logged.limit(0), alignment.limit(0), issues.limit(0), checks.limit(0))
+    assert "not verified" in empty and "nothing" in empty and "| ratio | n/a |" in empty

@@ -190,3 +190,79 @@ def typed_pairs(c: Column) -> Column:
     kind = lambda v: F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), "int").when(v.try_cast("double").isNotNull(), "float").when(F.lower(v).isin("true", "false"), "bool").otherwise("string")
     held = F.filter(c, lambda x: F.contains(x, F.lit("=")))
     return F.transform(held, lambda x: F.struct(key(x).alias("key"), kind(value(x)).alias("kind"), value(x).alias("value")))
+
+
+ANNOTATED = "key string, page int, image string, item int, kind string, type string, x0 double, y0 double, x1 double, y1 double, points array<double>, chars array<struct<kind:string,value:string,x0:double,y0:double,x1:double,y1:double>>"
+# The type of a block that is an advert, and those that the shapes of text blocks get, in adverts and elsewhere.
+ADVERT, SHAPES = "広告", {True: "広告本文ブロック", False: "本文ブロック"}
+
+
+def _annotated(key: str, xml: str) -> Iterator[tuple]:
+    try:
+        root = ET.fromstring(xml)
+    except (TypeError, ET.ParseError):
+        return
+    tag = lambda e: e.tag.rpartition("}")[2]
+
+    def corners(e) -> tuple | None:
+        try:
+            x, y, w, h = (float(e.get(n, "")) for n in ("X", "Y", "WIDTH", "HEIGHT"))
+        except ValueError:
+            return None
+        return x, y, x + w, y + h
+
+    def line(e) -> tuple | None:
+        box = corners(e)
+        inside = [("char" if tag(c) == "CHAR" else "inline", c.get("MOJI" if tag(c) == "CHAR" else "TYPE"), b) for c in e if (b := corners(c))]
+        return box and ("line", e.get("TYPE", ""), box, None, [(k, v, *b) for k, v, b in inside])
+
+    def shape(e, advert: bool) -> tuple | None:
+        try:
+            points = [float(x) for x in next(p.get("POINTS") for p in e if p.get("POINTS")).split(",")]
+        except (StopIteration, ValueError):
+            return None
+        if len(points) % 2:
+            return None
+        return "text_block", SHAPES[advert], (min(points[::2]), min(points[1::2]), max(points[::2]), max(points[1::2])), points, None
+
+    def items(page) -> Iterator[tuple | None]:
+        for e in page:
+            if e.get("ERROR") is not None:
+                continue
+            blocks = [(e, False)] if tag(e) == "TEXTBLOCK" else []
+            if tag(e) == "LINE":
+                yield line(e)
+            elif tag(e) == "BLOCK":
+                box = corners(e)
+                yield box and ("block", e.get("TYPE"), box, None, None)
+                if e.get("TYPE") == ADVERT:
+                    blocks = [(b, True) for b in e if tag(b) == "TEXTBLOCK"]
+            for block, advert in blocks:
+                for c in block:
+                    if tag(c) in ("SHAPE", "LINE"):
+                        yield shape(c, advert) if tag(c) == "SHAPE" else line(c)
+
+    for p, page in enumerate(root):
+        for i, (kind, type_, box, points, chars) in enumerate(x for x in items(page) if x):
+            yield key, p, page.get("IMAGENAME"), i, kind, type_, *box, points, chars
+
+
+def annotated_boxes(files: DataFrame, key: str, xml: str) -> DataFrame:
+    """Blocks, lines and text blocks of annotated pages in order, lines with their characters and inline marks, text blocks with
+    their outline and the corners around it. Elements marked as errors, and those without numbers for corners or an even number
+    of them for an outline, are left out; broken documents have none."""
+    kinds = dict(c.split(" ", 1) for c in ANNOTATED.split(", "))
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [b for k, x in zip(f["k"], f["x"]) for b in _annotated(k, x)]
+            out = pd.DataFrame(rows, columns=list(kinds))
+            out["chars"] = [None if c is None else [dict(zip(("kind", "value", "x0", "y0", "x1", "y1"), t)) for t in c] for c in out["chars"]]
+            yield out.astype({"points": object, "chars": object})  # a frame without rows has no types of its own
+
+    return files.select(F.col(key).cast("string").alias("k"), F.col(xml).alias("x")).mapInPandas(parse, ANNOTATED)
+
+
+def annotated_counts(boxes: DataFrame) -> DataFrame:
+    """(kind, type, n) over annotated boxes."""
+    return boxes.groupBy("kind", "type").agg(F.count("*").alias("n"))

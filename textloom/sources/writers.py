@@ -47,3 +47,52 @@ def usage_report(rollup: DataFrame) -> str:
     """Totals, tiers and stages of ``events.usage_rollup`` as a Markdown table, one row for each tier and stage."""
     rows = rollup.orderBy(F.col("level") != "total", "level", "name").collect()
     return "\n".join(["| level | name | calls | tokens | hit rate |", "|---|---|---|---|---|", *(f"| {r.level} | {r.name} | {r.calls} | {r.tokens} | {r.hit_rate} |" for r in rows)]) + "\n"
+
+
+def _table(head: tuple[str, ...], rows: list[tuple]) -> list[str]:
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    line = lambda r: "| " + " | ".join(map(cell, r)) + " |"
+    return [line(head), "|" + "---|" * len(head), *map(line, rows), ""]
+
+
+def _first(df: DataFrame, columns: list[str], order: list, most: int) -> list[str]:
+    """The first ``most`` rows as a table, and how many more there are; nothing without rows."""
+    n = df.count()
+    rows = [tuple(r) for r in df.orderBy(*order).select(*columns).limit(most).collect()]
+    rest = [f"… and {n - most} more", ""] if n > most else []
+    return _table(tuple(columns), rows) + rest if rows else []
+
+
+def degradations(run: dict) -> list[str]:
+    """What of the full path a run left out: what it says of its path and prescan, the stages and chunks that were skipped, chunks that failed."""
+    notes = [f"short path for {run['total']} chunks"] if run.get("path_mode") == "simple" else []
+    notes += {"sampled": ["prescan of a sample only"], "off": ["no prescan"]}.get(run.get("prescan_mode"), [])
+    notes += [f"stage {s} skipped" for s in run.get("skipped_stages") or []]
+    return notes + [f"{run[k]} chunks {k}" for k in ("failed", "skipped") if run.get(k)]
+
+
+def delivery_report(run: dict, terms: DataFrame, logged: DataFrame, alignment: DataFrame, issues: DataFrame, checks: DataFrame, rollup: DataFrame | None = None, files: dict[str, str] | None = None, most: int = 30) -> str:
+    """A run as Markdown in seven sections, and its use as an eighth where there is a ``rollup``.
+
+    ``run`` has total, done, failed, skipped, src_chars, zh_chars and what ``degradations`` reads; the tables are terms (locked,
+    origin), the log of conflicts, ``quality.align_issues``, ``scanner.qa_issues`` and ``lifecycle.compliance``. Only sums and the
+    first ``most`` rows of a list come to the driver.
+    """
+    ratio = round(run["zh_chars"] / run["src_chars"], 4) if run.get("src_chars") else "n/a"
+    t = terms.agg(F.count("*").alias("n"), F.count_if("locked").alias("locked"), F.count_if(F.col("origin") == "auto").alias("auto"), F.count_if(F.col("origin") == "user").alias("user")).first()
+    c = logged.agg(F.count("*").alias("n"), F.count_if(~F.col("resolved")).alias("open")).first()
+    a = alignment.agg(F.count_if(F.col("severity") == "error").alias("error"), F.count_if(F.col("severity") == "warn").alias("warn")).first()
+    kinds = [tuple(r) for r in issues.groupBy("kind", "severity").agg(F.count("*").alias("n")).orderBy("kind", "severity").collect()]
+    passed = {r["check"]: r["passed"] for r in checks.collect()}  # four rows
+    verdict = {None: "not verified", True: "compliant", False: "not compliant"}[passed.get("all")]
+    out = ["# Delivery report", "", "## 1. Size and progress", "", *_table(("measure", "value"), [(k, run.get(k, 0)) for k in ("total", "done", "failed", "skipped", "src_chars", "zh_chars")] + [("ratio", ratio)])]
+    out += ["## 2. Terms", "", *_table(("measure", "value"), [("terms", t.n), ("locked", t.locked), ("auto", t.auto), ("user", t.user), ("conflicts", c.n), ("open conflicts", c.open)])]
+    out += _first(logged.where("not resolved"), ["source", "existing_target", "proposed_target"], ["source", "nth"], most)
+    keys = [k for k in alignment.columns if k not in ("kind", "severity", "delta", "ratio")]
+    out += ["## 3. Alignment", "", f"{a.error} errors, {a.warn} warnings", "", *_first(alignment.where("severity = 'error'"), [*keys, "kind", "delta"], [*keys, "kind"], most)]
+    out += ["## 4. Consistency", "", *_table(("kind", "severity", "issues"), kinds)]
+    out += ["## 5. Compliance", "", verdict, "", *_table(("check", "passed"), sorted((k, v) for k, v in passed.items() if k != "all"))]
+    out += ["## 6. Left out", "", *([f"- {n}" for n in degradations(run)] or ["nothing"]), ""]
+    out += ["## 7. Files", "", *_table(("name", "path"), sorted((files or {}).items()))]
+    out += ["## 8. Use", "", usage_report(rollup)] if rollup is not None else []
+    return "\n".join(out).rstrip() + "\n"
