@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import zipfile
 
 import numpy as np
 import pytest
@@ -159,8 +160,12 @@ def test_files(spark, tmp_path):
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
+    body = '<w:document xmlns:w="u"><w:body><w:p><w:r><w:t>one</w:t><w:tab/><w:t>&amp; two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "f.docx").write_bytes(b"PK no")
     got = {r.path.rsplit("/", 1)[1]: r.text for r in readers.read_texts(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "x\ny", "b.json": "p\n\nq", "c.xml": "onetwo\nthree", "d.bin": None, "chunk_012.txt": "twelve"}
+    assert got == {"e.docx": "one\t& two\n\nthree", "f.docx": None, "a.txt": "x\ny", "b.json": "p\n\nq", "c.xml": "onetwo\nthree", "d.bin": None, "chunk_012.txt": "twelve"}
     assert [tuple(r) for r in readers.read_chunks(spark, str(tmp_path / "sub")).collect()] == [(12, "twelve")]
 
 

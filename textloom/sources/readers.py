@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 import xml.etree.ElementTree as ET
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,13 +85,31 @@ def xml_text(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(StringType())
+def docx_text(files: pd.Series) -> pd.Series:
+    """Text of a DOCX file, one line for each paragraph, tabs and breaks kept; null if it is none."""
+    marks = {"tab": "\t", "br": "\n", "cr": "\n"}
+
+    def one(raw):
+        try:
+            with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open("word/document.xml") as f:
+                root = ET.parse(f).getroot()
+        except (TypeError, KeyError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ET.ParseError):
+            return None
+        tag = lambda e: e.tag.rpartition("}")[2]
+        line = lambda p: "".join((e.text or "") if tag(e) == "t" else marks.get(tag(e), "") for r in p.iter() if tag(r) == "r" for e in r)
+        return "\n".join(line(p) for p in root.iter() if tag(p) == "p")
+
+    return files.map(one)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text) of all text, JSON and XML files below a folder; other kinds have no text."""
+    """(path, kind, text) of all text, JSON, XML and DOCX files below a folder; other kinds have no text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = files.select("path", kind.alias("kind"), F.when(kind.isin(*KINDS), decode_text("content")).alias("raw"))
+    text = files.select("path", kind.alias("kind"), F.when(kind.isin(*KINDS), decode_text("content")).alias("raw"), docx_text(F.when(kind == "docx", F.col("content"))).alias("docx"))
     blocks = F.array_join(json_strings("raw"), "\n\n")
-    return text.select("path", "kind", F.when(F.col("kind") == "json", blocks).when(F.col("kind") == "xml", xml_text("raw")).otherwise(F.col("raw")).alias("text"))
+    return text.select("path", "kind", F.when(F.col("kind") == "json", blocks).when(F.col("kind") == "xml", xml_text("raw")).when(F.col("kind") == "docx", F.col("docx")).otherwise(F.col("raw")).alias("text"))
 
 
 def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
