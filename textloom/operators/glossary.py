@@ -70,3 +70,13 @@ def frequent_runs(docs: DataFrame, known: DataFrame, pattern: str = r"[a-zäöü
     """Frequent runs of a character class that are no known term: at least ``least`` times, the ``top`` first."""
     runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return runs.join(known.select(F.col("source").alias("token")), "token", "left_anti").orderBy(F.desc("n"), "token").limit(top)
+
+
+def search(terms: DataFrame, needle: str, kind: str | None = None, only_conflicts: bool = False) -> DataFrame:
+    """Terms (source, target, note, type, status) with ``needle`` in source, target or note, whatever the case; of one type or in conflict if so asked."""
+    found = terms
+    if needle.strip():
+        low = F.lower(F.lit(needle.strip()))
+        found = terms.where(F.coalesce(F.contains(F.lower("source"), low), F.lit(False)) | F.coalesce(F.contains(F.lower("target"), low), F.lit(False)) | F.coalesce(F.contains(F.lower("note"), low), F.lit(False)))
+    found = found.where(F.col("type") == kind) if kind else found
+    return found.where(F.col("status") == "conflict") if only_conflicts else found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -104,3 +104,26 @@ def compliance(order: DataFrame, owed: DataFrame, wanted: DataFrame, pending: Da
     whole = wanted.agg(F.count("*").alias("_n")).join(left, F.lit(True)).select(F.lit("chunk_complete"), ((F.col("_n") > 0) & (F.col("_left") == 0)).alias("p"))
     checks = checks.union(whole)
     return checks.withColumnRenamed("p", "passed").union(checks.agg(F.bool_and("p").alias("passed")).select(F.lit("all"), "passed"))
+
+
+def marked(chunks: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """(key, status) after marks (key, status, seq): the last mark of a chunk wins, chunks that were not there come in."""
+    last = marks.groupBy(key).agg(F.max_by("status", "seq").alias("_s"))
+    return chunks.select(key, "status").join(last, key, "full").select(key, F.coalesce("_s", "status").alias("status"))
+
+
+def estimated_chunks(chars: Column, target: int) -> Column:
+    """How many chunks of ``target`` characters a text will make; at least one."""
+    return F.greatest(F.lit(1), F.ceil(chars / target)).cast("bigint")
+
+
+def stale(updated: Column, now: Column, limit: int = 300) -> Column:
+    """Whether the last sign of life lies more than ``limit`` seconds back; a run without any is not stale."""
+    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(updated) > limit, F.lit(False))
+
+
+def progress_line(total: Column, done: Column, failed: Column) -> Column:
+    """Progress as one line of a list; failed chunks are named only where there are some."""
+    share = F.when(total > 0, F.floor(done * 100 / total)).otherwise(0)
+    rest = F.when(failed > 0, F.concat(F.lit(", "), failed.cast("string"), F.lit(" failed"))).otherwise("")
+    return F.concat(F.lit("- "), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), share.cast("string"), F.lit("%)"), rest)

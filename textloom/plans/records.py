@@ -126,6 +126,24 @@ def _issues(spark: SparkSession, d: str) -> DataFrame:
     return scanner.qa_issues(quality.pairs(table(spark, d, "conversations")), ["conv_id", "turn"], terms, residue=LEFT, separator=r"\n")
 
 
+def _search(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("source"), F.col("p_brand").alias("target"), F.when(F.col("p_size") > 9, F.col("p_type")).alias("note"), F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("type"), F.when(F.col("p_size") % 3 == 0, "conflict").otherwise("ok").alias("status"))
+    return glossary.search(part, "BRAND#1", "a", only_conflicts=True).select("p_partkey", "source", "target")
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    chunks = e.where("event_id % 2 = 0").select("user_id").distinct().withColumn("status", F.lit("new"))
+    return lifecycle.marked(chunks, e.where("event_id % 3 = 0").select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("seq")), "user_id")
+
+
+def _progress(spark: SparkSession, d: str) -> DataFrame:
+    """Users as runs: purchases are done, views failed, and the last event is the sign of life."""
+    is_ = lambda kind: F.count_if(F.col("event_type") == kind)
+    runs = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), is_("purchase").alias("done"), is_("view").alias("failed"), F.max("ts").alias("last"), F.min("ts").alias("first"))
+    return runs.select("user_id", lifecycle.progress_line(F.col("n"), F.col("done"), F.col("failed")).alias("line"), lifecycle.stale(F.col("first"), F.col("last"), 86_400).alias("stale"))
+
+
 #: Letters that stand for those of the source's script.
 LEFT = "[äöüßéèêçñwq]"
 
@@ -134,6 +152,10 @@ def queries() -> dict[str, Query]:
     return {
         "qa_issues": _issues,
         "qa_counts": lambda s, d: scanner.qa_counts(_issues(s, d)),
+        "term_search": _search,
+        "chunk_marks": _marks,
+        "run_progress": _progress,
+        "chunk_estimates": lambda s, d: table(s, d, "documents").select("doc_id", lifecycle.estimated_chunks(F.length("text"), 4000).alias("n")),
         "note_blocks": _notes,
         "nested_blocks": _nested,
         "detections": lambda s, d: nesting.detections(_sheets(_orders(s, d)).withColumns({"w": F.lit(1000), "h": F.lit(1000)}), "w", "h", side=10).select("page", "box", "x0", "y0", "x1", "y1"),
@@ -200,6 +222,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "qa_issues": f"{_ISSUES} SELECT row_number() OVER (ORDER BY conv_id, turn, rank, part, detail) AS id, conv_id, turn, kind, severity, detail, line::BIGINT AS line, n::BIGINT AS n, found, excerpt FROM iss",
         "qa_counts": f"{_ISSUES}, k(level, name) AS (VALUES {', '.join(f"('kind', '{k}')" for k in scanner.KINDS)}, {', '.join(f"('severity', '{v}')" for v in scanner.SEVERITIES)}), f AS (SELECT 'kind' AS level, kind AS name, count(*) AS n FROM iss GROUP BY kind UNION ALL SELECT 'severity', severity, count(*) FROM iss GROUP BY severity) SELECT level, name, coalesce(n, 0) AS n FROM k LEFT JOIN f USING (level, name)",
+        "term_search": "SELECT p_partkey, p_name AS source, p_brand AS target FROM part WHERE (contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1') OR coalesce(contains(lower(CASE WHEN p_size > 9 THEN p_type END), 'brand#1'), false)) AND p_size % 2 = 0 AND p_size % 3 = 0",
+        "chunk_marks": "WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0), m AS (SELECT user_id, arg_max(event_type, event_id) AS s FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT user_id, coalesce(s, 'new') AS status FROM c FULL JOIN m USING (user_id)",
+        "run_progress": "WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS d, count(*) FILTER (event_type = 'view') AS f, floor(epoch(max(ts))) - floor(epoch(min(ts))) AS age FROM events GROUP BY user_id) SELECT user_id, '- ' || d || '/' || n || ' (' || (d * 100 // n) || '%)' || CASE WHEN f > 0 THEN ', ' || f || ' failed' ELSE '' END AS line, age > 86400 AS stale FROM r",
+        "chunk_estimates": "SELECT doc_id, greatest(1, ceil(length(text) / 4000.0::DOUBLE))::BIGINT AS n FROM documents",
         "detections": f"WITH {_SHEET}, c AS (SELECT page, box, least(x0, 1000) AS x0, least(y0, 1000) AS y0, least(x1, 1000) AS x1, least(y1, 1000) AS y1 FROM s WHERE box % 10 / 10.0::DOUBLE > 0.25) SELECT * FROM c WHERE x1 - x0 >= 10 OR y1 - y0 >= 10",
         "page_stats": f"WITH {_SHEET} SELECT page, count(*) AS n_lines, count(*) FILTER (x1 - x0 < y1 - y0) AS n_vertical, median(x1 - x0)::DOUBLE AS median_width, median(y1 - y0)::DOUBLE AS median_height, count(*) < 2 * count(*) FILTER (x1 - x0 < y1 - y0) AS vertical FROM s GROUP BY page",
         "dataset_summary": f"""WITH {_SHEET}, v AS (SELECT 'width' AS measure, (x1 - x0)::DOUBLE AS v FROM s UNION ALL SELECT 'height', (y1 - y0)::DOUBLE FROM s UNION ALL SELECT 'aspect', (y1 - y0)::DOUBLE / (x1 - x0)::DOUBLE FROM s UNION ALL SELECT 'per_page', count(*)::DOUBLE FROM s GROUP BY page),
