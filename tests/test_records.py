@@ -135,3 +135,10 @@ def test_report_lists_the_first_and_counts_the_rest(spark):
         assert line in text
     empty = writers.delivery_report({}, terms.limit(0), logged.limit(0), alignment.limit(0), issues.limit(0), checks.limit(0))
     assert "not verified" in empty and "nothing" in empty and "| ratio | n/a |" in empty
+
+
+def test_numbers_across_ranges_and_groups(spark):
+    keys = [-7, -7, -1, 0, 1, 2, 3, 3, 3, 8, 9, 26, 27, 100, 1000]
+    rows = spark.createDataFrame([(k, -i) for i, k in enumerate(keys)], "k long, tie long")
+    got = events.sequenced(rows, "k", start=10, width=3, then=("tie",)).orderBy("seq").collect()
+    assert [(r.k, r.tie) for r in got] == sorted((k, -i) for i, k in enumerate(keys)) and [r.seq for r in got] == list(range(11, 26))
