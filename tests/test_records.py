@@ -142,3 +142,9 @@ def test_numbers_across_ranges_and_groups(spark):
     rows = spark.createDataFrame([(k, -i) for i, k in enumerate(keys)], "k long, tie long")
     got = events.sequenced(rows, "k", start=10, width=3, then=("tie",)).orderBy("seq").collect()
     assert [(r.k, r.tie) for r in got] == sorted((k, -i) for i, k in enumerate(keys)) and [r.seq for r in got] == list(range(11, 26))
+
+
+def test_numbers_within_groups(spark):
+    rows = [(g, k) for g, n in (("a", 50), (None, 20), ("b", 1)) for k in range(0, n * 3, 3)]
+    got = events.sequenced(spark.createDataFrame(rows, "g string, k long"), "k", width=4, by="g").collect()
+    assert sorted((r.g or "", r.seq, r.k) for r in got) == sorted((g or "", k // 3 + 1, k) for g, k in rows)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_open, is_heading, paragraphs, sentences, strip
+from .events import sequenced
 
 TARGET, LONGEST = 800, 1600
 LINES = r"\n"
@@ -86,6 +87,7 @@ def sample_positions(sizes: DataFrame, key: str, n: str, count: int = 5) -> Data
 
 
 def digest_packs(docs: DataFrame, group: str, size: int = 8) -> DataFrame:
-    """Packs of ``size`` documents in order of their ids."""
-    pack = (F.floor((F.row_number().over(Window.partitionBy(group).orderBy("doc_id")) - 1) / size) + 1).alias("pack")
-    return docs.select(group, "doc_id", F.length("text").alias("chars"), pack).groupBy(group, "pack").agg(F.count("*").alias("n_docs"), F.sum("chars").alias("total_chars"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """Packs of ``size`` documents in order of their ids; a hot group is numbered by ranges of ids, not in one task. Without an id a document is in no pack."""
+    rows = sequenced(docs.select(group, "doc_id", F.length("text").alias("chars")).where("doc_id is not null"), "doc_id", by=group)
+    pack = (F.floor((F.col("seq") - 1) / size) + 1).alias("pack")
+    return rows.select(group, "doc_id", "chars", pack).groupBy(group, "pack").agg(F.count("*").alias("n_docs"), F.sum("chars").alias("total_chars"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))

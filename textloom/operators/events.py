@@ -13,19 +13,23 @@ def happens_before(events: DataFrame, first: str, then: str, key: str, seq: str)
     return seen.select(key, "first_seq", "then_seq", F.when(F.col("first_seq").isNull(), "missing").when(F.col("first_seq") >= F.col("then_seq"), "out_of_order").otherwise("ok").alias("status"))
 
 
-def sequenced(events: DataFrame, order: str, start: int = 0, width: int = 10_000, then: tuple[str, ...] = ()) -> DataFrame:
-    """Gap-free ``seq`` in order of the whole number ``order``, at equal ones of the columns ``then``: rows are numbered within ranges of ``width`` values, and
-    each range adds what lies before it. Ranges are summed in groups of ``width`` first, so only one count per group, that is one for
-    each ``width`` squared values, meets in a single task."""
-    ranged = events.withColumn("_range", F.floor(F.col(order) / width))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_range") / width))
-    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_all"))
-    above = groups.select(F.col("_group").alias("_g"), (F.sum("_all").over(Window.orderBy("_group")) - F.col("_all")).alias("_above"))
-    within = F.sum("_n").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_n")
-    before = counts.join(above, F.col("_group") == F.col("_g")).select(F.col("_range").alias("_r"), (within + F.col("_above")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order, *then))
-    joined = ranged.withColumn("_own", own).join(before, F.col("_range") == F.col("_r"))
-    return joined.withColumn("seq", (F.col("_own") + F.col("_before") + start).cast("bigint")).drop("_range", "_own", "_r", "_before")
+def sequenced(events: DataFrame, order: str, start: int = 0, width: int = 10_000, then: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
+    """Gap-free ``seq`` in order of the whole number ``order``, at equal ones of the columns ``then``, for all rows or for each value of ``by``.
+
+    Rows are numbered within ranges of ``width`` values, and each range adds what lies before it. Ranges are summed in groups of
+    ``width`` first, so of all rows, or of one hot value of ``by``, only one count per group, that is one for each ``width`` squared
+    values, meets in a single task.
+    """
+    ranged = events.withColumns({"_key": F.lit(0) if by is None else F.col(by), "_range": F.floor(F.col(order) / width)})
+    counts = ranged.groupBy("_key", "_range").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_range") / width))
+    groups = counts.groupBy("_key", "_group").agg(F.sum("_n").alias("_all"))
+    above = groups.select(F.col("_key").alias("_gk"), F.col("_group").alias("_g"), (F.sum("_all").over(Window.partitionBy("_key").orderBy("_group")) - F.col("_all")).alias("_above"))
+    within = F.sum("_n").over(Window.partitionBy("_key", "_group").orderBy("_range")) - F.col("_n")
+    same = F.col("_key").eqNullSafe(F.col("_gk")) & (F.col("_group") == F.col("_g"))
+    before = counts.join(above, same).select(F.col("_key").alias("_rk"), F.col("_range").alias("_r"), (within + F.col("_above")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_key", "_range").orderBy(order, *then))
+    joined = ranged.withColumn("_own", own).join(before, F.col("_key").eqNullSafe(F.col("_rk")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("seq", (F.col("_own") + F.col("_before") + start).cast("bigint")).drop("_key", "_range", "_own", "_rk", "_r", "_before")
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
