@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 import numpy as np
 import pytest
 
-from textloom.operators import events, lifecycle, nesting, tables
+from textloom.operators import events, glossary, lifecycle, nesting, tables
 from textloom.sources import exports, readers, writers
 
 NOTE = "page long, box long, x0 long, y0 long, x1 long, y1 long, rank long"
@@ -148,3 +148,24 @@ def test_numbers_within_groups(spark):
     rows = [(g, k) for g, n in (("a", 50), (None, 20), ("b", 1)) for k in range(0, n * 3, 3)]
     got = events.sequenced(spark.createDataFrame(rows, "g string, k long"), "k", width=4, by="g").collect()
     assert sorted((r.g or "", r.seq, r.k) for r in got) == sorted((g or "", k // 3 + 1, k) for g, k in rows)
+
+
+def test_blank_candidates_fix_no_target(spark):
+    seeds = spark.createDataFrame([("k", "x")], "source string, target string")
+    rows = [(" ", "a", 0), ("n", " ", 1), ("n", "p", 2), ("n", "p", 3), ("n", "q", 4), ("k", "x", 5), ("k", "y", 6), (None, "z", 7), ("n", "r", 8)]
+    merged = glossary.merge(seeds, spark.createDataFrame(rows, "source string, target string, arrival long"))
+    assert {r.arrival: r.action for r in merged.collect()} == dict(enumerate(["invalid", "invalid", "inserted", "unchanged", "conflict", "unchanged", "rejected_by_lock", "invalid", "conflict"]))
+    assert sorted((r.source, r.nth, r.existing_target, r.proposed_target, r.resolved) for r in glossary.conflicts(merged).collect()) == [("k", 1, "x", "y", True), ("n", 1, "p", "q", False), ("n", 2, "p", "r", False)]
+
+
+def test_marks_progress_and_search(spark):
+    chunks = spark.createDataFrame([(1, "new"), (2, "new")], "chunk long, status string")
+    marks = spark.createDataFrame([(2, "done", 5), (2, "failed", 9), (3, "done", 1)], "chunk long, status string, seq long")
+    assert dict(lifecycle.marked(chunks, marks, "chunk").collect()) == {1: "new", 2: "failed", 3: "done"}
+    runs = spark.createDataFrame([(8, 2, 0, 0), (0, 0, 1, 4001)], "n long, done long, failed long, chars long")
+    got = runs.select(lifecycle.progress_line(runs.n, runs.done, runs.failed).alias("line"), lifecycle.estimated_chunks(runs.chars, 4000).alias("k")).collect()
+    assert [tuple(r) for r in got] == [("- 2/8 (25%)", 1), ("- 0/0 (0%), 1 failed", 2)]
+    terms = spark.createDataFrame([("Ab", None, None, "t", "ok"), ("c", "d", "xAB", "t", "conflict"), ("e", "f", None, "u", "ok")], "source string, target string, note string, type string, status string")
+    assert [r.source for r in glossary.search(terms, " aB ").collect()] == ["Ab", "c"]
+    assert [r.source for r in glossary.search(terms, "ab", "t", only_conflicts=True).collect()] == ["c"]
+    assert glossary.search(terms, "").count() == 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import sequenced
+
 TOKEN = r"[a-z0-9_]+"
 
 
@@ -38,14 +40,16 @@ def merge(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """What each candidate (source, target, arrival) does to a glossary of locked ``seeds`` (source, target).
 
     The first arrival of a new source fixes its target, so the ordered fold has a closed form: candidates of a seeded
-    source are unchanged or rejected, of any other inserted, unchanged or in conflict.
+    source are unchanged or rejected, of any other inserted, unchanged or in conflict. First arrivals are a minimum, which
+    is taken before the shuffle, so a source that most candidates have is never sorted in one task. Candidates without
+    source or target fix nothing. Arrivals must be unique.
     """
-    by = Window.partitionBy("source").orderBy("arrival")
-    rows = candidates.join(seeds.withColumnRenamed("target", "locked"), "source", "left").withColumn("first", F.first("target").over(by)).withColumn("rank", F.row_number().over(by))
-    blank = (F.trim("source") == "") | (F.trim("target") == "")
+    blank = (F.coalesce(F.trim("source"), F.lit("")) == "") | (F.coalesce(F.trim("target"), F.lit("")) == "")
+    firsts = candidates.where(~blank).groupBy("source").agg(F.min_by("target", "arrival").alias("first"), F.min("arrival").alias("_at"))
+    rows = candidates.join(seeds.withColumnRenamed("target", "locked"), "source", "left").join(firsts, "source", "left")
     action = (
         F.when(blank, "invalid").when(F.col("locked") == F.col("target"), "unchanged").when(F.col("locked").isNotNull(), "rejected_by_lock")
-        .when(F.col("rank") == 1, "inserted").when(F.col("target") == F.col("first"), "unchanged").otherwise("conflict")
+        .when(F.col("arrival") == F.col("_at"), "inserted").when(F.col("target") == F.col("first"), "unchanged").otherwise("conflict")
     )
     return rows.select("arrival", "source", "target", F.coalesce("locked", "first").alias("kept"), action.alias("action"))
 
@@ -53,8 +57,7 @@ def merge(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
 def conflicts(merged: DataFrame) -> DataFrame:
     """Conflicts by source, with gap-free ids of their own in order of arrival; open ones come of unlocked terms."""
     logged = merged.where("action in ('conflict', 'rejected_by_lock')")
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("arrival"))
-    return logged.select("source", nth.alias("nth"), "arrival", F.col("kept").alias("existing_target"), F.col("target").alias("proposed_target"), (F.col("action") == "rejected_by_lock").alias("resolved"))
+    return sequenced(logged, "arrival", by="source").select("source", F.col("seq").cast("int").alias("nth"), "arrival", F.col("kept").alias("existing_target"), F.col("target").alias("proposed_target"), (F.col("action") == "rejected_by_lock").alias("resolved"))
 
 
 def stats(merged: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,15 +11,15 @@ def import_outcomes(existing: DataFrame, incoming: DataFrame, overwrite: bool) -
 
     Rows without source or target are skipped. With ``overwrite`` a source that the glossary or an earlier row has is
     updated; without it, a row that says the same is an update and any other is skipped. Each row depends only on the
-    glossary and on the first row of its source, so this is a window by source.
+    glossary and on the first row of its source, which is a minimum taken before the shuffle. Arrivals must be unique.
     """
     rows = incoming.withColumns({"source": F.trim("source"), "target": F.trim("target")})
     blank = (F.coalesce("source", F.lit("")) == "") | (F.coalesce("target", F.lit("")) == "")
     bad = rows.where(blank).select("arrival", "source", "target", F.lit("skipped").alias("outcome"))
-    by = Window.partitionBy("source").orderBy("arrival")
+    firsts = rows.where(~blank).groupBy("source").agg(F.min_by("target", "arrival").alias("first"), F.min("arrival").alias("_at"))
     known = existing.select("source", F.col("target").alias("had"))
-    good = rows.where(~blank).withColumns({"first": F.first("target").over(by), "rank": F.row_number().over(by)}).join(known, "source", "left")
-    new = F.col("had").isNull() & (F.col("rank") == 1)
+    good = rows.where(~blank).join(firsts, "source").join(known, "source", "left")
+    new = F.col("had").isNull() & (F.col("arrival") == F.col("_at"))
     same = F.lit(True) if overwrite else F.col("target") == F.coalesce("had", "first")
     return good.select("arrival", "source", "target", F.when(new, "added").when(same, "updated").otherwise("skipped").alias("outcome")).union(bad)
 
