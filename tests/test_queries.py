@@ -38,7 +38,7 @@ def test_matches_sql(spark, duck, name):
 
 
 #: Their rows come of steps that SQL cannot express; ``test_sources``, ``test_cells`` and ``test_records`` hold their operators against hand-computed cases.
-WITHOUT_SQL = {"layout_order", "punct_normalize", "merged_cells", "gates", "note_blocks", "nested_blocks"}
+WITHOUT_SQL = {"layout_order", "punct_normalize", "merged_cells", "note_blocks", "nested_blocks"}
 
 
 def test_queries_without_sql_are_known():

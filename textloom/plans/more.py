@@ -180,7 +180,7 @@ _BOX = "SELECT l_orderkey AS page, l_linenumber AS box, l_partkey % 1000 AS x0,
 
 def oracle_sql() -> dict[str, str]:
     ps = f"list_filter(list_transform(string_split({{}}, chr(10)), lambda x: {r._STRIP.format('x')}), lambda x: x <> '')"
-    return {
+    out = {
         "excerpt": f"WITH {r._PARAS}, c AS (SELECT *, coalesce(sum(length(para) + 2) OVER (PARTITION BY doc_id ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM p) SELECT d.doc_id, coalesce(excerpt, '') AS excerpt FROM d LEFT JOIN (SELECT doc_id, string_agg(para, chr(10) || chr(10) ORDER BY para_idx) AS excerpt FROM c WHERE para_idx = 0 OR used + length(para) <= {EXCERPT} GROUP BY doc_id) USING (doc_id)",
         "chat_rule_match": "SELECT conv_id, turn, (CASE WHEN role = 'assistant' AND turn = 1 THEN 0 WHEN role = 'user' AND turn = 0 THEN 1 WHEN turn = 3 THEN 2 WHEN role = 'user' THEN 3 ELSE 4 END)::INTEGER AS rule FROM conversations",
         "stage_plan": "SELECT conv_id, CASE WHEN n <= 2 THEN 'simple' ELSE 'full' END AS path_mode, CASE WHEN n <= 2 THEN 'off' WHEN n > 60 THEN 'sampled' ELSE 'full' END AS prescan, (CASE WHEN n <= 2 THEN 0 WHEN n > 60 THEN 30 ELSE n END)::BIGINT AS n_samples, CASE WHEN n = 1 THEN 'S0,S1,S4,S6,S8' WHEN n = 2 THEN 'S0,S1,S4,S5,S6,S8' ELSE 'S0,S1,S2,S4,S5,S6,S8' END AS stages FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)",
@@ -212,3 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "fence_strip": "SELECT doc_id, chr(10) || chr(10) || chr(10) || chr(10) || text AS text FROM documents",
         "bracket_residue": "SELECT doc_id, 1::INTEGER AS residue, 2::INTEGER AS protected FROM documents",
     }
+    base = r.oracle_sql()
+    out["gates"] = f"""SELECT 'alignment' AS gate, (SELECT count(*) FROM ({base["align_issues"]}) WHERE severity = 'error') = 0 AS passed UNION ALL SELECT 'terms', (SELECT rate FROM ({out["term_rate"]})) >= 0.98
+        UNION ALL SELECT 'conflicts', (SELECT count(*) FROM ({base["glossary_conflicts"]}) WHERE NOT resolved) = 0"""
+    return out
