@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from textloom.llm import decontaminate, exact_dedup, html_text, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc
+from textloom.llm import decontaminate, exact_dedup, html_text, mixing, near_copies, pii, simhash, substring_dedup, toxicity, url_filter, warc
 from textloom.llm.components import connected_components
 
 W = [f"w{i}" for i in range(400)]
@@ -55,6 +55,49 @@ def test_near_groups(docs):
     assert sorted(repr((r.doc_id, r.fingerprint, r.component_id)) for r in got) == sorted(repr((i, f"{fps[i, t]:016x}", want[i, t])) for i, t in TEXTS)
 
 
+def five_word_groups(texts):
+    """Brute force: the smallest id of each row's group under five-word Jaccard similarity 4/5."""
+
+    def words5(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, left, want = [words5(t) for _, t in texts], set(range(len(texts))), {}
+    while left:
+        group = [left.pop()]
+        for x in group:
+            near = {y for y in left if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+            left -= near
+            group += near
+        for x in group:
+            want[x] = min((texts[y][0] for y in group if texts[y][0] is not None), default=None)
+    return want
+
+
+def near_texts():
+    """Sources with chains of edited copies, one large group, and a passage that many texts share."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    passage, out = draw(30), []
+    for k in range(25):
+        words = draw(int(rng.integers(20, 150))) + passage * (k % 2)
+        for _ in range(40 if k == 0 else 4):
+            out.append(" ".join(words))
+            for at in rng.integers(0, len(words), int(rng.integers(1, 3))):
+                words = [*words[:at], "new" + str(rng.integers(9999)), *words[at + 1 :]]
+    return list(enumerate(out, 100)) + TEXTS
+
+
+def test_near_dedup_takes_five_word_copies(spark):
+    texts = near_texts()
+    want = five_word_groups(texts)
+    copies = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = sorted({i for i, _ in texts if i is not None and i in set(want.values())})
+    assert sorted({r.doc_id for r in simhash.near_dedup(copies).collect()}) == kept
+    got = sorted(repr(tuple(r)) for r in near_copies.near_copy_groups(copies).collect())
+    assert got == sorted(repr((i, want[k])) for k, (i, _) in enumerate(texts))
+
+
 @pytest.mark.parametrize("limit", [256, 2])
 def test_links_connect_all_close_fingerprints(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "LONG_RUN", limit)
