@@ -257,6 +257,17 @@ def test_pseudonyms(spark):
     assert new.endswith("bad 4041894974608796 2023-02-30 999.1.1.1")
 
 
+def test_phones_of_any_area_and_cards_beside_digits(spark):
+    card = "4111111111111111"
+    texts = ["+1 (017) 555-7713", "+1 (132) 055-1352", "017-555-7713", f"{card} 123", f"12 {card}", card, "4111 1111 1111 1111 7", "4111111111111112 123"]
+    got = [r for r in pii.pseudonyms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [r.n_values for r in got] == [1, 1, 1, 1, 1, 1, 1, 0]
+    new = [r.text for r in got]
+    assert all(re.sub("[0-9]", "9", x) == re.sub("[0-9]", "9", y) and (x != y) == (k < 7) for k, (x, y) in enumerate(zip(new, texts, strict=True)))
+    assert re.sub("[^0-9]", "", new[0])[1:] == new[2].replace("-", "")
+    assert new[3] == f"{new[5]} 123" and new[4] == f"12 {new[5]}" and new[6].replace(" ", "") == f"{new[5]}7" and new[7] == texts[7]
+
+
 def test_feistel_is_a_permutation(spark):
     n = 30 * 7
     df = spark.range(n).selectExpr("id div 7 l", "id % 7 r")

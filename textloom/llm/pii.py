@@ -16,7 +16,7 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])"
+PHONE = r"(?<![0-9(])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
 #: Dates of the permutation: so many days from this one on.
@@ -57,7 +57,7 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(d, F.lit(0), lambda a, x: a + x)
 
 
-def card(h: Column, key: str) -> Column:
+def _card(h: Column, key: str) -> Column:
     d = _digits(h)
     body, n = F.substr(d, F.lit(1), F.length(d) - 1), F.length(d) - 1
     a = F.floor(n / 2).cast("int")
@@ -65,14 +65,30 @@ def card(h: Column, key: str) -> Column:
     x = feistel(key, F.concat(F.lit("card"), n.cast("string")), F.substr(body, F.lit(1), a), F.substr(body, a + 1, n - a), ten(a), ten(n - a))
     new = F.concat(F.lpad(x.l.cast("string"), a, F.lit("0")), F.lpad(x.r.cast("string"), n - a, F.lit("0")))
     check = ((10 - _luhn_sum(new, 0) % 10) % 10).cast("string")
-    return F.when(_luhn_sum(d, 1) % 10 == 0, _refill(h, F.concat(new, check)))
+    return _refill(h, F.concat(new, check))
+
+
+def card(h: Column, key: str) -> Column:
+    """The longest part of ``h`` between separators (the first of these) that is a card number is replaced; null if there is none."""
+    parts = F.regexp_extract_all(h, F.lit("[0-9]+|[ -]"), F.lit(0))
+
+    def cut_at(i: Column, j: Column) -> Column:
+        own = F.array_join(F.slice(parts, i, j - i + 1), "")
+        return F.struct(F.length(_digits(own)).alias("n"), (-i).alias("first"), own.alias("own"), F.array_join(F.slice(parts, 1, i - 1), "").alias("before"), F.array_join(F.slice(parts, j + 1, F.size(parts)), "").alias("after"))
+
+    odd = lambda first: F.sequence(first, F.size(parts), F.lit(2))  # noqa: E731  digits and separators take turns
+    cuts = F.flatten(F.transform(odd(F.lit(1)), lambda i: F.transform(odd(i), lambda j: cut_at(i, j))))
+    valid = F.filter(cuts, lambda c: c.n.between(13, 19) & (_luhn_sum(_digits(c.own), 1) % 10 == 0))
+    # One element or none: the image is of a bound value, not of this whole expression.
+    best = F.transform(F.slice(F.reverse(F.array_sort(valid)), 1, 1), lambda c: F.concat(c.before, _card(c.own, key), c.after))
+    return F.get(best, 0)
 
 
 def phone(h: Column, key: str) -> Column:
     d = F.substr(_digits(h), F.length(_digits(h)) - 9, F.lit(10))
     part = lambda at, n: F.substr(d, F.lit(at), F.lit(n)).cast("bigint")
-    x = feistel(key, F.lit("phone"), (part(1, 3) - 200) * 800 + part(4, 3) - 200, part(7, 4), F.lit(640_000), F.lit(10_000))
-    new = F.concat((F.floor(x.l / 800) + 200).cast("string"), (x.l % 800 + 200).cast("string"), F.lpad(x.r.cast("string"), 4, "0"))
+    x = feistel(key, F.lit("phone"), part(1, 6), part(7, 4), F.lit(1_000_000), F.lit(10_000))
+    new = F.concat(F.lpad(x.l.cast("string"), 6, "0"), F.lpad(x.r.cast("string"), 4, "0"))
     return _refill(h, F.when(F.length(_digits(h)) == 11, F.concat(F.lit("1"), new)).otherwise(new))
 
 
