@@ -200,6 +200,27 @@ def test_repeats_are_those_of_brute_force():
         assert got[k].tolist() == want
 
 
+@pytest.mark.parametrize("pages_an_array", [1, 3, 500])
+def test_repeats_are_found_over_the_whole_host(spark, pages_an_array):
+    rng = np.random.default_rng(2)
+    shared = [[f"s{k}x{i}" for i in range(12)] for k in range(6)]
+    pages = []
+    for k in range(24):
+        own = [f"p{k}x{i}" for i in range(20)]
+        mixed = own[:10] + (shared[k // 4] if k % 4 < 2 else []) + own[10:] + shared[int(rng.integers(6))][: int(rng.integers(6, 11))]
+        pages.append((k, f"http://{'ab'[k % 8 == 7]}.com/{k}", f"<p>{' '.join(mixed)}</p>"))
+    want = {}
+    for k, url, page in pages:
+        words, gone = page[3:-4].split(" "), set()
+        others = [f" {p[3:-4]} " for m, u, p in pages if m != k and u[:12] == url[:12]]
+        for i in range(len(words) - 7):
+            if any(f" {' '.join(words[i : i + 8])} " in o for o in others):
+                gone.update(range(i, i + 8))
+        want[k] = " ".join(w for i, w in enumerate(words) if i not in gone)
+    got = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), pages_an_array=pages_an_array)
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_network_gradients_and_learning():
     p = {k: v.astype(np.float64) for k, v in toxicity.initial(5).items()}
     feats = toxicity.Features({b"aa": 1, b"bb": 2, b"cc": 3})
