@@ -176,6 +176,12 @@ def test_pagerank_matches_power_iteration(spark):
     assert np.allclose([got["a"], got["b"], got["c"]], x)
 
 
+def test_pagerank_reaches_hosts_many_links_away(spark):
+    edges = [(f"h{k}", f"h{k + 1}", 1.0) for k in range(17)]
+    got = url_filter.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("h0", 1.0)], "host string, seed double")).collect()
+    assert {r.host: r.score for r in got} == pytest.approx({f"h{k}": 0.15 * 0.85**k for k in range(18)}, abs=1e-12)
+
+
 def test_html(spark):
     pages = [
         (1, "http://h.com/1", "<div>Home page of the host with a menu of items</div><p>One unique text here &lt;b&gt;"),

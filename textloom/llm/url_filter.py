@@ -9,7 +9,9 @@ from .shared import cut, lower_ascii
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+#: The spread ends when four rounds together pass on less than this share of the seeds; at 0.85 that takes 120 rounds at most.
+TOLERANCE, MAX_ROUNDS = 1e-9, 200
 RULES_IN_PLAN = 64
 LINK = r"""(?i)\s(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -52,23 +54,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", lower_ascii(F.regexp_replace("dst", r"^.*@|:\d*$", "")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score) for hosts that the seeds (host, seed) reach over ``edges``; what hosts without links hold returns to nobody."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
+    """(host, score) for hosts that the seeds (host, seed) reach over ``edges``; what hosts without links hold returns to nobody.
+
+    Scores only grow from round to round, so their sum tells how much was still passed on. Without ``rounds`` it goes on
+    until that is below ``TOLERANCE``.
+    """
     scores = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score"))
-    start = scores
+    start, held = scores, 0.0
     if edges.isEmpty():
         return scores
     out = edges.groupBy("src").agg(F.sum("weight").alias("total")).withColumnRenamed("src", "of")
     share = cut(edges.join(out, F.col("src") == F.col("of")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    for k in range(rounds):
+    for k in range(MAX_ROUNDS if rounds is None else rounds):
         passed = share.join(scores.withColumnRenamed("host", "src"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         scores = start.union(passed.select("dst", F.lit(damping) * F.col("got"))).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 4 == 3:
             scores = cut(scores)
+            if rounds is None:
+                now = scores.agg(F.sum("score")).first()[0] or 0.0
+                if now - held < TOLERANCE:
+                    break
+                held = now
+    else:
+        if rounds is None:
+            raise RuntimeError("scores did not settle")
     return scores
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     Trusted and blocked seeds are the hosts with pages that a rule allows or blocks, in proportion to those pages. Trust
