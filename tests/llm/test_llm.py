@@ -115,21 +115,61 @@ def test_links_connect_all_close_fingerprints(spark, monkeypatch, limit):
     assert len({root(x) for x in signed}) == 12
 
 
-def test_duplicate_spans(docs):
+def spans_by_brute_force(texts, window=13):
     ids = lambda i: float("inf") if i is None else i
     windows = {}
-    for i, t in TEXTS:
+    for i, t in texts:
         w = (t or "").split()
-        for j in range(len(w) - 12):
-            windows[tuple(w[j : j + 13])] = min(ids(i), windows.get(tuple(w[j : j + 13]), float("inf")))
+        for j in range(len(w) - window + 1):
+            windows[tuple(w[j : j + window])] = min(ids(i), windows.get(tuple(w[j : j + window]), float("inf")))
     want = []
-    for i, t in TEXTS:
+    for i, t in texts:
         w, gone = (t or "").split(), set()
-        for j in range(len(w) - 12):
-            if windows[tuple(w[j : j + 13])] < ids(i):
-                gone.update(range(j, j + 13))
+        for j in range(len(w) - window + 1):
+            if windows[tuple(w[j : j + window])] < ids(i):
+                gone.update(range(j, j + window))
         want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
-    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_text)) for r in substring_dedup.duplicate_spans(docs).collect()) == sorted(map(repr, want))
+    return sorted(map(repr, want))
+
+
+def repeating_texts():
+    """Passages that many texts share, texts of very few words in any order, copies, rows repeated with one id, ids without remainder by 16."""
+    rng = np.random.default_rng(5)
+    passages = [[f"p{x}" for x in rng.integers(0, 60, 40)] for _ in range(4)]
+    out = []
+    for k in range(60):
+        own = [f"q{x}" for x in rng.integers(0, 3000, 30)]
+        a, b = sorted(rng.integers(0, 41, 2).tolist())
+        out.append((16 * k, " ".join(own[:15] + passages[k % 4][a:b] + own[15:] + passages[(k + 1) % 4][: b - a])))
+        if k % 3 == 0:
+            out.append((16 * int(rng.integers(60)), " ".join(rng.choice(["x", "y"], 40))))
+            out.append((None if k % 2 else 16 * k, out[-2][1]))
+    return out + out[::7]
+
+
+@pytest.mark.parametrize(("partitions", "part_bytes", "seed_bits", "hot"), [(4, 6 << 20, 64, 512), (1, 300, 64, 512), (16, 300, 64, 1), (4, 500, 2, 512), (4, 500, 3, 2)])
+def test_duplicate_spans(spark, partitions, part_bytes, seed_bits, hot):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    texts = TEXTS + repeating_texts()
+    try:
+        df = spark.createDataFrame([(i, t, 1, "clash") for i, t in texts], "doc_id long, text string, part int, bucket string")
+        got = substring_dedup.duplicate_spans(df, part_bytes=part_bytes, seed_bits=seed_bits, hot_parts=hot, hot_windows=hot).collect()
+        assert substring_dedup.duplicate_spans(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_text)) for r in got) == spans_by_brute_force(texts)
+    of = {}
+    for i, t in texts:
+        of.setdefault(i, []).append((t or "").split())
+    for r in got:
+        covered = set()
+        own = [w for w in of[r.doc_id] if len(w) == r.n_words]
+        for f in r.factors:
+            assert f.words >= 13 and (r.doc_id is None or f.ref_doc < r.doc_id)
+            assert any(w[f.start : f.start + f.words] == o[f.ref_start : f.ref_start + f.words] for w in own for o in of[f.ref_doc])
+            covered.update(range(f.start, f.start + f.words))
+        assert len(covered) == r.n_removed
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 100])

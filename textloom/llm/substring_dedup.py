@@ -1,234 +1,275 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is factored against reference blocks that together hold all text. A block is the slice of the corpus
-whose seeds (windows of words, by hash) fall into one hash range, indexed by sorted seeds with the smallest document
-of each. A document's seeds go to every block that can hold them; the answers are the positions where a factor can
-stand. The parse is greedy: a factor starts at the first such seed and is extended while the next word's seed is in
-the reference too; it ends at the first that isn't. A factor is at least one window long, and its words are duplicate.
+Documents are dealt into parts. A part finds its own repeats and asks which of its anchors other parts hold: of each
+window of words one word sequence about half as long, the one with the least hash, is the anchor, so equal windows have
+equal anchors. Only the text around shared anchors goes on, to the reference block of its anchor. A block indexes all
+text that came to it and parses each document's piece greedily against the documents with smaller ids: a factor is as
+long as its words go on at one place of the reference, and at its end the next place is looked up again. The index
+compares words, never hashes; hashes only decide what meets where. Factors are at least one window long, and their words
+are duplicate. Anchors that very many windows share are dealt by window instead, so no block holds all of their text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from . import parts as P
 
 WINDOW = 13
-SLAB = 1_500_000
+#: Bits of the anchors' hashes; fewer make more candidates, never other results.
+SEED_BITS = 64
+#: Anchors that so many parts hold, or so many windows of one part, are dealt by window. It changes no result.
+HOT_PARTS, HOT_WINDOWS = 512, 512
 #: A document without an id comes after all others.
 NO_ID = (1 << 63) - 1
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.split() if text else []
-
-
-def seeds_of(words: list[bytes], window: int = WINDOW) -> np.ndarray:
-    """A 64-bit hash of each window of consecutive words."""
-    n = len(words) - window + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    flat, digest = b" ".join(words), xxhash.xxh3_64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    return np.array([digest(flat[a:b]) for a, b in zip(starts, ends[window - 1 :].tolist(), strict=True)], np.uint64)
-
-
-def factors(seed_known: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors (start, words) of one document: maximal runs of known seeds."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], seed_known.astype(np.int8), [0]])))
-    return [(a, b - a + window - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-
-
-def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of each stretch of equal values."""
-    if not len(x):
-        return []
-    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])).tolist()
-    return list(zip(cuts, cuts[1:], strict=False))
-
-
-#: Bytes of a seed that travel; the top byte is implied by the bucket, which is a range of the top bits.
-SEED_BYTES = 7
-_LOW = np.uint64((1 << 56) - 1)
-
-
-def _packed(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :SEED_BYTES].tobytes()
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // SEED_BYTES, 8), np.uint8)
-    out[:, :SEED_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, SEED_BYTES)
-    return out.view(np.uint64).ravel()
-
-
-_SEEDS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("seeds", pa.binary()), ("known", pa.bool_())])
-
-
-def _seed_rows(buckets: int, window: int) -> Callable:
-    """Packs the seeds of slabs of documents by bucket. Of a seed that several documents of a slab hold, only the
-    smallest document asks the block; the others are answered at once."""
-
-    def slab(ids: list[int], seeds: list[np.ndarray]) -> Iterator[tuple]:
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        ids, seeds = np.array(ids, np.int64)[order], [seeds[k] for k in order]
-        h = np.concatenate(seeds)
-        owner = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
-        by = np.argsort(h, kind="stable")  # documents stay in order of their ids
-        hs, os = h[by], owner[by]
-        start = np.concatenate([[True], hs[1:] != hs[:-1]])
-        first = os[np.flatnonzero(start)][np.cumsum(start) - 1]
-        known = ids[os] > ids[first]
-        told = known & (start | np.concatenate([[True], os[1:] != os[:-1]]))
-        for flag, which in ((True, told), (False, start)):
-            x, o = hs[which], os[which]
-            b = (((x >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
-            by = np.lexsort((o, b))
-            x, o, b = x[by], o[by], b[by]
-            for s, e in _stretches(b):
-                docs, counts = np.unique(o[s:e], return_counts=True)
-                gaps = np.diff(ids[docs], prepend=np.int64(0))  # small numbers, so that they compress
-                yield int(b[s]), gaps.tobytes(), counts.astype(np.int32).tobytes(), _packed(x[s:e]), flag
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seeds, held = [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(slab(ids, seeds))
-            for at in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 500], strict=True), _SEEDS.types, strict=True)], schema=_SEEDS)
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = seeds_of(words_of(t.as_buffer().to_pybytes() if t.is_valid else None), window)
-                if not len(x):
-                    continue
-                ids.append(i)
-                seeds.append(x)
-                held += len(x)
-                if held >= SLAB:
-                    yield from out()
-                    ids, seeds, held = [], [], 0
-        if seeds:
-            yield from out()
+#: An odd number and its inverse modulo 2^64: hashes of any stretch of bytes follow from the sums before its two ends.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^64; short tables are kept."""
+    if (have := _powers.get(base)) is None or len(have) < n:
+        have = np.full(max(n, 1), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= 2 * P.PART_BYTES:
+            _powers[base] = have
+    return have[:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+class Part:
+    """The documents of a part, by id, as one text of words with a space between, and the anchor of each window that lies inside a document."""
+
+    def __init__(self, t: pa.Table, window: int, buckets: int, seed_bits: int) -> None:
+        ids = t.column("doc_id").combine_chunks()
+        texts = [b" ".join(x.as_buffer().to_pybytes().split()) if x.is_valid else b"" for x in t.column("text")]
+        known = ids.is_valid().to_pylist()
+        rows = sorted(zip((x if ok else NO_ID for x, ok in zip(ids.to_pylist(), known, strict=True)), known, texts, strict=True), key=lambda r: (r[0], r[2]))
+        del texts
+        self.window, self.rows = window, [(i if ok else None) for i, ok, _ in rows]
+        sizes = np.array([x.count(b" ") + 1 if x else 0 for _, _, x in rows], np.int64)
+        self.cuts = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = b" ".join(x for _, _, x in rows if x)
+        data = np.frombuffer(self.flat, np.uint8)
+        space = np.flatnonzero(data == 32)
+        some = int(bool(self.flat))
+        #: First and last byte of each word, the last one excluded.
+        self.head, self.tail = np.concatenate([np.zeros(some, np.int64), space + 1]), np.concatenate([space, np.full(some, len(data))])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
+        self.sums = sums
+        n = max(0, len(self.head) - window + 1)
+        doc = np.repeat(np.arange(len(rows)), sizes)
+        self.starts = np.flatnonzero(doc[:n] == doc[window - 1 :]) if n else np.zeros(0, np.int64)
+        self.doc, self.ids = doc, np.array([i for i, _, _ in rows], np.int64)[doc]
+        short = (window + 1) // 2
+        seeds = self.hashes(np.arange(n + window - short if n else 0), short)
+        least, at = seeds[:n].copy(), np.arange(n)
+        for k in range(1, window - short + 1):
+            less = seeds[k : k + n] < least
+            np.copyto(least, seeds[k : k + n], where=less)
+            np.copyto(at, np.arange(k, k + n), where=less)
+        self.anchor = at[self.starts]
+        key = P.bucketed((least[self.starts] >> np.uint64(64 - seed_bits)) << np.uint64(64 - seed_bits), buckets)
+        self.keys, self.key = np.unique(key, return_inverse=True)
+
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Of ``size`` words from each of these places."""
+        start = self.head[at]
+        return _mixed((self.sums[self.tail[at + size - 1]] - self.sums[start]) * powers(_INVERSE, len(self.flat))[start])
+
+    def spans(self, at: np.ndarray, size: np.ndarray | int) -> list[bytes]:
+        """The text of ``size`` words from each of these places."""
+        flat = self.flat
+        return [flat[a:b] for a, b in zip(self.head[at].tolist(), self.tail[at + size - 1].tolist(), strict=True)]
+
+    def shared(self) -> np.ndarray:
+        """Which keys documents with different ids hold."""
+        own = self.ids[self.starts]
+        most, least = np.full(len(self.keys), -NO_ID - 1), np.full(len(self.keys), NO_ID)
+        np.maximum.at(most, self.key, own)
+        np.minimum.at(least, self.key, own)
+        return most > least
+
+    def hot(self, limit: int) -> np.ndarray:
+        return np.bincount(self.key, minlength=len(self.keys)) > limit
+
+    def first(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, the part's first window with the same words) as places, for the windows of these keys."""
+        at = self.starts[which[self.key]]
+        seen: dict[bytes, int] = {}
+        return at, np.fromiter(map(seen.setdefault, self.spans(at, self.window), at.tolist()), np.int64, len(at))
+
+
+_PIECES = "bucket long, part long, at binary, n binary, ids binary, own binary, words binary"
+_PIECES_SCHEMA = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), *((c, pa.binary()) for c in ("at", "n", "ids", "own", "words"))])
+_FACTORS = "part long, at binary, n binary, ids binary, own binary"
+_FACTORS_SCHEMA = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("at", "n", "ids", "own"))])
+
+
+def _questions(window: int, buckets: int, seed_bits: int, hot_windows: int) -> Callable:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        part = Part(t, window, buckets, seed_bits)
+        return P.asked(key[0].as_py(), part.keys, part.hot(hot_windows))
 
     return run
 
 
-_REPLIES = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("seeds", pa.binary())])
-_KNOWN = pa.schema([("doc", pa.int64()), ("known", pa.binary())])
-
-
-def _by_key(batches: Iterator[pa.RecordBatch], answer: Callable) -> Iterator[tuple]:
-    """What ``answer`` makes of the rows of each key; they come sorted by it."""
-    held: list[tuple] = []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and held[0][0] != r[0]:
-                yield from answer(held)
-                held = []
-            held.append(r)
-    if held:
-        yield from answer(held)
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
-    while part := list(itertools.islice(rows, size)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def _replies(x: np.ndarray, who: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Packed (document, seed) by the part that gathers the document's replies."""
-    part = np.remainder(who, parts)
-    by = np.lexsort((who, part))
-    x, who, part = x[by], who[by], part[by]
-    for s, e in _stretches(part):
-        ids, counts = np.unique(who[s:e], return_counts=True)
-        yield int(part[s]), np.diff(ids, prepend=np.int64(0)).tobytes(), counts.astype(np.int32).tobytes(), _packed(x[s:e])
-
-
-def _blocks(parts: int) -> Callable:
-    """Each bucket as a reference block: its seeds sorted, with the smallest document of each, answer all that asked."""
-
-    def answer(rows: list[tuple]) -> Iterator[tuple]:
-        seeds = np.concatenate([_unpacked(r[3]) for r in rows])
-        owner = np.concatenate([np.repeat(np.cumsum(np.frombuffer(r[1], np.int64)), np.frombuffer(r[2], np.int32)) for r in rows])
-        told = np.repeat(np.array([r[4] for r in rows]), [len(r[3]) // SEED_BYTES for r in rows])
-        told_seeds, told_owner = seeds[told], owner[told]
-        seeds, owner = seeds[~told], owner[~told]
-        by = np.argsort(seeds, kind="stable")
-        hs, who = seeds[by], owner[by]
-        start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(who, start) if len(hs) else who
-        known = who > np.repeat(least, np.diff(np.concatenate([start, [len(hs)]])))
-        yield from _replies(np.concatenate([told_seeds, hs[known]]), np.concatenate([told_owner, who[known]]), parts)
-
-    return lambda batches: _batches(_by_key(batches, answer), _REPLIES, 500)
+def _pieces(window: int, buckets: int, seed_bits: int) -> Callable:
+    """The text around anchors that other parts hold too, by block; each window that a part holds twice is sent once."""
+
+    def run(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        if not t.num_rows or not told.num_rows:
+            return P.table_of([], _PIECES_SCHEMA)
+        part = Part(t, window, buckets, seed_bits)
+        more, hot = P.answers(part.keys, told)
+        at, first = part.first(more)
+        at = at[at == first]
+        if not len(at):
+            return P.table_of([], _PIECES_SCHEMA)
+        window_of = np.searchsorted(part.starts, at)
+        own, anchor = part.key[window_of], part.anchor[window_of]
+        loose = hot[own]
+        new = np.concatenate([[True], (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | loose[1:]])
+        start = np.flatnonzero(new)
+        size = np.diff(np.concatenate([start, [len(at)]]))
+        at, loose = at[start], loose[start]
+        block = P.bucket_of(part.keys[own[start]])
+        if loose.any():
+            block[loose] = P.bucket_of(P.bucketed(part.hashes(at[loose], window), buckets))
+        by, rows = np.argsort(block, kind="stable"), []
+        at, size, block = at[by], size[by], block[by]
+        ids, doc_at = part.ids[at], at - part.cuts[part.doc[at]]
+        for s, e in P.stretches(block):
+            text = pack(b" ".join(part.spans(at[s:e], size[s:e] + window - 1)))
+            rows.append((int(block[s]), key[0].as_py(), at[s:e].astype(np.int32).tobytes(), size[s:e].astype(np.uint16).tobytes(), ids[s:e].tobytes(), doc_at[s:e].astype(np.int32).tobytes(), text))
+        return P.table_of(rows, _PIECES_SCHEMA)
 
+    return run
 
-def _gathered() -> Callable:
-    """One row per document with all its known seeds."""
 
-    def answer(rows: list[tuple]) -> Iterator[tuple]:
-        seeds = np.concatenate([_unpacked(r[3]) for r in rows])
-        owner = np.concatenate([np.repeat(np.cumsum(np.frombuffer(r[1], np.int64)), np.frombuffer(r[2], np.int32)) for r in rows])
-        by = np.argsort(owner, kind="stable")
-        seeds, owner = seeds[by], owner[by]
-        for s, e in _stretches(owner):
-            yield int(owner[s]), _packed(seeds[s:e])
+def _block(window: int) -> Callable:
+    """One reference block: indexes the words of all its windows with the smallest document that has them, and parses every piece."""
+
+    def run(t: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        index: dict[bytes, int] = {}
+        columns: list[tuple] = []
+        for k, (at, n, ids, own, text) in enumerate(zip(*(t.column(c).to_pylist() for c in ("at", "n", "ids", "own", "words")), strict=True)):
+            n, text = np.frombuffer(n, np.uint16).astype(np.int64), unpack(text)
+            space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            head, tail = np.concatenate([[0], space + 1]), np.concatenate([space, [len(text)]])
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = np.repeat(np.cumsum(n + window - 1) - (n + window - 1), n) + step
+            code = np.fromiter((index.setdefault(text[a:b], len(index)) for a, b in zip(head[first].tolist(), tail[first + window - 1].tolist(), strict=True)), np.int64, len(first))
+            columns.append((code, np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(own, np.int32), n) + step, np.full(len(first), k), np.repeat(np.frombuffer(at, np.int32), n) + step, step == 0))
+        code, ids, own, row, at, edge = (np.concatenate(x) for x in zip(*columns, strict=True))
+        by = np.lexsort((own, ids, code))
+        least = by[np.flatnonzero(np.concatenate([[True], np.diff(code[by]) != 0]))]
+        doc, place = ids[least][code], own[least][code]
+        known = doc < ids
+        # A factor goes on while its piece and the reference do.
+        goes_on = np.concatenate([[False], known[1:] & known[:-1] & ~edge[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1)])
+        start = np.flatnonzero(known & ~goes_on)
+        size = np.add.reduceat(known, start, dtype=np.int64) if len(start) else start
+        part = np.asarray(t.column("part"))[row[start]]
+        by, out = np.argsort(part, kind="stable"), []
+        part = part[by]
+        for s, e in P.stretches(part):
+            f = start[by[s:e]]
+            out.append((int(part[s]), at[f].astype(np.int32).tobytes(), size[by[s:e]].astype(np.uint16).tobytes(), doc[f].tobytes(), place[f].astype(np.int32).tobytes()))
+        return P.table_of(out, _FACTORS_SCHEMA)
 
-    return lambda batches: _batches(_by_key(batches, answer), _KNOWN, 2000)
+    return run
 
 
-_OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:bigint,words:bigint>>"
+_OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:bigint,words:bigint,ref_doc:bigint,ref_start:bigint>>"
 _OUT_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-
-
-def _parse(window: int, digest_only: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, t, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                words = words_of(t.as_buffer().to_pybytes() if t.is_valid else None)
-                n, found = len(words), []
-                if known:
-                    seeds = seeds_of(words, window)
-                    found = factors(np.isin(seeds & _LOW, _unpacked(known)), window)
-                    drop = np.zeros(n, bool)
-                    for s, size in found:
-                        drop[s : s + size] = True
-                    words = [w for w, gone in zip(words, drop.tolist(), strict=True) if not gone]
-                kept = b" ".join(words)
-                rows.append((i, n, n - len(words), hashlib.sha256(kept).hexdigest(), *(() if digest_only else (kept.decode(), [{"start": s, "words": w} for s, w in found]))))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))]
-            cols = list(zip(*rows, strict=True)) if rows else []
-            if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"][: len(cols)])
+_FACTOR = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "ref_doc", "ref_start")]))
+_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("factors", _FACTOR)])
+
+
+def _parsed(window: int, buckets: int, seed_bits: int, digest_only: bool) -> Callable:
+    """Every document of a part with the factors that its part and the blocks found."""
+    schema = pa.schema(list(_OUT_SCHEMA)[: 4 if digest_only else 6])
+
+    def run(t: pa.Table, factors: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return P.table_of([], schema)
+        part = Part(t, window, buckets, seed_bits)
+        n = len(part.head)
+        ref_doc, ref_at = np.full(n, NO_ID), np.zeros(n, np.int64)
+        told = np.zeros(n, bool)
+        for at, size, ids, own in zip(*(factors.column(c).to_pylist() for c in ("at", "n", "ids", "own")), strict=True):
+            size = np.frombuffer(size, np.uint16).astype(np.int64)
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            where = np.repeat(np.frombuffer(at, np.int32).astype(np.int64), size) + step
+            told[where] = True
+            ref_doc[where], ref_at[where] = np.repeat(np.frombuffer(ids, np.int64), size), np.repeat(np.frombuffer(own, np.int32), size) + step
+        which = part.shared()
+        which[part.key[told[part.starts]]] = True
+        at, first = part.first(which)
+        near, far = part.ids[first] < part.ids[at], told[first]
+        known = near | far
+        at, first, far = at[known], first[known], far[known]
+        doc = np.where(far, ref_doc[first], part.ids[first])
+        place = np.where(far, ref_at[first], first - part.cuts[part.doc[first]])
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.subtract.at(edge, np.minimum(at + window, n), 1)
+        gone = np.cumsum(edge[:-1]) > 0
+        cuts, rows = part.cuts.tolist(), []
+        bytes_at = np.concatenate([part.head, [len(part.flat) + 1]]).tolist()
+        if not digest_only:
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (np.diff(place) != 1)])) if len(at) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([new, [len(at)]])) + window - 1
+            owner = part.doc[at[new]] if len(new) else new
+        for k, (i, s, e) in enumerate(zip(part.rows, cuts, cuts[1:], strict=False)):
+            kept, removed = part.flat[bytes_at[s] : bytes_at[e] - 1] if e > s else b"", int(gone[s:e].sum())
+            if removed:
+                kept = b" ".join(w for w, x in zip(kept.split(b" "), gone[s:e].tolist(), strict=True) if not x)
+            row = (i, e - s, removed, hashlib.sha256(kept).hexdigest())
+            if not digest_only:
+                a, b = np.searchsorted(owner, [k, k + 1]).tolist()
+                row += (kept.decode(), [{"start": int(at[f]) - s, "words": int(x), "ref_doc": int(doc[f]), "ref_start": int(place[f])} for f, x in zip(new[a:b], size[a:b], strict=True)])
+            rows.append(row)
+        return P.table_of(rows, schema)
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, digest_only: bool = False) -> DataFrame:
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, digest_only: bool = False, seed_bits: int = SEED_BITS, part_bytes: int = P.PART_BYTES, hot_parts: int = HOT_PARTS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, unless ``digest_only``, kept_text and factors.
 
     Words are separated by ASCII white space. A window of ``window`` words is duplicate if the same words also start in a
-    document with a smaller doc_id, judged on the input; every word of a duplicate window is removed. Null texts have no
-    words; a null doc_id comes after every number. Rows with equal doc_id never make each other duplicate. Repeated rows
-    are repeated in the result; an empty table gives an empty result.
+    document with a smaller doc_id, judged on the input; every word of a duplicate window is removed. A factor says which
+    words it covers (start, words) and where a smaller document has them (ref_doc, ref_start); factors overlap where a
+    window across the end of one is duplicate too. Null and empty texts have no words; a null doc_id comes after every
+    number. Rows with equal doc_id never make each other duplicate. Repeated rows are repeated in the result; an empty
+    table gives an empty result. Other columns than doc_id and text are not read, whatever their names. A text that is
+    larger than a part is a part by itself. The words of a document are at most 2^31.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = F.coalesce("doc_id", F.lit(NO_ID))
-    buckets = min(1 << 24, 2 * partitions(docs.sparkSession))
-    packed = rows.select(own.alias("doc"), "text").mapInArrow(_seed_rows(buckets, window), "bucket long, ids binary, counts binary, seeds binary, known boolean")
-    replies = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(partitions(docs.sparkSession)), "part long, ids binary, counts binary, seeds binary")
-    known = replies.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered(), "doc long, known binary")
-    return rows.join(known, own == F.col("doc"), "left").select("doc_id", "text", "known").mapInArrow(_parse(window, digest_only), _OUT_DIGEST if digest_only else _OUT)
+    n = P.part_count(rows, part_bytes)
+    dealt = P.dealt(rows, n).groupBy("part")
+    told = P.told_by_buckets(dealt.applyInArrow(_questions(window, n, seed_bits, hot_windows), P.ASKED), hot_parts)
+    pieces = dealt.cogroup(told.groupBy("part")).applyInArrow(_pieces(window, n, seed_bits), _PIECES)
+    factors = pieces.groupBy("bucket").applyInArrow(_block(window), _FACTORS)
+    return dealt.cogroup(factors.groupBy("part")).applyInArrow(_parsed(window, n, seed_bits, digest_only), _OUT_DIGEST if digest_only else _OUT)
