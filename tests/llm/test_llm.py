@@ -21,16 +21,36 @@ def docs(spark):
 
 
 @pytest.mark.parametrize("budget", [1 << 20, 1])
-def test_exact_groups(docs, budget):
+def test_exact_groups(spark, budget):
+    texts = [*TEXTS, *TEXTS[:3], (70, "many"), *[(70, "many")] * 40, (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", k, "y") for k, (i, t) in enumerate(texts)], "doc_id long, text string, own string, row int, _k string").repartition(3)
     groups = {}
-    for i, t in TEXTS:
+    for i, t in texts:
         groups.setdefault((t or "").encode().lower(), []).append(i)
     want = sorted(repr((i, max((x for x in v if x is not None), default=None), len(v), hashlib.sha256(k).hexdigest())) for k, v in groups.items() for i in v)
     got = exact_dedup.exact_groups(docs, budget).collect()
     assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in got) == want
-    assert sum(r.kept for r in got) == len(groups)
-    kept = exact_dedup.exact_dedup(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    kept = exact_dedup.exact_dedup(docs, budget)
+    assert kept.columns == docs.columns
+    rows = [((r.text or "").encode().lower(), r.doc_id) for r in kept.collect()]
+    assert sorted(rows, key=repr) == sorted(((k, max((x for x in v if x is not None), default=None)) for k, v in groups.items()), key=repr)
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_grace_tables_keep_within_their_budget():
+    records = [(hashlib.sha256(b"%d" % (k % 5000)).digest(), k, 0, k % 7, 1, b"%d" % (k % 5000)) for k in range(20_000)]
+    sizes, rows = [], {}
+
+    def emit(held):
+        sizes.append((held.bytes, len(held.entries)))
+        for content, best, n in zip(held.contents, held.best, held.counts, strict=True):
+            rows[content] = rows.get(content, ()) + ((best[0], n),)
+        return ()
+
+    list(exact_dedup.grace(iter(records), emit, 100_000, members=True))
+    assert rows == {b"%d" % k: ((15_000 + k, 4),) for k in range(5000)}
+    assert len(sizes) > 10 and max(b - exact_dedup.MEMBER_BYTES * n for b, n in sizes) < 110_000
 
 
 def fingerprint(t):

@@ -45,5 +45,31 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of two numbers that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, like the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text are in ``gone`` (doc_id, own: the text's xxhash64), which is counted
+    first: few of them are broadcast, of more both sides are shuffled."""
+    i, h, gi, gh = fresh(docs, "id", "own", "gone_id", "gone_own")
+    keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(F.col("text").cast("string"))})
+    gone = gone.select(F.col("doc_id").alias(gi), F.col("own").alias(gh))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return keyed.join(gone, F.col(i).eqNullSafe(F.col(gi)) & (F.col(h) == F.col(gh)), "left_anti").drop(i, h)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
