@@ -22,6 +22,50 @@ _LOW = np.uint64((1 << (8 * KEY_BYTES)) - 1)
 _SHIFT = np.uint64(8 * KEY_BYTES)
 
 
+#: An odd number and its inverse modulo 2^64: hashes of any stretch of bytes follow from the sums before its two ends.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^64; short tables are kept."""
+    if (have := _powers.get(base)) is None or len(have) < n:
+        have = np.full(max(n, 1), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= 2 * PART_BYTES:
+            _powers[base] = have
+    return have[:n]
+
+
+class Words:
+    """Texts whose words have one space between, as one such text; ``cuts`` are the texts' first words."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.sizes = np.array([x.count(b" ") + 1 if x else 0 for x in texts], np.int64)
+        self.cuts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flat = b" ".join(x for x in texts if x)
+        data, some = np.frombuffer(self.flat, np.uint8), int(bool(self.flat))
+        space = np.flatnonzero(data == 32)
+        #: First and last byte of each word, the last one excluded.
+        self.head, self.tail = np.concatenate([np.zeros(some, np.int64), space + 1]), np.concatenate([space, np.full(some, len(data))])
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=self.sums[1:])
+
+    def hashes(self, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """Of ``size`` words from each of these places."""
+        start = self.head[at]
+        x = (self.sums[self.tail[at + size - 1]] - self.sums[start]) * powers(_INVERSE, len(self.flat))[start]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return x ^ (x >> np.uint64(29))
+
+    def spans(self, at: np.ndarray, size: int | np.ndarray) -> list[bytes]:
+        """The text of ``size`` words from each of these places."""
+        flat = self.flat
+        return [flat[a:b] for a, b in zip(self.head[at].tolist(), self.tail[at + size - 1].tolist(), strict=True)]
+
+
 def part_count(rows: DataFrame, part_bytes: int = PART_BYTES) -> int:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return min(1 << 24, max(2 * partitions(rows.sparkSession), -(-size // part_bytes)))
@@ -49,11 +93,11 @@ def stretches(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def _packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
 
-def _unpacked(x: bytes) -> np.ndarray:
+def unpacked(x: bytes) -> np.ndarray:
     out = np.zeros((len(x) // KEY_BYTES, 8), np.uint8)
     out[:, :KEY_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES)
     return out.view(np.uint64).ravel()
@@ -71,7 +115,7 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def asked(part: int, keys: np.ndarray, hot: np.ndarray) -> pa.Table:
     """A part's sorted distinct keys, a row for each bucket; hot: keys whose holders must not meet by key alone."""
-    return table_of([(int(bucket_of(keys[s : s + 1])[0]), part, _packed(keys[s:e]), np.packbits(hot[s:e]).tobytes() if hot[s:e].any() else b"") for s, e in stretches(bucket_of(keys))], _ASKED)
+    return table_of([(int(bucket_of(keys[s : s + 1])[0]), part, packed(keys[s:e]), np.packbits(hot[s:e]).tobytes() if hot[s:e].any() else b"") for s, e in stretches(bucket_of(keys))], _ASKED)
 
 
 def _bits(x: bytes, n: int) -> np.ndarray:
@@ -83,7 +127,7 @@ def told_by_buckets(questions: DataFrame, hot_parts: int) -> DataFrame:
 
     def bucket(t: pa.Table) -> pa.Table:
         rows = list(zip(*(t.column(c).to_pylist() for c in ("part", "bucket", "keys", "hot")), strict=True))
-        keys = [_unpacked(r[2]) for r in rows]
+        keys = [unpacked(r[2]) for r in rows]
         sizes = [len(x) for x in keys]
         flat, hot = np.concatenate(keys), np.concatenate([_bits(r[3], n) for r, n in zip(rows, sizes, strict=True)])
         _, run, count = np.unique(flat, return_inverse=True, return_counts=True)

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .near_copies import near_copy_groups
-from .shared import cut
+from .near_copies import near_copy_rows
+from .shared import cut, without_rows
 
 BITS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
 LONG_RUN = 256
@@ -210,6 +210,8 @@ def near_groups(docs: DataFrame, bits: int = BITS, segments: int = SEGMENTS, shi
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group of near copies (five-word Jaccard similarity 4/5, not fingerprints): one document of each group; rows without an id stay only if their whole group has none."""
-    kept = near_copy_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    """The rows of ``docs`` whose doc_id names their group of near copies (five-word Jaccard similarity 4/5, not
+    fingerprints), with all their columns, whatever their names: one document of each group. Rows without an id stay only
+    if their whole group has none. What goes is looked up by doc_id and text."""
+    gone = cut(near_copy_rows(docs).where("not doc_id <=> component_id").select("doc_id", "own").distinct())
+    return without_rows(docs, gone)

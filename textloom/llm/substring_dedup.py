@@ -31,53 +31,20 @@ HOT_PARTS, HOT_WINDOWS = 512, 512
 NO_ID = (1 << 63) - 1
 
 
-#: An odd number and its inverse modulo 2^64: hashes of any stretch of bytes follow from the sums before its two ends.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 to base^(n - 1) modulo 2^64; short tables are kept."""
-    if (have := _powers.get(base)) is None or len(have) < n:
-        have = np.full(max(n, 1), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 2 * P.PART_BYTES:
-            _powers[base] = have
-    return have[:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(29))
-
-
-class Part:
-    """The documents of a part, by id, as one text of words with a space between, and the anchor of each window that lies inside a document."""
+class Part(P.Words):
+    """The documents of a part, by id, as one text, and the anchor of each window that lies inside a document."""
 
     def __init__(self, t: pa.Table, window: int, buckets: int, seed_bits: int) -> None:
         ids = t.column("doc_id").combine_chunks()
         texts = [b" ".join(x.as_buffer().to_pybytes().split()) if x.is_valid else b"" for x in t.column("text")]
         known = ids.is_valid().to_pylist()
         rows = sorted(zip((x if ok else NO_ID for x, ok in zip(ids.to_pylist(), known, strict=True)), known, texts, strict=True), key=lambda r: (r[0], r[2]))
-        del texts
+        super().__init__([x for _, _, x in rows])
         self.window, self.rows = window, [(i if ok else None) for i, ok, _ in rows]
-        sizes = np.array([x.count(b" ") + 1 if x else 0 for _, _, x in rows], np.int64)
-        self.cuts = np.concatenate([[0], np.cumsum(sizes)])
-        self.flat = b" ".join(x for _, _, x in rows if x)
-        data = np.frombuffer(self.flat, np.uint8)
-        space = np.flatnonzero(data == 32)
-        some = int(bool(self.flat))
-        #: First and last byte of each word, the last one excluded.
-        self.head, self.tail = np.concatenate([np.zeros(some, np.int64), space + 1]), np.concatenate([space, np.full(some, len(data))])
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-        self.sums = sums
         n = max(0, len(self.head) - window + 1)
-        doc = np.repeat(np.arange(len(rows)), sizes)
+        self.doc = doc = np.repeat(np.arange(len(rows)), self.sizes)
+        self.ids = np.array([i for i, _, _ in rows], np.int64)[doc]
         self.starts = np.flatnonzero(doc[:n] == doc[window - 1 :]) if n else np.zeros(0, np.int64)
-        self.doc, self.ids = doc, np.array([i for i, _, _ in rows], np.int64)[doc]
         short = (window + 1) // 2
         seeds = self.hashes(np.arange(n + window - short if n else 0), short)
         least, at = seeds[:n].copy(), np.arange(n)
@@ -89,16 +56,6 @@ class Part:
         key = P.bucketed((least[self.starts] >> np.uint64(64 - seed_bits)) << np.uint64(64 - seed_bits), buckets)
         self.keys, self.key = np.unique(key, return_inverse=True)
 
-    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Of ``size`` words from each of these places."""
-        start = self.head[at]
-        return _mixed((self.sums[self.tail[at + size - 1]] - self.sums[start]) * powers(_INVERSE, len(self.flat))[start])
-
-    def spans(self, at: np.ndarray, size: np.ndarray | int) -> list[bytes]:
-        """The text of ``size`` words from each of these places."""
-        flat = self.flat
-        return [flat[a:b] for a, b in zip(self.head[at].tolist(), self.tail[at + size - 1].tolist(), strict=True)]
-
     def shared(self) -> np.ndarray:
         """Which keys documents with different ids hold."""
         own = self.ids[self.starts]
