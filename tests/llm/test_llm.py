@@ -196,7 +196,7 @@ def test_duplicate_spans(spark, partitions, part_bytes, seed_bits, hot):
 def test_contamination(spark, docs, shard):
     items = [(1, " ".join(W[8:25])), (2, "text, HERE!"), (3, None), (4, ""), (10, " ".join(W[:13])), (None, "àb")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    word, low = decontaminate.word_pattern(), lambda t: (t or "").encode().lower().decode()
+    word, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda t: (t or "").encode().lower().decode()
     patterns = [(str(i) if i is not None else "", w[j : j + 13]) for i, t in items for w in [word.findall(low(t))] if w for j in range(max(1, len(w) - 12))]
     want = []
     for i, t in TEXTS:
@@ -247,10 +247,12 @@ def test_html(spark):
         (1, "http://h.com/1", "<div>Home page of the host with a menu of items</div><p>One unique text here &lt;b&gt;"),
         (2, "http://h.com/2", '<div>Home page of the host with a menu of items</div><p>Other &amp;amp;&nbsp;words <script>"</p>"</script>here'),
         (3, None, None), (4, "x", ""),
+        (6, "http://h.com/1", "<div>Home page of the host with a menu of items</div> <p>One unique text here &lt;b&gt;</p>"),
+        (7, "z", '<article><section id="share-prices"><p class="related-work">kept</section><div id="ad-slot-3">no</div><p class="x social-links">no</article>'),
         (5, "z", '<nav>no</nav><article><h1>T</h1><ul><li>a<li>b</ul><div class="comments">no</div><p title="a>b">c <b>d<br>e</p> f &am<aside>no</aside></article><p>out'),
     ]
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    want = {1: "One unique text here <b>", 2: "Other &amp; words here", 3: "", 4: "", 5: "T\na\nb\nc d e\nf &am"}
+    want = {1: "One unique text here <b>", 2: "Other &amp; words here", 3: "", 4: "", 5: "T\na\nb\nc d e\nf &am", 6: "One unique text here <b>", 7: "kept"}
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
@@ -307,7 +309,7 @@ def test_network_gradients_and_learning():
 
 
 def test_every_word_is_in_a_window():
-    for n in (0, 1, 31, 32, 33, 56, 57, 200):
+    for n in (0, 1, 31, 32, 33, 48, 49, 200):
         assert set(range(1, n + 1)) == set(toxicity.windows_of(np.arange(1, n + 1)).ravel().tolist()) - {0}
 
 
@@ -333,7 +335,7 @@ def test_mixing(spark, docs):
 
 def test_pseudonyms(spark):
     text = "a 4041894974608795 b +1 (988) 555-2485, m.x1@mail8.example.com 42.144.35.254. 2024-02-29 31/12/1999 123-45-6789; bad 4041894974608796 2023-02-30 999.1.1.1"
-    rows = pii.pseudonyms(spark.createDataFrame([(1, text), (2, "x 4041894974608795"), (3, None), (4, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonyms(spark.createDataFrame([(1, text), (2, "x 4041894974608795"), (3, None), (4, "")], "doc_id long, text string"), "key").orderBy("doc_id").collect()
     assert [r.n_values for r in rows] == [7, 1, 0, 0] and rows[2].text is None and rows[3].text == ""
     new = rows[0].text
     assert re.sub(r"[0-9a-z]", "x", new) == re.sub(r"[0-9a-z]", "x", text) or "." in new
@@ -347,7 +349,7 @@ def test_pseudonyms(spark):
 def test_phones_of_any_area_and_cards_beside_digits(spark):
     card = "4111111111111111"
     texts = ["+1 (017) 555-7713", "+1 (132) 055-1352", "017-555-7713", f"{card} 123", f"12 {card}", card, "4111 1111 1111 1111 7", "4111111111111112 123"]
-    got = [r for r in pii.pseudonyms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r for r in pii.pseudonyms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
     assert [r.n_values for r in got] == [1, 1, 1, 1, 1, 1, 1, 0]
     new = [r.text for r in got]
     assert all(re.sub("[0-9]", "9", x) == re.sub("[0-9]", "9", y) and (x != y) == (k < 7) for k, (x, y) in enumerate(zip(new, texts, strict=True)))

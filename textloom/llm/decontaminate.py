@@ -8,7 +8,6 @@ Many start positions of a batch advance together, so the inner loop is vectorise
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -17,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut, fresh
+
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, SHARDS_AT_ONCE = 4 << 20, 4
 BATCH_BYTES = 8 << 20
 LANE = 2048
 #: Bytes that split words become spaces, A-Z become a-z, bytes from 0x80 are part of words.
@@ -47,7 +48,7 @@ class WuManber:
         self.block = min(16, self.m, max(2, self.m // 2))
         prefixes = np.frombuffer(b"".join(p[: self.m] for p in patterns), np.uint8).reshape(-1, self.m)
         last = self.m - self.block
-        self.shift = np.full(1 << TABLE_BITS, last + 1, np.int64)
+        self.shift = np.full(1 << TABLE_BITS, last + 1, np.int32)
         for j in range(last + 1):
             np.minimum.at(self.shift, self._hash(prefixes.reshape(-1), np.arange(len(patterns)) * self.m + j), last - j)
         self.buckets: dict[int, list[int]] = defaultdict(list)
@@ -98,7 +99,7 @@ def build(items: list[tuple[str, bytes]], size: int = WINDOW) -> list[tuple[WuMa
     return [(WuManber(ps), [p.count(b" ") - 1 for p in ps], [sorted(owners[p]) for p in ps]) for ps in classes.values()]
 
 
-def _scan(index, mode: str) -> Callable:
+def _scan(index, mode: str, spans: str, items: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
@@ -107,14 +108,14 @@ def _scan(index, mode: str) -> Callable:
                 while end < b.num_rows and (end == at or size < BATCH_BYTES):
                     size += len(t.as_buffer()) if (t := b.column("text")[end]).is_valid else 0
                     end += 1
-                yield scan_batch(index.value, b.slice(at, end - at), mode)
+                yield scan_batch(index.value, b.slice(at, end - at), mode, spans, items)
                 at = end
 
     return run
 
 
-def scan_batch(index, b: pa.RecordBatch, mode: str) -> pa.RecordBatch:
-    """Adds one index's hits to those in ``_spans`` and ``_items``; carries them on, or ends with a digest or a filter."""
+def scan_batch(index, b: pa.RecordBatch, mode: str, spans_in: str, items_in: str) -> pa.RecordBatch:
+    """Adds one index's hits to those in the columns ``spans_in`` and ``items_in``; carries them on, or ends with a digest or a filter."""
     texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text")]
     docs = [b" ".join(words_of(t)) for t in texts]
     data = b"\n".join(b" " + d + b" " for d in docs)
@@ -122,9 +123,9 @@ def scan_batch(index, b: pa.RecordBatch, mode: str) -> pa.RecordBatch:
     sizes = np.array([d.count(b" ") + 1 if d else 0 for d in docs], np.int64)
     slots = np.where(sizes == 0, 2, sizes + 1)  # spaces of each document
     first = np.concatenate([[0], np.cumsum(slots)])
-    items: list[set[str]] = [set(x or ()) for x in b.column("_items").to_pylist()]
+    items: list[set[str]] = [set(x or ()) for x in b.column(items_in).to_pylist()]
     hit = np.zeros(len(space) + 1, np.int64)
-    for d, spans in enumerate(b.column("_spans").to_pylist()):
+    for d, spans in enumerate(b.column(spans_in).to_pylist()):
         for s, e in zip((spans or [])[::2], (spans or [])[1::2], strict=True):
             hit[first[d] + s] += 1
             hit[first[d] + e] -= 1
@@ -140,13 +141,13 @@ def scan_batch(index, b: pa.RecordBatch, mode: str) -> pa.RecordBatch:
     inside = np.cumsum(hit) > 0
     if mode == "carry":
         spans = [np.flatnonzero(np.diff(np.concatenate([[0], inside[first[d] : first[d] + sizes[d]].astype(np.int8), [0]]))).tolist() for d in range(len(docs))]
-        new = {"_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+        new = {spans_in: pa.array(spans, pa.list_(pa.int64())), items_in: pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
         return pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], names=b.schema.names)
     total = np.concatenate([[0], np.cumsum(inside)])
     n_hit = total[first[:-1] + sizes] - total[first[:-1]]
     contaminated = [h > 0 and 20 * h >= n for h, n in zip(n_hit.tolist(), sizes.tolist(), strict=True)]
     if mode == "filter":
-        return b.drop_columns(["_spans", "_items"]).filter(pa.array([not x for x in contaminated], pa.bool_()))
+        return b.drop_columns([spans_in, items_in]).filter(pa.array([not x for x in contaminated], pa.bool_()))
     cols = [
         b.column("doc_id"), pa.array(sizes), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()),
         pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
@@ -160,15 +161,20 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 def _passed(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, mode: str, schema) -> DataFrame:
     """``docs`` past all shards of the benchmark's index. Its size is measured first; the patterns go out in as many
-    broadcasts of at most about ``shard_bytes`` of text as it takes, and the documents pass all of them in one stage."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    broadcasts of at most about ``shard_bytes`` of text as it takes. The documents pass up to SHARDS_AT_ONCE in one
+    stage; before more, their hits so far are written down, so no executor holds all of a large benchmark."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    df = docs.withColumns({"_spans": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    spans, found = fresh(docs, "spans", "items")
+    df = docs.withColumns({spans: F.array().cast("array<bigint>"), found: F.array().cast("array<string>")})
     for k in range(shards):
+        if k and k % SHARDS_AT_ONCE == 0:
+            df = cut(df)
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
         index = spark.sparkContext.broadcast(build([(r.item, r.text.encode()) for r in part.collect()], window))
-        df = df.mapInArrow(_scan(index, mode), schema) if k == shards - 1 else df.mapInArrow(_scan(index, "carry"), df.schema)
+        last = k == shards - 1
+        df = df.mapInArrow(_scan(index, mode if last else "carry", spans, found), schema if last else df.schema)
     return df
 
 
@@ -176,17 +182,15 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hits of at least a twentieth of the words).
 
     An item with null text has no window; a null item_id counts as the id "". A document with null or empty text has
-    zero words and no hits. Without items nothing is hit. Repeated rows are repeated; an empty table stays empty.
+    zero words and no hits. Without items nothing is hit. Repeated rows are repeated, repeated items count once; an
+    empty table stays empty. Other columns than doc_id and text are not read. A text longer than ``BATCH_BYTES`` is a
+    batch by itself.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _passed(spark, rows, benchmark, window, shard_bytes, "digest", DIGEST)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows of ``docs`` that :func:`contamination` does not call contaminated, with all their columns."""
+    """The rows of ``docs`` that :func:`contamination` does not call contaminated, with all their columns, whatever their names."""
     return _passed(spark, docs, benchmark, window, shard_bytes, "filter", docs.schema)
 
-
-def word_pattern() -> re.Pattern:
-    """The contract's words, for tests."""
-    return re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

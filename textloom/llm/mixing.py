@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 #: Domain of a label row, and the share of all tokens that each is to have.
 DOMAINS = {"toxic": "toxic = 1", "low": "toxic = 0 and quality = 0", "high": "toxic = 0 and quality = 1"}
@@ -61,24 +61,26 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     return names, prior, [(w, odds) for w, odds, _ in got]
 
 
-def with_posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, list[str]]:
-    """``docs`` with posterior (an array with a value per domain, rounded to PLACES so that documents alike are summed
-    together) and n_tokens; each step has a projection of its own, so that a text is split once."""
+def with_posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, list[str], str, str]:
+    """``docs`` with a posterior (an array with a value per domain, rounded to PLACES so that documents alike are summed
+    together) and its number of tokens, the domains, and the names of both columns; each step has a projection of its
+    own, so that a text is split and a word looked up once."""
     names, prior, odds = learn(docs, labels, domains)
-    df = docs.withColumn("_words", words_of(F.col("text").cast("string")))
-    df = df.withColumns({"n_tokens": F.size("_words").cast("bigint"), "_present": F.array_intersect("_words", F.array(*(F.lit(w) for w, _ in odds)).cast("array<string>"))}).drop("_words")
-
-    def logit(k: int) -> Column:
-        if not odds:
-            return F.lit(float(prior[k]))
-        table = F.create_map(*(x for w, o in odds for x in (F.lit(w), F.lit(float(o[k])))))
-        return F.aggregate("_present", F.lit(float(prior[k])), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0)))
-
-    df = df.withColumn("_logits", F.array(*(logit(k) for k in range(len(names)))).cast("array<double>")).drop("_present")
-    df = df.withColumn("_top", F.array_max("_logits"))
-    df = df.withColumn("_weights", F.transform("_logits", lambda x: F.exp(x - F.col("_top")))).drop("_logits", "_top")
-    df = df.withColumn("_sum", F.aggregate("_weights", F.lit(0.0), lambda a, x: a + x))
-    return df.withColumn("posterior", F.transform("_weights", lambda x: F.round(x / F.col("_sum"), PLACES))).drop("_weights", "_sum"), names
+    posterior, tokens, words, present, logits, top, weights, total = fresh(docs, "posterior", "n_tokens", "words", "present", "logits", "top", "weights", "total")
+    df = docs.withColumn(words, words_of(F.col("text").cast("string")))
+    known = F.array(*(F.lit(w) for w, _ in odds)).cast("array<string>")
+    df = df.withColumns({tokens: F.size(words).cast("bigint"), present: F.array_intersect(words, known)}).drop(words)
+    if odds:
+        table = F.create_map(*(x for w, o in odds for x in (F.lit(w), F.array(*(F.lit(float(v)) for v in o)))))
+        df = df.withColumn(present, F.transform(present, lambda w: F.element_at(table, w)))
+        logit = lambda k: F.aggregate(present, F.lit(float(prior[k])), lambda a, x: a + F.get(x, k))
+    else:
+        logit = lambda k: F.lit(float(prior[k]))
+    df = df.withColumn(logits, F.array(*(logit(k) for k in range(len(names)))).cast("array<double>")).drop(present)
+    df = df.withColumn(top, F.array_max(logits))
+    df = df.withColumn(weights, F.transform(logits, lambda x: F.exp(x - F.col(top)))).drop(logits, top)
+    df = df.withColumn(total, F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
+    return df.withColumn(posterior, F.transform(weights, lambda x: F.round(x / F.col(total), PLACES))).drop(weights, total), names, posterior, tokens
 
 
 def rate_of(posterior: Column, history: list[list[float]]) -> Column:
@@ -90,14 +92,16 @@ def rate_of(posterior: Column, history: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r + dot(h)))
 
 
-def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, steps: int = STEPS) -> list[list[float]]:
+def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, steps: int = STEPS, posterior: str = "posterior", tokens: str = "n_tokens") -> list[list[float]]:
     """The pushes of projected-gradient least squares on the expected tokens of each domain minus its target.
 
-    The total stays that of the documents; targets of domains that no label has are shared out among the others.
+    The total stays that of the documents; targets of domains that no label has are shared out among the others. It ends
+    where every domain is within ``TOLERANCE`` of the total from its target, or where a step changes none by a tenth of
+    that (nonnegative rates cannot come nearer), or after ``steps``.
     """
     if not names:
         return []
-    cells = cut(scored.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    cells = cut(scored.groupBy(F.col(posterior).alias("posterior")).agg(F.sum(tokens).cast("double").alias("tokens")))
     part = lambda k: F.element_at("posterior", k + 1)
     sums = lambda rate: cells.agg(*(F.coalesce(F.sum(F.col("tokens") * part(k) * rate), F.lit(0.0)).alias(f"d{k}") for k in range(len(names)))).first()
     mass = [float(x) for x in sums(F.lit(1.0))]
@@ -110,12 +114,14 @@ def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float] = T
     cross = cells.agg(*(F.sum(F.col("tokens") * part(i) * part(j)) for i, j in pairs)).first()
     metric = np.linalg.pinv(np.array(cross, float).reshape(len(names), -1) + 1e-9 * total * np.eye(len(names)))
     history: list[list[float]] = []
-    now = mass
+    now, before = mass, None
     for _ in range(steps):
         if max(abs(g - x) for g, x in zip(goal, now, strict=True)) <= TOLERANCE * total:
             break
+        if before is not None and max(abs(x - y) for x, y in zip(before, now, strict=True)) <= 0.1 * TOLERANCE * total:
+            break
         history.append((metric @ (np.array(goal) - np.array(now))).tolist())
-        now = [float(x) for x in sums(rate_of(F.col("posterior"), history))]
+        before, now = now, [float(x) for x in sums(rate_of(F.col("posterior"), history))]
     return history
 
 
@@ -125,13 +131,15 @@ def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, t
     ``copies`` is the rate rounded down or up by a hash of doc_id and text, so that its mean is the rate. With
     ``columns``, only these of ``docs`` stay, and the texts are read once less. Null and empty texts have no tokens and
     the priors' posteriors. Labels whose values are null or name no domain are ignored; without labels the rate is 1
-    everywhere. Repeated rows get equal values; an empty table stays empty.
+    everywhere. Repeated rows get equal values; an empty table stays empty. A column of ``docs`` that has one of the new
+    names stays, and the new one's name ends in an underscore. A text of any length is one row's array of words.
     """
-    scored, names = with_posteriors(docs, labels, domains)
-    scored = scored.withColumn("_draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(1_000_000)) / 1_000_000.0)
+    scored, names, posterior, tokens = with_posteriors(docs, labels, domains)
+    domain, rate, copies, draw = fresh(docs, "domain", "rate", "copies", "draw")
+    scored = scored.withColumn(draw, F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(1_000_000)) / 1_000_000.0)
     if columns is not None:
-        scored = cut(scored.select(*columns, "posterior", "n_tokens", "_draw"))
-    named = F.element_at(F.array(*(F.lit(d) for d in names)), F.array_position("posterior", F.array_max("posterior")).cast("int")) if names else F.lit(None).cast("string")
-    out = scored.withColumns({"domain": named, "rate": rate_of(F.col("posterior"), fit_rates(scored, names, targets, steps))})
-    copies = F.floor("rate") + (F.col("_draw") < F.col("rate") - F.floor("rate")).cast("bigint")
-    return out.withColumn("copies", copies.cast("bigint")).drop("_draw")
+        scored = cut(scored.select(*columns, posterior, tokens, draw))
+    named = F.element_at(F.array(*(F.lit(d) for d in names)), F.array_position(posterior, F.array_max(posterior)).cast("int")) if names else F.lit(None).cast("string")
+    out = scored.withColumns({domain: named, rate: rate_of(F.col(posterior), fit_rates(scored, names, targets, steps, posterior, tokens))})
+    more = F.floor(rate) + (F.col(draw) < F.col(rate) - F.floor(rate)).cast("bigint")
+    return out.withColumn(copies, more.cast("bigint")).drop(draw)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 ROUNDS = 8
-KEY = "textloom-demo-key"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
@@ -135,12 +136,13 @@ def email(h: Column, key: str) -> Column:
     return F.concat(x.l, x.r, domain)
 
 
-def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` pseudonymised and ``n_values`` (valid values found); all other columns stay.
 
     Null texts stay null with zero values; empty texts stay empty. What only looks like a value (a wrong check digit, an
     octet above 255, a day that does not exist or lies outside 1900 to 2099) is left alone. Ids play no part, so repeated
-    rows stay equal; an empty table stays empty.
+    rows stay equal; an empty table stays empty. Who has ``key`` can reverse the pseudonyms. A column of ``docs`` named
+    ``n_values`` stays, and the new one's name ends in an underscore. A text of any length is worked off whole.
     """
 
     def image(h: Column) -> Column:
@@ -150,10 +152,10 @@ def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
             out = F.when(h.rlike(f"^(?:{pattern})$"), f(h, key)).otherwise(out)
         return out
 
+    hits, new, values = fresh(docs, "hits", "new", "n_values")
     text = F.col("text").cast("string")
-    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    found = docs.withColumn("_hits", hits)
-    found = found.withColumn("_new", F.when(F.size("_hits") > 0, F.transform("_hits", image)))
-    parts = F.zip_with(F.split(text, ANY, -1), F.zip_with("_hits", "_new", lambda h, n: F.coalesce(n, h)), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    whole = F.when(F.size("_hits") > 0, F.array_join(parts, "")).otherwise(text)
-    return found.withColumn("text", whole).withColumn("n_values", F.coalesce(F.size(F.filter("_new", lambda x: x.isNotNull())), F.lit(0)).cast("bigint")).withColumn("n_values", F.greatest("n_values", F.lit(0).cast("bigint"))).drop("_hits", "_new")
+    found = docs.withColumn(hits, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    found = found.withColumn(new, F.when(F.size(hits) > 0, F.transform(hits, image)))
+    parts = F.zip_with(F.split(text, ANY, -1), F.zip_with(hits, new, lambda h, n: F.coalesce(n, h)), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    whole = F.when(F.size(hits) > 0, F.array_join(parts, "")).otherwise(text)
+    return found.withColumns({"text": whole, values: F.greatest(F.coalesce(F.size(F.filter(new, lambda x: x.isNotNull())), F.lit(0)), F.lit(0)).cast("bigint")}).drop(hits, new)

@@ -10,6 +10,10 @@ from . import decontaminate, exact_dedup, html_text, mixing, pii, simhash, subst
 from .shared import table
 
 
+#: The key of the registered query; any other caller must bring one.
+DEMO_KEY = "textloom-demo-key"
+
+
 def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return toxicity.toxicity(docs, toxicity.fit(spark, docs, table(spark, d, "labels")))
@@ -44,7 +48,7 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, d: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, d, "documents")).select("doc_id", "text", "n_values")
+    return pii.pseudonyms(table(spark, d, "documents"), DEMO_KEY).select("doc_id", "text", "n_values")
 
 
 def op10_html_text(spark: SparkSession, d: str) -> DataFrame:

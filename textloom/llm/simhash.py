@@ -160,19 +160,22 @@ def _links(ring: Ring) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            now = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)).view(np.uint64)]
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
-            if not len(now[0]):
+            if not b.num_rows:
                 continue
+            now = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)).view(np.uint64)]
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])  # the last run may go on
-            cut_at = len(same) - int(same.sum())
-            if cut_at:
-                yield from of(*(x[:cut_at] for x in now))
-            rest = [x[cut_at:] for x in now]
-        if rest:
-            yield from of(*rest)
+            if held and same.all() and (held[-1][0][-1], held[-1][1][-1]) == (now[0][0], now[1][0]):
+                held.append(now)
+                continue
+            cut_at = b.num_rows - int(same.sum())
+            if held or cut_at:
+                held.append([x[:cut_at] for x in now])
+                yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = [[x[cut_at:] for x in now]]
+        if held:
+            yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -198,7 +201,7 @@ def near_groups(docs: DataFrame, bits: int = BITS, segments: int = SEGMENTS, shi
     Fingerprints link at ``bits`` or fewer differing bits; component_id is the smallest doc_id reachable. Null and empty
     texts have the fingerprint zero and link like any other; equal fingerprints are one node, so copies are never
     paired. Null ids do not name a component, which is null only if all its ids are. Repeated rows are repeated in the
-    result. An empty table gives an empty result.
+    result. An empty table gives an empty result. Other columns are not read; long texts are hashed in slices, whole.
     """
     table = cut(fingerprint_table(docs, shingle))
     nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 TRIGRAMS = 4096
 VOCABULARY = 20_000
 #: Labelled documents of each class that training takes at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 3000
+#: Labelled texts with more bytes than this are not learnt from (all are scored), so the sample's bytes are bounded too.
+SAMPLE_BYTES = 250_000
 STEPS, BATCH, ROUNDS = 200, 128, 5
 RATE, FLOOR, DECAY = 0.01, 1e-3, 0.3
 CACHE_WORDS = 200_000
@@ -68,7 +70,7 @@ class Features:
             self.word = np.concatenate([self.word, np.array([self.vocabulary.get(w, 0) for w in new], np.int64)])
             self.grams, self.size = np.concatenate([self.grams, grams]), np.concatenate([self.size, size])
         get = self.ids.__getitem__
-        return [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in texts]
+        return [np.fromiter(map(get, ws), np.int32, len(ws)) for ws in texts]
 
     def arrays(self, since: int = 0, grams_since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.word[since:], self.grams[grams_since:], self.size[since:]
@@ -77,9 +79,9 @@ class Features:
 def windows_of(ids: np.ndarray) -> np.ndarray:
     """All overlapping windows of a text, padded with 0; together they hold every word."""
     n = max(1, -(-(len(ids) - WINDOW) // STRIDE) + 1) if len(ids) else 0
-    padded = np.zeros(max(0, (n - 1) * STRIDE + WINDOW) if n else 0, np.int64)
+    padded = np.zeros(max(0, (n - 1) * STRIDE + WINDOW) if n else 0, np.int32)
     padded[: len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE] if n else np.zeros((0, WINDOW), np.int64)
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE] if n else np.zeros((0, WINDOW), np.int32)
 
 
 def initial(n_words: int, seed: int = 7) -> Params:
@@ -221,11 +223,10 @@ def _train_step(opt: Adam, feats, windows: np.ndarray, y: np.ndarray) -> None:
     opt.step(gradients(opt.p, mine, x, kept, delta))
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[Params, dict[bytes, int]]:
-    """Parameters and vocabulary from labelled texts; without texts of both classes the bias alone speaks."""
-    words = [words_of(t) for t in texts]
+def train(words: list[list[bytes]], labels: list[int], seed: int = 7) -> tuple[Params, dict[bytes, int]]:
+    """Parameters and vocabulary from the words of labelled texts, which it takes away; without texts of both classes the bias alone speaks."""
     df = Counter(w for ws in words for w in set(ws))
-    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= max(3, len(texts) // 500)}
+    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= max(3, len(words) // 500)}
     p = initial(len(vocabulary), seed)
     y = np.array(labels, np.float32)
     # Training starts from the log-odds of each word's documents in the first dimension of its vector.
@@ -240,6 +241,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[Pa
         return p, vocabulary
     feats = Features(vocabulary)
     windows = [windows_of(ids) for ids in feats.add(words)]
+    words.clear()
+    del df, hits, odds
+    feats.ids = {}
     arrays = feats.arrays()
     full = [k for k, w in enumerate(windows) if len(w)]
     by = [[k for k in full if y[k] == c] for c in (0, 1)]
@@ -310,7 +314,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, toxic), (0, clean))]
     few = picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by the parameters, so it can be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.octet_length("text") <= SAMPLE_BYTES) | F.col("text").isNull())
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return [(r.text, r.toxic) for r in rows]
 
@@ -335,14 +340,17 @@ def _score(model) -> Callable:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame):
     """A broadcast model; its size is bounded by the vocabulary."""
-    sample = labelled_sample(docs, labels)
-    return spark.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample]))
+    texts, marks = zip(*sample, strict=True) if (sample := labelled_sample(docs, labels)) else ((), ())
+    words = [words_of(t) for t in texts]
+    del sample, texts
+    return spark.sparkContext.broadcast(train(words, list(marks)))
 
 
 def toxicity(docs: DataFrame, model) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. A text without words, null and empty ones too,
     has no window and scores 0. A null doc_id counts as the id "" in held_out. Ties cannot occur; repeated rows are
-    repeated. Without labelled texts of both classes every other score is the same constant."""
+    repeated; an empty table gives an empty result. Without labelled texts of both classes every other score is the same
+    constant. Other columns are not read; long texts are scored in whole, a batch holds few of them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
@@ -366,5 +374,5 @@ def _clean(model) -> Callable:
 
 
 def drop_toxic(docs: DataFrame, model) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that the model does not call toxic, with all their columns, whatever their names, in one pass without a shuffle."""
     return docs.mapInArrow(_clean(model), docs.schema)

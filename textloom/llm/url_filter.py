@@ -47,11 +47,16 @@ def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
     return urls.join(best, ["host", "path"], "left").select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
 
 
+def node_of(host: Column) -> Column:
+    """A host as a node of the link graph: without user info and port, on both sides of a link."""
+    return lower_ascii(F.regexp_replace(host, r"^.*@|:\d*$", ""))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): absolute links between different hosts, counted over all pages."""
     host, _ = host_and_path(F.col("url"))
-    links = pages.where(F.col("html").contains("//")).select(host.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 2)).alias("dst"))
-    return links.select("src", lower_ascii(F.regexp_replace("dst", r"^.*@|:\d*$", "")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    links = pages.where(F.col("html").contains("//")).select(node_of(host).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 2)).alias("dst"))
+    return links.select("src", node_of(F.col("dst")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
@@ -88,11 +93,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping:
     Trusted and blocked seeds are the hosts with pages that a rule allows or blocks, in proportion to those pages. Trust
     follows the links, distrust follows them backwards; a page without a rule is blocked if its host's distrust is
     above its trust, else allowed (ties and unknown hosts too). A null URL, or one without ``://``, has an empty host and
-    path, fits no rule and is allowed. A null html has no links. An empty table gives an empty result.
+    path, fits no rule and is allowed. A null html has no links. Repeated rows are repeated, and their links count again.
+    An empty table gives an empty result. Other columns than page_id, url and html are not read; long pages are read whole.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     urls = with_rule(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
-    counts = cut(urls.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked")))
+    counts = cut(urls.select(node_of(F.col("host")).alias("host"), "rule_verdict").where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked")))
     total = counts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     edges = cut(host_edges(pages))
     trust = personalised_pagerank(edges, counts.where("allowed > 0").select("host", (F.col("allowed") / F.lit(float(total.a or 1))).alias("seed")), damping, rounds)
@@ -100,5 +106,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damping:
     distrust = personalised_pagerank(back, counts.where("blocked > 0").select("host", (F.col("blocked") / F.lit(float(total.b or 1))).alias("seed")), damping, rounds)
     scored = cut(counts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0))
     own = F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
-    joined = urls.join(scored.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
+    joined = urls.join(scored.withColumnRenamed("host", "of"), node_of(F.col("host")) == F.col("of"), "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
