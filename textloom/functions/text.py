@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that end a sentence, headings and placeholders.
 TERMINAL = "。．.！？!?…）)」』】"
 HEADING = (
-    r"^(第[一二三四五六七八九十\d]+[章節回部]|[0-9]+\.\s*「|[０-９]+\.|[一二三四五六七八九十百]+、"
+    r"^(第[一二三四五六七八九十\p{Nd}]+[章節回部]|[0-9]+\.\s*「|[０-９]+\.|[一二三四五六七八九十百]+、"
     r"|はじめに|まえがき|あとがき|おわりに|目次|参考文献|付録|结语|前言\s*$)"
 )
 HEADING_MAX = 60
-PLACEHOLDERS = {"brace": r"\{[^{}\n]{0,40}\}", "printf": r"%[-+ #0]?\d*(?:\.\d+)?[sdifgxXeEc]", "tag": r"<[A-Za-z/][^<>\n]{0,40}>"}
+PLACEHOLDERS = {"brace": r"\{[^{}\n]{0,40}\}", "printf": r"%[-+ #0]?\p{Nd}*(?:\.\p{Nd}+)?[sdifgxXeEc]", "tag": r"<[A-Za-z/][^<>\n]{0,40}>"}
 KANA = r"[぀-ヿ]"
+KATAKANA_RUN = r"[ァ-ヺー]{3,}"
 HALF_WIDTH = r"[,.!?;:]"
 WIDE_DIGITS = "０１２３４５６７８９"
+#: Characters whose compatibility form has digits, besides the full-width ones, from the Unicode tables of Python.
+_COMPATIBLE = "".join(c for c in map(chr, range(0x80, 0x110000)) if c not in WIDE_DIGITS and not 0xD800 <= ord(c) < 0xE000 and any(x.isdecimal() for x in unicodedata.normalize("NFKC", c)) and unicodedata.normalize("NFKC", c) != c)
 
 
 def strip(c: Column) -> Column:
@@ -44,9 +51,14 @@ def ends_open(c: Column) -> Column:
     return ~F.right(c, F.lit(1)).isin(*TERMINAL)
 
 
+def _compatible(c: pd.Series) -> pd.Series:
+    return c.str.normalize("NFKC")
+
+
 def numbers(c: Column) -> Column:
-    """Runs of digits, full-width ones as plain ones."""
-    return F.regexp_extract_all(F.translate(c, WIDE_DIGITS, "0123456789"), F.lit(r"([0-9]+)"), 1)
+    """Runs of digits of the text's compatibility form (NFKC); only texts with such forms, full-width digits aside, leave the JVM."""
+    odd = F.when(c.rlike(f"[{_COMPATIBLE}]"), c)
+    return F.regexp_extract_all(F.coalesce(F.pandas_udf(_compatible, StringType())(odd), F.translate(c, WIDE_DIGITS, "0123456789")), F.lit(r"(\p{Nd}+)"), 1)
 
 
 def first_line_with(c: Column, needle: Column, longest: int = 60) -> Column:

@@ -48,10 +48,13 @@ def usage_facts(events: DataFrame) -> DataFrame:
 
 
 def usage_rollup(facts: DataFrame) -> DataFrame:
-    """Calls, tokens and hit rate by tier, by stage (calls without one are left out there), and in all."""
-    agg = lambda df, level, name: df.agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.coalesce(F.bround(F.sum(F.when(F.col("hit"), F.col("tokens")).otherwise(0)) / F.when(F.sum("tokens") != 0, F.sum("tokens")), 4), F.lit(0.0)).alias("hit_rate")).select(F.lit(level).alias("level"), name.alias("name"), "calls", "tokens", "hit_rate")
-    by = lambda c: agg(facts.where(F.col(c).isNotNull()).groupBy(c), c, F.col(c))
-    return by("tier").union(by("stage")).union(agg(facts.groupBy(), "total", F.lit("all")))
+    """Calls, tokens and hit rate by tier, by stage (calls without one are left out there), and in all, in one pass."""
+    rate = F.coalesce(F.bround(F.sum(F.when(F.col("hit"), F.col("tokens")).otherwise(0)) / F.when(F.sum("tokens") != 0, F.sum("tokens")), 4), F.lit(0.0))
+    sums = facts.groupingSets([[F.col("tier")], [F.col("stage")], []], F.col("tier"), F.col("stage")).agg(F.grouping_id().alias("set"), F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), rate.alias("hit_rate"))
+    level = F.when(F.col("set") == 1, "tier").when(F.col("set") == 2, "stage").otherwise("total")
+    # Without any call there is still a total.
+    none = facts.groupBy().agg(F.count("*").alias("calls")).where("calls = 0").select(F.lit("total"), F.lit("all"), "calls", F.lit(None).cast("bigint"), F.lit(0.0))
+    return sums.where("set <> 2 or stage is not null").select(level.alias("level"), F.when(F.col("set") == 3, "all").otherwise(F.coalesce("tier", "stage")).alias("name"), "calls", "tokens", "hit_rate").where("level <> 'total' or calls > 0").union(none)
 
 
 def usage_cost(facts: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:

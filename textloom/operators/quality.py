@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HALF_WIDTH, PLACEHOLDERS, numbers, paragraphs, strip
+from ..functions.text import HALF_WIDTH, KATAKANA_RUN, PLACEHOLDERS, numbers, paragraphs, strip
 
 RATIO_MIN, RATIO_MAX = 0.55, 1.70
-KINDS = ("empty", "number", "paragraph", "placeholder", "punctuation", "residue")
 
 
 def pairs(conversations: DataFrame) -> DataFrame:
@@ -60,21 +59,24 @@ def residue_scan(docs: DataFrame, letters: str = "[äöüß]") -> DataFrame:
     return found.select("doc_id", "line", F.size("chars").alias("n_chars"), F.array_join(F.slice(F.array_sort(F.array_distinct("chars")), 1, 20), "").alias("found"))
 
 
+def katakana_runs(docs: DataFrame, least: int = 3) -> DataFrame:
+    """(token, n): runs of three katakana or more that are there at least ``least`` times."""
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({KATAKANA_RUN})"), 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def punct_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.regexp_count("text", F.lit(HALF_WIDTH)).alias("n_half_width"), F.regexp_count("text", F.lit("[「」『』]")).alias("n_brackets"))
 
 
 def qa_summary(p: DataFrame) -> DataFrame:
-    """Issues of each kind, zero where there are none."""
-    spark = p.sparkSession
-    full = p.where(F.col("zh").isNotNull() & (strip("zh") != ""))
-    kinds = [
-        p.where(F.col("zh").isNull() | (strip("zh") == "")).select(F.lit("empty").alias("kind")),
-        number_missing(full).select("conv_id", "turn").distinct().select(F.lit("number").alias("kind")),
-        placeholder_diff(full).select(F.lit("placeholder").alias("kind")),
-        full.where(F.regexp_count("zh", F.lit(HALF_WIDTH)) > 0).select(F.lit("punctuation").alias("kind")),
-        full.where(F.size(paragraphs(F.col("src"), r"\n")) != F.size(paragraphs(F.col("zh"), r"\n"))).select(F.lit("paragraph").alias("kind")),
-    ]
-    counts = reduce(DataFrame.union, kinds).groupBy("kind").agg(F.count("*").alias("n"))
-    names = spark.range(1).select(F.explode(F.array(*(F.lit(k) for k in KINDS))).alias("kind"))
-    return names.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    """Issues of each kind, zero where there are none: one pass counts all kinds but numbers, which are compared as multisets."""
+    full = F.col("zh").isNotNull() & (strip("zh") != "")
+    places = reduce(lambda a, b: a + b, ((F.regexp_count("src", F.lit(x)) != F.regexp_count("zh", F.lit(x))).cast("int") for x in PLACEHOLDERS.values()))
+    apart = F.size(paragraphs(F.col("src"), r"\n")) != F.size(paragraphs(F.col("zh"), r"\n"))
+    counts = p.agg(
+        F.count_if(~full).alias("empty"), F.coalesce(F.sum(F.when(full, places)), F.lit(0)).alias("placeholder"), F.count_if(full & (F.regexp_count("zh", F.lit(HALF_WIDTH)) > 0)).alias("punctuation"),
+        F.count_if(full & apart).alias("paragraph"), F.lit(0).cast("bigint").alias("residue"),
+    )
+    one_pass = counts.unpivot([], ["empty", "placeholder", "punctuation", "paragraph", "residue"], "kind", "n")
+    numbers_ = number_missing(p.where(full)).select("conv_id", "turn").distinct().agg(F.count("*").alias("n")).select(F.lit("number").alias("kind"), "n")
+    return one_pass.union(numbers_)

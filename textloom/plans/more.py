@@ -88,9 +88,9 @@ def _dup_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _papers(orders: DataFrame, least: int, size: int, name: str = "box") -> DataFrame:
-    """Boxes made of a customer's orders, those whose key leaves at least ``least`` over three."""
+    """Boxes made of a customer's orders: those whose key leaves 0 over three (``least`` 0), the others (1), or all (-1)."""
     x, y, k = F.col("o_orderkey") * 7 % 1000, F.col("o_orderkey") * 13 % 1000, F.col("o_orderkey")
-    return orders.where((k % 3 == 0) if least == 0 else (k % 3 > 0)).select(F.col("o_custkey").alias("page"), k.alias(name), x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + size).alias("y1"), "o_orderpriority", "o_orderstatus")
+    return orders.where((k % 3 == 0) if least == 0 else (k % 3 > 0) if least > 0 else F.lit(True)).select(F.col("o_custkey").alias("page"), k.alias(name), x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + size).alias("y1"), "o_orderpriority", "o_orderstatus")
 
 
 def _owners(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def queries() -> dict[str, Query]:
         "layout_order": lambda s, d: layout.layout_order(_boxes(table(s, d, "lineitem"), 50)),
         "line_owners": _owners,
         "cell_texts": _cell_texts,
-        "merged_cells": lambda s, d: cells.merged_cells(_papers(table(s, d, "orders"), 0, 300)),
+        "merged_cells": lambda s, d: cells.merged_cells(_papers(table(s, d, "orders"), -1, 300)),
         "glossary_import": lambda s, d: _import(s, d, False),
         "glossary_overwrite": lambda s, d: _import(s, d, True),
         "usage_merge": _usage_merge,

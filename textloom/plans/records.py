@@ -42,12 +42,12 @@ def _encoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    lines = _papers(_orders(spark, d), 0, 120).withColumn("rank", F.col("box") % 11)
+    lines = _papers(_orders(spark, d), -1, 120).withColumn("rank", F.col("box") % 11)
     return nesting.note_blocks(nesting.notes(lines))
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    boxes = _papers(_orders(spark, d), 0, 100).withColumn("n_lines", (F.col("box") % 2).cast("int"))
+    boxes = _papers(_orders(spark, d), -1, 100).withColumn("n_lines", (F.col("box") % 2).cast("int"))
     wide = F.col("box") % 5 == 0
     return nesting.nested_blocks(boxes.withColumns({"x1": F.when(wide, F.col("x1") + 600).otherwise(F.col("x1")), "y1": F.when(wide, F.col("y1") + 600).otherwise(F.col("y1"))}))
 
@@ -97,7 +97,7 @@ def _adopted(spark: SparkSession, d: str) -> DataFrame:
 def _folders(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.sha2("p_brand", 256).alias("sha256"), F.sha2("p_type", 256).alias("other"))
     k = F.col("path")
-    return lifecycle.folder_differences(files.where(k % 5 != 0), files.where(k % 7 != 0).select(k, F.when(k % 3 == 0, F.col("other")).otherwise(F.col("sha256")).alias("sha256")))
+    return lifecycle.folder_differences(files.where((k % 5 != 0) | (k % 7 == 0)), files.where(k % 7 != 0).select(k, F.when(k % 3 == 0, F.col("other")).otherwise(F.col("sha256")).alias("sha256")))
 
 
 def _compliance(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +133,8 @@ def _search(spark: SparkSession, d: str) -> DataFrame:
 
 def _marks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    chunks = e.where("event_id % 2 = 0").select("user_id").distinct().withColumn("status", F.lit("new"))
-    return lifecycle.marked(chunks, e.where("event_id % 3 = 0").select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("seq")), "user_id")
+    chunks = e.select("user_id").distinct().withColumn("status", F.lit("new"))
+    return lifecycle.marked(chunks, e.select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("seq")), "user_id")
 
 
 def _progress(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "qa_issues": f"{_ISSUES} SELECT row_number() OVER (ORDER BY conv_id, turn, rank, part, detail) AS id, conv_id, turn, kind, severity, detail, line::BIGINT AS line, n::BIGINT AS n, found, excerpt FROM iss",
         "qa_counts": f"{_ISSUES}, k(level, name) AS (VALUES {', '.join(f"('kind', '{k}')" for k in scanner.KINDS)}, {', '.join(f"('severity', '{v}')" for v in scanner.SEVERITIES)}), f AS (SELECT 'kind' AS level, kind AS name, count(*) AS n FROM iss GROUP BY kind UNION ALL SELECT 'severity', severity, count(*) FROM iss GROUP BY severity) SELECT level, name, coalesce(n, 0) AS n FROM k LEFT JOIN f USING (level, name)",
         "term_search": "SELECT p_partkey, p_name AS source, p_brand AS target FROM part WHERE (contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1') OR coalesce(contains(lower(CASE WHEN p_size > 9 THEN p_type END), 'brand#1'), false)) AND p_size % 2 = 0 AND p_size % 3 = 0",
-        "chunk_marks": "WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0), m AS (SELECT user_id, arg_max(event_type, event_id) AS s FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT user_id, coalesce(s, 'new') AS status FROM c FULL JOIN m USING (user_id)",
+        "chunk_marks": "WITH c AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, arg_max(event_type, event_id) AS s FROM events GROUP BY user_id) SELECT user_id, coalesce(s, 'new') AS status FROM c FULL JOIN m USING (user_id)",
         "run_progress": "WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS d, count(*) FILTER (event_type = 'view') AS f, floor(epoch(max(ts))) - floor(epoch(min(ts))) AS age FROM events GROUP BY user_id) SELECT user_id, '- ' || d || '/' || n || ' (' || (d * 100 // n) || '%)' || CASE WHEN f > 0 THEN ', ' || f || ' failed' ELSE '' END AS line, age > 86400 AS stale FROM r",
         "chunk_estimates": "SELECT doc_id, greatest(1, ceil(length(text) / 4000.0::DOUBLE))::BIGINT AS n FROM documents",
         "detections": f"WITH {_SHEET}, c AS (SELECT page, box, least(x0, 1000) AS x0, least(y0, 1000) AS y0, least(x1, 1000) AS x1, least(y1, 1000) AS y1 FROM s WHERE box % 10 / 10.0::DOUBLE > 0.25) SELECT * FROM c WHERE x1 - x0 >= 10 OR y1 - y0 >= 10",
@@ -254,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "policies": "SELECT o_orderkey, has_user, auto, CASE WHEN u AND NOT auto THEN 'A' WHEN u THEN 'B' WHEN auto THEN 'C' ELSE 'D' END AS policy, auto AS inserts, u AS seeds, u OR auto AS maintains, u AND NOT auto AS suggests FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 = 0 END AS has_user, o_orderkey % 3 = 0 AS auto, o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS u FROM orders)",
         "adopted_terms": """WITH t AS (SELECT p_name AS source, arg_max(p_brand, p_partkey) AS had, max(p_partkey) % 2 = 0 AS held FROM part WHERE p_size = 50 GROUP BY p_name), f AS (SELECT p_name AS source, arg_min(p_brand, p_partkey) AS new FROM part WHERE p_size < 25 GROUP BY p_name),
             b AS (SELECT *, new IS NOT NULL AND (had IS NULL OR had = new OR NOT held) AS takes FROM t FULL JOIN f USING (source)) SELECT source, CASE WHEN takes THEN new ELSE had END AS target, 'user' AS origin, CASE WHEN takes THEN true ELSE held END AS locked, CASE WHEN takes THEN 'ok' ELSE 'conflict' END AS status FROM b""",
-        "folder_differences": "SELECT * FROM (SELECT p_partkey AS path, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 AND p_partkey % 7 <> 0 THEN 'orphan' WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0 AND p_brand <> p_type THEN 'changed' END AS problem FROM part) WHERE problem IS NOT NULL",
+        "folder_differences": "SELECT * FROM (SELECT p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 AND p_partkey % 7 <> 0 THEN 'orphan' WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0 AND p_brand <> p_type THEN 'changed' END AS problem FROM part) WHERE problem IS NOT NULL",
         "compliance": """WITH u AS (SELECT user_id, min(event_id) FILTER (event_type = 'view') AS f, min(event_id) FILTER (event_type = 'purchase') AS t FROM events GROUP BY user_id), c AS (SELECT 'pre_extract_order' AS "check", count(*) FILTER (t IS NOT NULL AND (f IS NULL OR f >= t)) = 0 AS passed FROM u UNION ALL SELECT 'stage_artifacts', true UNION ALL SELECT 'chunk_complete', count(*) > 0 AND count(*) FILTER (t IS NULL) = 0 FROM u)
             SELECT * FROM c UNION ALL SELECT 'all', bool_and(passed) FROM c""",
         "usage_samples": """WITH e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'deepseek' ELSE 'openai' END AS provider, floor(value)::BIGINT AS v, event_id % 50 AS c FROM events)

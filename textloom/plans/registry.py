@@ -46,9 +46,10 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sample_positions(table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "n")
 
 
-def _users(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return events.pending(e, e.where("event_type = 'purchase'"), "user_id")
+def _owing(spark: SparkSession, d: str) -> DataFrame:
+    """Customers who have orders, but none that is finished and not of high priority."""
+    o = table(spark, d, "orders")
+    return events.pending(o, o.where("o_orderstatus = 'F' and o_orderpriority > '2'"), "o_custkey")
 
 
 def queries() -> dict[str, Query]:
@@ -62,10 +63,8 @@ def queries() -> dict[str, Query]:
         "sample_positions": _turns,
         "align_issues": _pairs(quality.align_issues),
         "align_summary": _pairs(quality.align_summary),
-        "number_missing": _pairs(quality.number_missing),
-        "placeholder_diff": _pairs(quality.placeholder_diff),
         "qa_summary": _pairs(quality.qa_summary),
-        "residue_scan": _docs(lambda x: quality.residue_scan(x.where("lang = 'en'"))),
+        "residue_scan": _docs(quality.residue_scan),
         "punct_scan": _docs(quality.punct_scan),
         "term_hits": _hits,
         "term_hits_topk": lambda s, d: glossary.hits_topk(_hits(s, d), 3),
@@ -77,7 +76,7 @@ def queries() -> dict[str, Query]:
         "glossary_latest_conflict": lambda s, d: glossary.latest_conflict(glossary.conflicts(_merged(s, d))),
         "happens_before": _events(lambda e: events.happens_before(e, "view", "purchase", "user_id", "event_id")),
         "event_seq": _events(lambda e: events.sequenced(e.select("event_id", "user_id"), "event_id")),
-        "pending_chunks": _users,
+        "pending_chunks": _owing,
         "status_counters": lambda s, d: events.status_counters(table(s, d, "orders"), "o_orderstatus", "F", "P"),
         "usage_rollup": _events(lambda e: events.usage_rollup(events.usage_facts(e))),
         "usage_cost": _events(lambda e: events.usage_cost(events.usage_facts(e), PRICES)),
@@ -139,12 +138,10 @@ def oracle_sql() -> dict[str, str]:
         "sample_positions": "WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, unnest(CASE WHEN n <= 5 THEN range(1, n + 1) ELSE list_distinct(list_transform(range(0, 5), lambda k: (round_even(k * (n - 1) / 4.0::DOUBLE, 0) + 1)::BIGINT)) END) AS position FROM n",
         "align_issues": f"{_ALIGN} SELECT * FROM i",
         "align_summary": f"{_ALIGN} SELECT kind, severity, count(*) AS n, count(DISTINCT (conv_id, turn)) AS n_chunks FROM i GROUP BY kind, severity",
-        "number_missing": f"WITH {_PAIRS}, {_NUMBERS} SELECT * FROM g",
-        "placeholder_diff": f"WITH {_PAIRS}, {_PLACES} SELECT * FROM x WHERE n_src <> n_zh",
         "qa_summary": f"""WITH {_PAIRS}, {_NUMBERS}, {_PLACES}, fl AS (SELECT * FROM pr WHERE zh IS NOT NULL AND {_STRIP.format("zh")} <> '')
             SELECT 'empty' AS kind, count(*) AS n FROM pr WHERE zh IS NULL OR {_STRIP.format("zh")} = '' UNION ALL SELECT 'number', count(DISTINCT (conv_id, turn)) FROM g UNION ALL SELECT 'paragraph', count(*) FROM fl WHERE {_N_PARAS.format("src")} <> {_N_PARAS.format("zh")}
             UNION ALL SELECT 'placeholder', count(*) FROM x WHERE n_src <> n_zh UNION ALL SELECT 'punctuation', count(*) FROM fl WHERE regexp_matches(zh, '[,.!?;:]') UNION ALL SELECT 'residue', 0""",
-        "residue_scan": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, line, regexp_extract_all(t, '[äöüß]') AS cs FROM (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line, unnest(ls) AS t FROM l)) SELECT doc_id, line, len(cs)::INTEGER AS n_chars, array_to_string(list_sort(list_distinct(cs))[1:20], '') AS found FROM c WHERE len(cs) > 0",
+        "residue_scan": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, line, regexp_extract_all(t, '[äöüß]') AS cs FROM (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line, unnest(ls) AS t FROM l)) SELECT doc_id, line, len(cs)::INTEGER AS n_chars, array_to_string(list_sort(list_distinct(cs))[1:20], '') AS found FROM c WHERE len(cs) > 0",
         "punct_scan": "SELECT doc_id, len(regexp_extract_all(text, '[,.!?;:]'))::INTEGER AS n_half_width, len(regexp_extract_all(text, '[「」『』]'))::INTEGER AS n_brackets FROM documents",
         "term_hits": f"WITH {_HITS} SELECT * FROM h",
         "term_hits_topk": f"WITH {_HITS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, source)::INTEGER AS rank, count(*) OVER (PARTITION BY doc_id) > 3 AS truncated FROM h) WHERE rank <= 3",
@@ -156,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "glossary_latest_conflict": f"WITH {_MERGE} SELECT source, arg_max(proposed_target, arrival) AS proposed_target, max(arrival) AS arrival, count(*) AS open FROM cf WHERE NOT resolved GROUP BY source",
         "happens_before": "SELECT *, CASE WHEN first_seq IS NULL THEN 'missing' WHEN first_seq >= then_seq THEN 'out_of_order' ELSE 'ok' END AS status FROM (SELECT user_id, min(event_id) FILTER (event_type = 'view') AS first_seq, min(event_id) FILTER (event_type = 'purchase') AS then_seq FROM events GROUP BY user_id) WHERE then_seq IS NOT NULL",
         "event_seq": "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS seq FROM events",
-        "pending_chunks": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+        "pending_chunks": "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority > '2')",
         "status_counters": "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS pending FROM orders",
         "usage_rollup": f"WITH {_USAGE} SELECT 'tier' AS level, tier AS name, {_ROLL} FROM f GROUP BY tier UNION ALL SELECT 'stage', stage, {_ROLL} FROM f WHERE stage IS NOT NULL GROUP BY stage UNION ALL SELECT 'total', 'all', {_ROLL} FROM f",
         "usage_cost": f"WITH {_USAGE}, t AS (SELECT tier, coalesce(sum(tokens) FILTER (hit), 0)::BIGINT AS hit_tokens, coalesce(sum(tokens) FILTER (NOT hit), 0)::BIGINT AS miss_tokens FROM f GROUP BY tier), c(tier, ph, pm) AS (VALUES " + ", ".join(f"('{t}', {h}::DOUBLE, {m}::DOUBLE)" for t, (h, m) in PRICES.items()) + ") SELECT t.*, round_even((hit_tokens * ph + miss_tokens * pm) / 1e6::DOUBLE, 6) AS cost FROM t LEFT JOIN c USING (tier)",
