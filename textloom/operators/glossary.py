@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .events import sequenced
 
 TOKEN = r"[a-z0-9_]+"
@@ -42,9 +43,10 @@ def merge(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     The first arrival of a new source fixes its target, so the ordered fold has a closed form: candidates of a seeded
     source are unchanged or rejected, of any other inserted, unchanged or in conflict. First arrivals are a minimum, which
     is taken before the shuffle, so a source that most candidates have is never sorted in one task. Candidates without
-    source or target fix nothing. Arrivals must be unique.
+    source or target fix nothing; white space around either is no part of it. Arrivals must be unique.
     """
-    blank = (F.coalesce(F.trim("source"), F.lit("")) == "") | (F.coalesce(F.trim("target"), F.lit("")) == "")
+    candidates = candidates.withColumns({"source": strip(F.col("source")), "target": strip(F.col("target"))})
+    blank = (F.coalesce("source", F.lit("")) == "") | (F.coalesce("target", F.lit("")) == "")
     firsts = candidates.where(~blank).groupBy("source").agg(F.min_by("target", "arrival").alias("first"), F.min("arrival").alias("_at"))
     rows = candidates.join(seeds.withColumnRenamed("target", "locked"), "source", "left").join(firsts, "source", "left")
     action = (

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.punctuation import strip_fenced
 from ..functions.text import HALF_WIDTH, KANA, PLACEHOLDERS, first_line_with, numbers, paragraphs, strip
 from . import lifecycle, matching
@@ -101,7 +102,7 @@ def qa_issues(pairs: DataFrame, keys: list[str], terms: DataFrame | None = None,
     kind and place. Fenced lines are looked at only for their paragraphs. Pairs without a source are left out."""
     parts = [text_issues(pairs, keys, residue, separator), number_issues(pairs, keys)] + ([term_issues(pairs, keys, terms, logged)] if terms is not None else [])
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("_rank", rank)
+    rows = cut(reduce(DataFrame.unionByName, parts).withColumn("_rank", rank))  # numbering reads them twice
     return sequenced(rows, keys[0], then=(*keys[1:], "_rank", "part", "detail")).withColumnRenamed("seq", "id").select("id", *keys, *(c for c in _NAMES if c != "part"))
 
 

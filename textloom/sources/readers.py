@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.text import strip
 from pyspark.sql.types import ArrayType, StringType
 
 # Encodings in the order in which they are tried, kinds of files, names of glossary columns.
@@ -112,12 +114,18 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", "kind", F.when(F.col("kind") == "json", blocks).when(F.col("kind") == "xml", xml_text("raw")).when(F.col("kind") == "docx", F.col("docx")).otherwise(F.col("raw")).alias("text"))
 
 
+# What the first or the second column of a header row is named.
+HEADER_SOURCE = ("日语", "日文", "原文", "source", "japanese", "ja")
+HEADER_TARGET = ("中文", "译名", "译文", "target", "chinese", "zh")
+
+
 def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of CSV files with two or five columns; header rows and rows without source or target are left out."""
+    """Terms of CSV files with two or five columns; a file's first row is left out if it names the columns, and rows without source or target are."""
     rows = spark.read.schema(", ".join(f"{c} string" for c in GLOSSARY)).option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
-    clean = rows.select(*(F.trim(F.replace(F.col(c), F.lit("\ufeff"), F.lit(""))).alias(c) for c in GLOSSARY))
-    header = (F.lower("source") == "source") & (F.lower("target") == "target")
-    return clean.where(F.coalesce("source", F.lit("")) != "").where(F.coalesce("target", F.lit("")) != "").where(~header)
+    clean = rows.select(*(strip(F.replace(F.col(c), F.lit("\ufeff"), F.lit(""))).alias(c) for c in GLOSSARY), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    firsts = clean.groupBy(F.col("_file").alias("_of")).agg(F.min("_row").alias("_first"))
+    header = (F.col("_row") == F.col("_first")) & (F.coalesce(F.lower("source"), F.lit("")).isin(*HEADER_SOURCE) | F.coalesce(F.lower("target"), F.lit("")).isin(*HEADER_TARGET))
+    return clean.join(firsts, F.col("_file") == F.col("_of")).where(F.coalesce("source", F.lit("")) != "").where(F.coalesce("target", F.lit("")) != "").where(~header).select(*GLOSSARY)
 
 
 def read_glossary_json(spark: SparkSession, path: str) -> DataFrame:

@@ -29,13 +29,23 @@ def _earlier(spark: SparkSession, path: str, batch: int, schema: str) -> DataFra
     return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch)
 
 
+def _last(spark: SparkSession, path: str, batch: int) -> int:
+    """The largest number before this batch: noted by the batch before; all batches are read only where that note is not there."""
+    note = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_last/{batch - 1}/_SUCCESS")
+    if note.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(note):
+        return spark.read.schema("last bigint").parquet(f"{path}/_last/{batch - 1}").first()[0]
+    return _earlier(spark, path, batch, "seq bigint, batch bigint").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+
+
 def append_sequenced(stream: DataFrame, order: str, path: str, checkpoint: str) -> DataStreamWriter:
     """Appends events below ``path`` with ``seq`` going on from the batches before, without gaps, in order of ``order``."""
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        last = _earlier(spark, path, batch, "seq bigint, batch bigint").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        last = _last(spark, path, batch)
         events.sequenced(rows.drop("seq"), order, start=last).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        own = spark.read.schema("seq bigint").parquet(f"{path}/batch={batch}").agg(F.coalesce(F.max("seq"), F.lit(last)).alias("last"))
+        own.write.mode("overwrite").parquet(f"{path}/_last/{batch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
