@@ -108,7 +108,10 @@ def near_texts():
     return list(enumerate(out, 100)) + TEXTS
 
 
-def test_near_dedup_takes_five_word_copies(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_dedup_takes_five_word_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "PAIRS", 2 * block)
     texts = near_texts()
     want = five_word_groups(texts)
     copies = spark.createDataFrame(texts, "doc_id long, text string")

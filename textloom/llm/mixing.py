@@ -83,45 +83,63 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, domains: dict[str, str]
     return df.withColumn(posterior, F.transform(weights, lambda x: F.round(x / F.col(total), PLACES))).drop(weights, total), names, posterior, tokens
 
 
-def rate_of(posterior: Column, history: list[list[float]]) -> Column:
-    """The rate after the steps in ``history`` (a push per domain each), from 1, never below 0."""
+def _dot(p: Column, v: list[float]) -> Column:
+    return reduce(lambda a, b: a + b, (F.get(p, k) * F.lit(float(x)) for k, x in enumerate(v)))
+
+
+def _step(p: Column, rate: Column, residual: list[float], push: list[float]) -> Column:
+    """A rate after a step; one at zero that the residual would make negative stays there."""
+    return F.when((rate <= 0) & (_dot(p, residual) <= 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), rate + _dot(p, push)))
+
+
+def rate_of(posterior: Column, history: list[tuple[list[float], list[float]]]) -> Column:
+    """The rate after the steps in ``history`` (residual and push by domain), from 1, never below 0."""
     if not history:
         return F.lit(1.0)
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in h)) for h in history))
-    dot = lambda h: F.aggregate(F.zip_with(posterior, h, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r + dot(h)))
+    of = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    steps = F.array(*(F.struct(of(a).alias("residual"), of(b).alias("push")) for a, b in history))
+    dot = lambda v: F.aggregate(F.zip_with(posterior, v, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(steps, F.lit(1.0), lambda r, h: F.when((r <= 0) & (dot(h["residual"]) <= 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), r + dot(h["push"]))))
 
 
-def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, steps: int = STEPS, posterior: str = "posterior", tokens: str = "n_tokens") -> list[list[float]]:
-    """The pushes of projected-gradient least squares on the expected tokens of each domain minus its target.
+def fit_rates(scored: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, steps: int = STEPS, posterior: str = "posterior", tokens: str = "n_tokens") -> list[tuple[list[float], list[float]]]:
+    """The steps of projected-gradient least squares on the expected tokens of each domain minus its target.
 
-    The total stays that of the documents; targets of domains that no label has are shared out among the others. It ends
-    where every domain is within ``TOLERANCE`` of the total from its target, or where a step changes none by a tenth of
-    that (nonnegative rates cannot come nearer), or after ``steps``.
+    The total stays that of the documents; targets of domains that no label has are shared out among the others. The
+    gradient is scaled by the curvature of the documents that are free to move; of that step, parts of it and the plain
+    gradient the one with the least squares is taken. It ends where every domain is within ``TOLERANCE`` of the total from
+    its target, or where no step gains any more (nonnegative rates cannot come nearer), or after ``steps``.
     """
     if not names:
         return []
-    cells = cut(scored.groupBy(F.col(posterior).alias("posterior")).agg(F.sum(tokens).cast("double").alias("tokens")))
-    part = lambda k: F.element_at("posterior", k + 1)
-    sums = lambda rate: cells.agg(*(F.coalesce(F.sum(F.col("tokens") * part(k) * rate), F.lit(0.0)).alias(f"d{k}") for k in range(len(names)))).first()
-    mass = [float(x) for x in sums(F.lit(1.0))]
-    total, share = sum(mass), sum(targets.get(d, 0.0) for d in names) or 1.0
+    k = len(names)
+    cells = cut(scored.groupBy(F.col(posterior).alias("posterior")).agg(F.sum(tokens).cast("double").alias("tokens")).where("tokens > 0"))
+    p = F.col("posterior")
+    sums = lambda rates: [F.coalesce(F.sum(F.col("tokens") * F.get(p, j) * x), F.lit(0.0)) for x in rates for j in range(k)]
+    mass = np.array(cells.agg(*sums([F.lit(1.0)])).first(), float)
+    total, share = float(mass.sum()), sum(targets.get(d, 0.0) for d in names) or 1.0
     if not total:
         return []
-    goal = [total * targets.get(d, 0.0) / share for d in names]
-    # In this metric of the residual the curvature is 1 along every domain, so a step of 1 is safe and few are needed.
-    pairs = [(i, j) for i in range(len(names)) for j in range(len(names))]
-    cross = cells.agg(*(F.sum(F.col("tokens") * part(i) * part(j)) for i, j in pairs)).first()
-    metric = np.linalg.pinv(np.array(cross, float).reshape(len(names), -1) + 1e-9 * total * np.eye(len(names)))
-    history: list[list[float]] = []
-    now, before = mass, None
+    goal = np.array([total * targets.get(d, 0.0) / share for d in names])
+    history: list[tuple[list[float], list[float]]] = []
+    residual = goal - mass
     for _ in range(steps):
-        if max(abs(g - x) for g, x in zip(goal, now, strict=True)) <= TOLERANCE * total:
+        if np.abs(residual).max() <= TOLERANCE * total:
             break
-        if before is not None and max(abs(x - y) for x, y in zip(before, now, strict=True)) <= 0.1 * TOLERANCE * total:
+        held = cells.withColumn("rate", rate_of(p, history))
+        free = F.when((F.col("rate") > 0) | (_dot(p, residual) > 0), F.col("tokens")).otherwise(0.0)
+        pairs = [(i, j) for i in range(k) for j in range(k)]
+        curve = np.array(held.agg(*(F.sum(free * F.get(p, i) * F.get(p, j)) for i, j in pairs)).first(), float).reshape(k, k)
+        whole = np.linalg.pinv(curve + 1e-9 * total * np.eye(k)) @ residual
+        plain = residual / max(float(np.linalg.eigvalsh(curve)[-1]), 1e-9 * total)
+        tried = [(t * whole).tolist() for t in (1.0, 0.5, 0.25, 0.06, 0.015)] + [(t * plain).tolist() for t in (1.0, 0.25)]
+        got = np.array(held.agg(*sums([_step(p, F.col("rate"), residual.tolist(), v) for v in tried])).first(), float).reshape(len(tried), k)
+        error = ((goal - got) ** 2).sum(1)
+        best = int(np.argmin(error))
+        if error[best] >= (residual**2).sum() * (1 - TOLERANCE):
             break
-        history.append((metric @ (np.array(goal) - np.array(now))).tolist())
-        before, now = now, [float(x) for x in sums(rate_of(F.col("posterior"), history))]
+        history.append((residual.tolist(), tried[best]))
+        residual = goal - got[best]
     return history
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import partitions
 
 #: Text of a part. Parts and buckets grow in number with the input, not in size.
-PART_BYTES = 3 << 20
+PART_BYTES = 2 << 20
 #: Bytes of a key that travel, besides its bucket. Keys that agree in these are taken for one, so a key that is shared is only a candidate.
 KEY_BYTES = 5
 _LOW = np.uint64((1 << (8 * KEY_BYTES)) - 1)
