@@ -1,5 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, empty and long texts, ties and copies."""
 
+import base64
+import gzip
 import hashlib
 import re
 
@@ -223,6 +225,27 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_archives_hold_every_payload(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = ["", "x", "\r\n\r\nWARC/1.1\r\n", LONG * 60, *("".join(map(chr, rng.integers(32, 3000, 50))) for _ in range(40))]
+    rows = [(k, None if k % 5 == 0 else f"u{k}", texts[k * 7 % len(texts)]) for k in range(90)] + [(3, "again", texts[21]), (None, "q", "x")]
+    records = spark.createDataFrame(rows, "record_id long, uri string, payload string")
+    path = str(tmp_path / "archive")
+    warc.write_warc(warc.resolve_revisits(records, least_bytes=1, archive_bytes=50_000), path, records_a_file=7, date="2020-01-02T03:04:05Z")
+    got = warc.read_warc(spark, path, payload=True).collect()
+    first = {}
+    for i, _, t in rows:
+        if i is not None:
+            first[t] = min(i, first.get(t, i))
+    kind = lambda i, t: "response" if t == "" or first[t] == i else "revisit"
+    want = [(i, u, kind(i, t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), len(t.encode()), first[t] if kind(i, t) == "revisit" else None, t if kind(i, t) == "response" else "") for i, u, t in rows]
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+    two = gzip.compress(b"ab" * 10) + gzip.compress(b"c")
+    assert b"".join(warc.inflated(two)) == b"ab" * 10 + b"c" and b"".join(warc.inflated(b"plain")) == b"plain"
+    with pytest.raises(ValueError):
+        list(warc.inflated(two[:-4]))
+
+
 def test_url_rules_and_links(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/1", '<a href="http://b.org/x">'), (2, "http://B.org/q?x", '<a href="//a.com/">'), (3, "http://c.net/de/1", None), (4, None, "x"), (5, "no scheme", ""), (6, "http://x.example.net/de/81", "")], "page_id long, url string, html string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()}

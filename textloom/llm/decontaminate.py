@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh
+from .shared import cut, fresh, tidy
 
 WINDOW = 13
 SHARD_BYTES, SHARDS_AT_ONCE = 4 << 20, 4
@@ -174,7 +174,7 @@ def _passed(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
         index = spark.sparkContext.broadcast(build([(r.item, r.text.encode()) for r in part.collect()], window))
         last = k == shards - 1
-        df = df.mapInArrow(_scan(index, mode if last else "carry", spans, found), schema if last else df.schema)
+        df = df.mapInArrow(tidy(_scan(index, mode if last else "carry", spans, found)), schema if last else df.schema)
     return df
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, without_rows
+from .shared import cut, fresh, tidy, without_rows
 
 #: Bytes of content, members and overhead in a table; a task has one table at a time.
 TABLE_BYTES = 48 << 20
@@ -190,9 +190,9 @@ def _global(budget: int) -> Callable:
 def _decided(docs: DataFrame, table_bytes: int) -> DataFrame:
     """A row for each doc_id, raw text and input partition (``n`` rows of it): sha, its group's size, and whether one of its rows stays."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("own"), "text")
-    reps = rows.mapInArrow(_local(table_bytes), "part long, doc_id long, own long, n long, sha binary, content binary").repartition("sha")
-    classes = reps.mapInArrow(_global(table_bytes), "holder long, class_sha binary, keep_id long, keep_own long, keep_part long, group_size long")
-    members = rows.mapInArrow(_members, _MEMBERS).repartition("part", "sha").groupBy("part", "sha", "doc_id", "own").agg(F.count("*").alias("n"))
+    reps = rows.mapInArrow(tidy(_local(table_bytes)), "part long, doc_id long, own long, n long, sha binary, content binary").repartition("sha")
+    classes = reps.mapInArrow(tidy(_global(table_bytes)), "holder long, class_sha binary, keep_id long, keep_own long, keep_part long, group_size long")
+    members = rows.mapInArrow(tidy(_members), _MEMBERS).repartition("part", "sha").groupBy("part", "sha", "doc_id", "own").agg(F.count("*").alias("n"))
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("keep_own"))
     return members.join(classes, (F.col("part") == F.col("holder")) & (F.col("sha") == F.col("class_sha"))).select("doc_id", "own", "sha", "n", "keep_id", "group_size", best.alias("best"), (best & (F.col("part") == F.col("keep_part"))).alias("kept"))
 

@@ -43,6 +43,7 @@ class Words:
     """Texts whose words have one space between, as one such text; ``cuts`` are the texts' first words."""
 
     def __init__(self, texts: list[bytes]) -> None:
+        pa.default_memory_pool().release_unused()  # what the part before this one left
         self.sizes = np.array([x.count(b" ") + 1 if x else 0 for x in texts], np.int64)
         self.cuts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.flat = b" ".join(x for x in texts if x)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut", "fresh", "lower_ascii", "partitions", "remove", "shared_folder", "table", "without_rows"]
+__all__ = ["checkpoint_dir", "cut", "fresh", "lower_ascii", "partitions", "remove", "shared_folder", "table", "tidy", "without_rows"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,5 +62,17 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return keyed.join(gone, F.col(i).eqNullSafe(F.col(gi)) & (F.col(h) == F.col(gh)), "left_anti").drop(i, h)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker, which is kept for other tasks, gives its free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .near_copies import near_copy_rows
-from .shared import cut, without_rows
+from .shared import cut, tidy, without_rows
 
 BITS, SEGMENTS, SHINGLE, SEED = 2, 5, 3, 42
 LONG_RUN = 256
@@ -183,7 +183,7 @@ def _links(ring: Ring) -> Callable:
 def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint(shingle), "doc_id long, fp long")
+    return rows.mapInArrow(tidy(_fingerprint(shingle)), "doc_id long, fp long")
 
 
 def fingerprint_links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
@@ -192,7 +192,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS
     keyed = fps.select("fp", F.explode(ring.columns(F.col("fp"))).alias("k")).select(F.col("k.key").alias("key"), F.col("k.equal").alias("equal"), "fp")
     # Long runs look values up by their order as unsigned numbers.
     keyed = keyed.repartition("key", "equal").sortWithinPartitions("key", "equal", F.col("fp") < 0, "fp")
-    return keyed.mapInArrow(_links(ring), "a long, b long").distinct()
+    return keyed.mapInArrow(tidy(_links(ring)), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, bits: int = BITS, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:

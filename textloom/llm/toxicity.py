@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 TRIGRAMS = 4096
@@ -352,7 +354,7 @@ def toxicity(docs: DataFrame, model) -> DataFrame:
     repeated; an empty table gives an empty result. Without labelled texts of both classes every other score is the same
     constant. Other columns are not read; long texts are scored in whole, a batch holds few of them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _clean(model) -> Callable:
@@ -375,4 +377,4 @@ def _clean(model) -> Callable:
 
 def drop_toxic(docs: DataFrame, model) -> DataFrame:
     """The rows of ``docs`` that the model does not call toxic, with all their columns, whatever their names, in one pass without a shuffle."""
-    return docs.mapInArrow(_clean(model), docs.schema)
+    return docs.mapInArrow(tidy(_clean(model)), docs.schema)
