@@ -51,9 +51,16 @@ class WuManber:
         self.shift = np.full(1 << TABLE_BITS, last + 1, np.int32)
         for j in range(last + 1):
             np.minimum.at(self.shift, self._hash(prefixes.reshape(-1), np.arange(len(patterns)) * self.m + j), last - j)
-        self.buckets: dict[int, list[int]] = defaultdict(list)
+        self.buckets: dict[int, list[int]] = {}
         for k, h in enumerate(self._hash(prefixes.reshape(-1), np.arange(len(patterns)) * self.m + last).tolist()):
-            self.buckets[h].append(k)
+            self.buckets.setdefault(h, []).append(k)
+
+    @classmethod
+    def of(cls, state: dict) -> WuManber:
+        """An index from its parts, which travel as plain values."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
 
     def _hash(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         w = min(8, self.block)
@@ -101,6 +108,7 @@ def build(items: list[tuple[str, bytes]], size: int = WINDOW) -> list[tuple[WuMa
 
 def _scan(index, mode: str, spans: str, items: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [(WuManber.of(state), n_words, owners) for state, n_words, owners in index.value]
         for b in batches:
             at = 0
             while at < b.num_rows:  # by bytes, so that very long texts do not pile up
@@ -108,7 +116,7 @@ def _scan(index, mode: str, spans: str, items: str) -> Callable:
                 while end < b.num_rows and (end == at or size < BATCH_BYTES):
                     size += len(t.as_buffer()) if (t := b.column("text")[end]).is_valid else 0
                     end += 1
-                yield scan_batch(index.value, b.slice(at, end - at), mode, spans, items)
+                yield scan_batch(machines, b.slice(at, end - at), mode, spans, items)
                 at = end
 
     return run
@@ -172,7 +180,7 @@ def _passed(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
         if k and k % SHARDS_AT_ONCE == 0:
             df = cut(df)
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
-        index = spark.sparkContext.broadcast(build([(r.item, r.text.encode()) for r in part.collect()], window))
+        index = spark.sparkContext.broadcast([(vars(wm), n_words, owners) for wm, n_words, owners in build([(r.item, r.text.encode()) for r in part.collect()], window)])
         last = k == shards - 1
         df = df.mapInArrow(tidy(_scan(index, mode if last else "carry", spans, found)), schema if last else df.schema)
     return df
