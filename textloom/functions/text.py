@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -21,8 +22,21 @@ KANA = r"[぀-ヿ]"
 KATAKANA_RUN = r"[ァ-ヺー]{3,}"
 HALF_WIDTH = r"[,.!?;:]"
 WIDE_DIGITS = "０１２３４５６７８９"
-#: Characters whose compatibility form has digits, besides the full-width ones, from the Unicode tables of Python.
-_COMPATIBLE = "".join(c for c in map(chr, range(0x80, 0x110000)) if c not in WIDE_DIGITS and not 0xD800 <= ord(c) < 0xE000 and any(x.isdecimal() for x in unicodedata.normalize("NFKC", c)) and unicodedata.normalize("NFKC", c) != c)
+
+
+@functools.cache
+def compatible_digits() -> str:
+    """A pattern of the characters whose compatibility form has digits, besides the full-width ones, from the Unicode tables of Python, as ranges."""
+    runs: list[list[int]] = []
+    for k in range(0x80, 0x110000):
+        c = chr(k)
+        if 0xD800 <= k < 0xE000 or c in WIDE_DIGITS or (form := unicodedata.normalize("NFKC", c)) == c or not any(x.isdecimal() for x in form):
+            continue
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 def strip(c: Column) -> Column:
@@ -57,7 +71,7 @@ def _compatible(c: pd.Series) -> pd.Series:
 
 def numbers(c: Column) -> Column:
     """Runs of digits of the text's compatibility form (NFKC); only texts with such forms, full-width digits aside, leave the JVM."""
-    odd = F.when(c.rlike(f"[{_COMPATIBLE}]"), c)
+    odd = F.when(c.rlike(compatible_digits()), c)
     return F.regexp_extract_all(F.coalesce(F.pandas_udf(_compatible, StringType())(odd), F.translate(c, WIDE_DIGITS, "0123456789")), F.lit(r"(\p{Nd}+)"), 1)
 
 
