@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 # Characters that end a sentence, headings and placeholders.
 TERMINAL = "。．.！？!?…）)」』】"
 HEADING = (
-    r"^(第[一二三四五六七八九十\p{Nd}]+[章節回部]|[0-9]+\.\s*「|[０-９]+\.|[一二三四五六七八九十百]+、"
-    r"|はじめに|まえがき|あとがき|おわりに|目次|参考文献|付録|结语|前言\s*$)"
+    r"^(第[一二三四五六七八九十\p{Nd}]+[章節回部]|[0-9]+\.[\s　]*「|[０-９]+\.|[一二三四五六七八九十百]+、"
+    r"|はじめに|まえがき|あとがき|おわりに|目次|参考文献|付録|结语|前言[\s　]*$)"
 )
 HEADING_MAX = 60
 PLACEHOLDERS = {"brace": r"\{[^{}\n]{0,40}\}", "printf": r"%[-+ #0]?\p{Nd}*(?:\.\p{Nd}+)?[sdifgxXeEc]", "tag": r"<[A-Za-z/][^<>\n]{0,40}>"}
