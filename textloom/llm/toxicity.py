@@ -322,19 +322,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     return [(r.text, r.toxic) for r in rows]
 
 
+def _scores(scorer: Scorer, texts: pa.Array) -> np.ndarray:
+    """Scores of a batch, of which a few megabytes at a time become Python strings."""
+    at, scores = 0, [np.zeros(0)]
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < 2 << 20):
+            size += len(t.as_buffer()) if (t := texts[end]).is_valid else 0
+            end += 1
+        scores.append(scorer(texts.slice(at, end - at).to_pylist()))
+        at = end
+    return np.concatenate(scores)
+
+
 def _score(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for b in batches:
-            texts, at, scores = b.column(2), 0, []
-            while at < b.num_rows:
-                end, size = at, 0
-                while end < b.num_rows and (end == at or size < 2 << 20):
-                    size += len(t.as_buffer()) if (t := texts[end]).is_valid else 0
-                    end += 1
-                scores.append(scorer(texts.slice(at, end - at).to_pylist()))
-                at = end
-            got = np.concatenate(scores) if scores else np.zeros(0)
+            got = _scores(scorer, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -357,24 +362,13 @@ def toxicity(docs: DataFrame, model) -> DataFrame:
     return rows.mapInArrow(tidy(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _clean(model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
-        for b in batches:
-            texts, at, keep = b.column("text"), 0, []
-            while at < b.num_rows:
-                end, size = at, 0
-                while end < b.num_rows and (end == at or size < 2 << 20):
-                    size += len(t.as_buffer()) if (t := texts[end]).is_valid else 0
-                    end += 1
-                keep.append(scorer(texts.slice(at, end - at).to_pylist()) < 0.5)
-                at = end
-            if keep:
-                yield b.filter(pa.array(np.concatenate(keep)))
-
-    return run
+def drop_toxic(docs: DataFrame, model) -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with all their columns, whatever their names, in one pass
+    without a shuffle. Only texts travel to Python, and only scores come back."""
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(*model.value)
+        yield from tidy(lambda given: (pa.array(_scores(scorer, texts)) for texts in given))(batches)
 
-def drop_toxic(docs: DataFrame, model) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with all their columns, whatever their names, in one pass without a shuffle."""
-    return docs.mapInArrow(tidy(_clean(model)), docs.schema)
+    return docs.where(score(F.col("text").cast("string")) < 0.5)
