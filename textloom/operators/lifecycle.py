@@ -127,3 +127,16 @@ def progress_line(total: Column, done: Column, failed: Column) -> Column:
     share = F.when(total > 0, F.floor(done * 100 / total)).otherwise(0)
     rest = F.when(failed > 0, F.concat(F.lit(", "), failed.cast("string"), F.lit(" failed"))).otherwise("")
     return F.concat(F.lit("- "), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), share.cast("string"), F.lit("%)"), rest)
+
+
+def status_document(run: Column) -> Column:
+    """A run's state (struct of stage_index, stage_total, stage_name, total, done, failed, skipped, terms, locked, open_conflicts,
+    issues, misaligned, compliant, message) as Markdown; missing numbers are 0, other missing values are empty."""
+    n = lambda c: F.coalesce(run[c], F.lit(0)).cast("string")
+    s = lambda c: F.coalesce(run[c].cast("string"), F.lit(""))
+    return F.concat(
+        F.lit("### Stage "), (F.coalesce(run["stage_index"], F.lit(0)) + 1).cast("string"), F.lit("/"), n("stage_total"), F.lit(" · "), s("stage_name"),
+        F.lit("\n\n- chunks: "), n("done"), F.lit("/"), n("total"), F.lit(" ("), n("failed"), F.lit(" failed, "), n("skipped"), F.lit(" skipped)"),
+        F.lit("\n- terms: "), n("terms"), F.lit(" ("), n("locked"), F.lit(" locked), open conflicts: "), n("open_conflicts"),
+        F.lit("\n- issues: "), n("issues"), F.lit(", misaligned: "), n("misaligned"), F.lit("\n- compliant: "), s("compliant"), F.lit("\n- "), s("message"), F.lit("\n"),
+    )

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.punctuation import repair
 
 # The fake client's token counts; longest wait and spread of a retry.
@@ -98,3 +99,17 @@ def complete(rows: DataFrame, key: str, make_client: Callable[[], Client], as_js
 
     asked = rows.select(F.col(key).alias("key"), "prompt", "stage", F.col("chunk").cast("double").alias("chunk"), "tier")
     return asked.mapInPandas(run, f"`{key}` {kind}, text string, prompt_tokens bigint, completion_tokens bigint, calls int, error string")
+
+
+def repair_rounds(rows: DataFrame, key: str, wrong: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame], most: int = 3) -> DataFrame:
+    """``rows`` after at most ``most`` rounds, each of which makes those anew (``again``) that ``wrong`` still finds (key).
+
+    Every round is checkpointed, so neither a call nor a check is repeated for those that were right.
+    """
+    for _ in range(most):
+        bad = cut(wrong(rows).select(F.col(key).alias("_bad")).distinct())
+        if bad.isEmpty():
+            break
+        same = F.col(key) == F.col("_bad")
+        rows = cut(rows.join(bad, same, "left_anti").unionByName(again(rows.join(bad, same, "left_semi"))))
+    return rows

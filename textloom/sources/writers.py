@@ -9,6 +9,9 @@ from ..functions.text import strip
 
 # Columns of a glossary with two and with five.
 CSV = {"csv2": ("source", "target"), "csv5": ("source", "target", "type", "origin", "note")}
+# Header of the hits as CSV, and the names of origins there.
+HITS_HEADER = ("日语", "中文", "类型", "来源", "备注")
+ORIGIN_NAMES = {"user": "用户", "auto": "自动"}
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -43,6 +46,32 @@ def prompt_blocks(hits: DataFrame, terms: DataFrame, key: str, policy: str) -> D
     return rows.select(key, F.concat(F.lit(policy + "\n\n"), "lines").alias("prompt"))
 
 
+def hits_json(rows: DataFrame, key: str) -> DataFrame:
+    """(key, json): what ``store.prompt_rows`` gives for each key as one JSON object."""
+    term = F.struct("position", F.struct("source", "target", "type", "locked", "aliases", "note", "status").alias("term"))
+    sums = rows.groupBy(key).agg(F.count("*").alias("count"), F.bool_or("truncated").alias("truncated"), F.array_sort(F.collect_list(term)).alias("ts"))
+    return sums.select(key, F.to_json(F.struct("count", "truncated", F.transform("ts", lambda t: t["term"]).alias("terms"))).alias("json"))
+
+
+def _quoted(c):
+    """Column: a CSV field, in quotes where it needs them; null is empty."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def hits_csv(rows: DataFrame, key: str) -> DataFrame:
+    """(key, csv): the terms (position, source, target, type, origin, note) of each key as CSV with a header, in order of position."""
+    origin = F.when(F.col("origin") == "user", ORIGIN_NAMES["user"]).otherwise(ORIGIN_NAMES["auto"])
+    line = F.concat_ws(",", *(_quoted(c) for c in (F.col("source"), F.col("target"), F.col("type"), origin, F.col("note"))))
+    sums = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("ls"))
+    return sums.select(key, F.concat(F.lit(",".join(HITS_HEADER) + "\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("csv"))
+
+
+def csv_rows(text):
+    """Column: lines of a CSV text that are not blank, without the header."""
+    return F.size(F.filter(F.slice(F.filter(F.split(text, "\n"), lambda x: x != ""), 2, 1 << 30), lambda x: strip(x) != ""))
+
+
 def usage_report(rollup: DataFrame) -> str:
     """Totals, tiers and stages of ``events.usage_rollup`` as a Markdown table, one row for each tier and stage."""
     rows = rollup.orderBy(F.col("level") != "total", "level", "name").collect()
