@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc
 from .shared import table
 
 
@@ -55,8 +55,12 @@ def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.main_text(table(spark, d, "pages"))
 
 
+def op11_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.identify(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc_revisits, op5_substring_dedup, op6_url_filters, op7_decontamination, op8_simhash, op9_pii, op10_html_text)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc_revisits, op5_substring_dedup, op6_url_filters, op7_decontamination, op8_simhash, op9_pii, op10_html_text, op11_language_id)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
