@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc
+from . import align, decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc
 from .shared import table
 
 
+#: Where the public tokenizers' files are; any other caller passes their contents.
+TOKENIZERS = "file:///opt/tokenizers"
 #: The key of the registered query; any other caller must bring one.
 DEMO_KEY = "textloom-demo-key"
 
@@ -59,8 +61,13 @@ def op11_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language_id.identify(table(spark, d, "documents"))
 
 
+def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return align.alignment(docs, align.read(spark, f"{TOKENIZERS}/byte_bpe_50k.json"), align.read(spark, f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc_revisits, op5_substring_dedup, op6_url_filters, op7_decontamination, op8_simhash, op9_pii, op10_html_text, op11_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc_revisits, op5_substring_dedup, op6_url_filters, op7_decontamination, op8_simhash, op9_pii, op10_html_text, op11_language_id, op12_alignment)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut", "fresh", "lower_ascii", "partitions", "remove", "shared_folder", "table", "tidy", "without_rows"]
+__all__ = ["checkpoint_dir", "cut", "fresh", "lower_ascii", "partitions", "remove", "scratch", "shared_folder", "table", "tidy", "without_rows"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +37,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _remove_late(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped before
+        remove(spark, path)
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which outlives any executor and is removed when the driver's program ends."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    atexit.register(_remove_late, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of two numbers that may be broadcast.
 BROADCAST_ROWS = 200_000
 
