@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc
+from . import align, decontaminate, exact_dedup, html_text, language_id, mixing, pii, simhash, substring_dedup, toxicity, url_filter, warc, whitening
 from .shared import table
 
 
@@ -66,8 +66,12 @@ def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
     return align.alignment(docs, align.read(spark, f"{TOKENIZERS}/byte_bpe_50k.json"), align.read(spark, f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
+def op13_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc_revisits, op5_substring_dedup, op6_url_filters, op7_decontamination, op8_simhash, op9_pii, op10_html_text, op11_language_id, op12_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_mixing, op4_warc_revisits, op5_substring_dedup, op6_url_filters, op7_decontamination, op8_simhash, op9_pii, op10_html_text, op11_language_id, op12_alignment, op13_whitening)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
