@@ -30,7 +30,7 @@ ORDER = 5
 #: Largest size of the arrays that are sent to tasks.
 MODEL_BYTES = 96 << 20
 #: Characters that are looked up at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: The share of texts in their own language that may be rejected.
 REJECT = 0.001
 #: Standard deviations from the mean that are never rejected, which tells where calibration has few texts.
