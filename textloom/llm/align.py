@@ -193,7 +193,7 @@ class Aligner:
         for p in new:  # long pieces are not kept by name
             if len(p) > PIECE:
                 del self.at[p]
-        size = np.array([len(x) for x in used])
+        size = np.array([len(x) for x in used], np.int64)
         flat, of = np.fromiter(chain.from_iterable(used), np.int64), np.repeat(np.arange(len(texts)), size)
         sums = np.zeros((len(texts), 5), np.int64)
         np.add.at(sums, of, self.facts[flat, :5])

@@ -35,6 +35,8 @@ BLOCK = 1 << 19
 REJECT = 0.001
 #: Standard deviations from the mean that are never rejected, which tells where calibration has few texts.
 SPREAD = 4.0
+#: Calibration texts from which a limit is taken.
+FEWEST = 20
 #: Steepness of scores, from which calibration picks one.
 STEEPNESS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
@@ -294,15 +296,15 @@ def _joined(rows: DataFrame, fitted: Fitted) -> DataFrame:
     zero, add = F.array(*[F.lit(0.0)] * len(langs)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     left, parts = held.select("gram").distinct().select("gram", F.col("gram").alias("end"), zero.alias("h")), []
     for k in range(order, 0, -1):
-        known = fitted.grams.where(F.col("k") == k).select(F.col("gram").alias("end"), F.transform("p", F.log).alias("p"))
+        known = fitted.grams.where(F.col("k") == k).select(F.col("gram").alias("end"), F.transform("p", lambda x: F.log(x)).alias("p"))
         both = left.join(known, "end", "left")
         parts.append(both.where("p is not null").select("gram", add("h", "p").alias("h")))
         both = both.where("p is null").withColumn("context", F.substring("end", 1, k - 1))
         if k > 1:
-            cost = fitted.contexts.where(F.col("k") == k).select("context", F.transform("w", F.log).alias("w"))
+            cost = fitted.contexts.where(F.col("k") == k).select("context", F.transform("w", lambda x: F.log(x)).alias("w"))
             left = both.join(cost, "context", "left").select("gram", F.substring("end", 2, k).alias("end"), F.when(F.col("w").isNull(), F.col("h")).otherwise(add("h", "w")).alias("h"))
         else:
-            parts.append(both.select("gram", add("h", F.transform(F.array(*map(F.lit, fitted.floor)), F.log)).alias("h")))
+            parts.append(both.select("gram", add("h", F.transform(F.array(*map(F.lit, fitted.floor)), lambda x: F.log(x))).alias("h")))
     logs = parts[0]
     for p in parts[1:]:
         logs = logs.union(p)
@@ -332,7 +334,7 @@ def identify(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
     cross-entropy a character, of equal ones the first by name; ``und`` with score 0 where text is null or empty or has no
     letter, or nothing could be learnt. rejected: the text is farther from that language's model than all but one in a
     thousand texts of that language and about that length (powers of two), and by more than ``SPREAD`` standard deviations;
-    lengths with fewer than two calibration texts are never rejected. A null doc_id counts as the id "". Repeated rows are repeated, long texts read in whole, other columns not
+    lengths with fewer than ``FEWEST`` calibration texts are never rejected. A null doc_id counts as the id "". Repeated rows are repeated, long texts read in whole, other columns not
     read, and an empty table gives an empty result.
     """
     fitted = fit(docs) if fitted is None else fitted
@@ -342,7 +344,7 @@ def identify(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
     rows = entropies(docs, fitted).withColumns({"size": F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"), "low": F.array_min("h")})
     rows = cut(rows.withColumn("best", F.element_at(names, F.array_position("h", F.col("low")).cast("int"))))
     known = rows.where((F.col("fold") == CALIBRATE) & (F.col("n") > 0)).withColumn("own", F.element_at("h", F.array_position(names, F.col("lang")).cast("int"))).where("own is not null")
-    limits = known.groupBy(F.col("lang").alias("best"), "size").agg(F.greatest(F.percentile_approx("own", F.lit(1 - REJECT), F.lit(10_000)), F.avg("own") + SPREAD * F.stddev("own")).alias("limit"))
+    limits = known.groupBy(F.col("lang").alias("best"), "size").agg(F.greatest(F.percentile_approx("own", F.lit(1 - REJECT), F.lit(10_000)), F.avg("own") + SPREAD * F.stddev("own")).alias("limit"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).drop("n")
     fits = known.agg(*(F.sum(F.log(F.greatest(F.lit(1e-12), _posterior(s, "n", "h", "own")))).alias(str(i)) for i, s in enumerate(STEEPNESS))).first()
     steep = max(zip(fits, STEEPNESS, strict=True))[1] if fits[0] is not None else 1.0
     some = F.col("n") > 0
