@@ -204,16 +204,3 @@ def test_event_stream_numbers_without_gaps(spark, tmp_path):
         _drain(log.append_sequenced(stream, "at", str(out), str(state)))
     rows = spark.read.parquet(str(out)).orderBy("seq").collect()
     assert [(r.seq, r.at) for r in rows] == [(i + 1, t) for i, t in enumerate([0, 1, 2, 10, 11, 12])]
-
-
-def test_glossary_stream_is_the_ordered_fold(spark, tmp_path):
-    source, out, state = (tmp_path / n for n in ("in", "out", "state"))
-    source.mkdir()
-    seeds = spark.createDataFrame([("s", "x")], "source string, target string")
-    for batch, rows in enumerate([[("n", "p", 0), ("s", "y", 1)], [("n", "p", 2), ("n", "q", 3), ("m", "r", 4)]]):
-        (source / f"{batch}.json").write_text("\n".join(json.dumps(dict(zip(("source", "target", "arrival"), r))) for r in rows))
-        stream = spark.readStream.schema("source string, target string, arrival bigint").json(str(source))
-        _drain(log.glossary_stream(stream, seeds, str(out), str(state)))
-    done = spark.read.parquet(str(out / "actions")).orderBy("arrival").collect()
-    assert [r.action for r in done] == ["inserted", "rejected_by_lock", "unchanged", "conflict", "inserted"]
-    assert spark.read.parquet(str(out / "known")).count() == 2

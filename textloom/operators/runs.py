@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 # Stages in order, and how a tier that is missing is replaced.
 STAGES = ("S0", "S1", "S2", "S3", "S4", "S5", "S6", "S7", "S8")
 TIERS = {"fast": ("fast", "cheap", "strong"), "cheap": ("cheap", "strong"), "strong": ("strong",)}
+# From how many characters on a reader's text is too long for it.
+TOO_LONG = {30: 25, 50: 45, 100: 98}
 # Parameters of the three presets.
 PRESETS = {
     "fast": {"prescan": False, "style": False, "pre_extract": "off", "first_n": 10, "max_chars": 6000},
@@ -127,14 +134,32 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
     return F.when(n < 1, -1).when(F.exists(sides, lambda s: level(s) | upright(s)), 0).when(crossed % 2 == 1, 1).otherwise(-1)
 
 
-def cascade(lines: DataFrame, read: dict[int, Column]) -> DataFrame:
-    """(page, line, text, model): lines (predicted, width, height) through three readers, ``read`` giving what each would read.
+def cascade(lines: DataFrame, read: dict[int, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(page, line, text, model): lines (page, line, predicted, width, height and what readers look at) through three readers.
 
-    A class of 3 starts with the small reader, of 2 with the middle one; what turns out too long goes on to the next. Of the
-    large reader's long results wide lines are read as two halves (``read[200]``), whose texts are joined.
+    ``read`` has a function for 30, 50 and 100: it gets rows with ``half`` (0: the whole line, 1 and 2: its halves) and adds
+    ``text``. A class of 3 starts with the small reader, of 2 with the middle one, all others and unknown ones with the large
+    one; what turns out to have at least ``TOO_LONG`` characters goes on to the next. Of the large reader's long results wide
+    lines are read again as two halves, whose texts are joined (model 200). A reader gets just the lines that reach it: each
+    stage's texts are written down once, without what the reader looked at, and the next stage's lines are joined from them.
+    A null text counts as empty; (page, line) must be unique.
     """
-    small, middle, large, halves = (read[k] for k in (30, 50, 100, 200))
-    to_middle = (F.col("predicted") == 2) | ((F.col("predicted") == 3) & (F.length(small) >= 25))
-    to_large = ~F.coalesce(F.col("predicted").isin(2, 3), F.lit(False)) | (to_middle & (F.length(middle) >= 45))
-    split = to_large & (F.length(large) >= 98) & (F.col("height") < F.col("width"))
-    return lines.select("page", "line", F.when(split, halves).when(to_large, large).when(to_middle, middle).otherwise(small).alias("text"), F.when(split, 200).when(to_large, 100).when(to_middle, 50).otherwise(30).alias("model"))
+    key, said = ["page", "line"], F.length(F.coalesce("text", F.lit("")))
+
+    def ask(rows: DataFrame, model: int) -> DataFrame:
+        got = read[model](rows)
+        return cut(got.select(*key, "half", "width", "height", F.coalesce("text", F.lit("")).alias("text")))
+
+    def on(got: DataFrame, long: Column) -> DataFrame:
+        return lines.join(got.where(long).select(*key), key, "left_semi")
+
+    whole = lines.withColumn("half", F.lit(0))
+    first = F.when(F.col("predicted") == 3, 30).when(F.col("predicted") == 2, 50).otherwise(100)
+    small = ask(whole.where(first == 30), 30)
+    middle = ask(whole.where(first == 50).unionByName(on(small, said >= TOO_LONG[30]).withColumn("half", F.lit(0))), 50)
+    large = ask(whole.where(first == 100).unionByName(on(middle, said >= TOO_LONG[50]).withColumn("half", F.lit(0))), 100)
+    split = (said >= TOO_LONG[100]) & F.coalesce(F.col("height") < F.col("width"), F.lit(False))
+    halves = ask(on(large, split).withColumn("half", F.explode(F.array(F.lit(1), F.lit(2)))), 100)
+    joined = halves.groupBy(*key).agg(F.concat(F.max(F.when(F.col("half") == 1, F.col("text"))), F.max(F.when(F.col("half") == 2, F.col("text")))).alias("text"))
+    done = [(small.where(said < TOO_LONG[30]), 30), (middle.where(said < TOO_LONG[50]), 50), (large.where(~split), 100), (joined, 200)]
+    return reduce(DataFrame.union, (rows.select(*key, "text", F.lit(model).alias("model")) for rows, model in done))

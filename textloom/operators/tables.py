@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +43,37 @@ def grid(cells: list[tuple]) -> list[list[int]]:
     return out
 
 
+def decoded(tokens: DataFrame) -> DataFrame:
+    """(page, box, row0, row1, col0, col1, text): cells of the tables whose structure the tokens (page, at, token, rowspan, colspan, text) tell.
+
+    A token ``row`` begins a row, ``cell`` fills the first free places of it from the left: ``colspan`` columns in that and the
+    following ``rowspan`` - 1 rows, of which those below are taken from then on. Spans that are null or below 1 count as 1; a
+    cell before any row begins row 0; other tokens say nothing. ``box`` numbers a page's cells from 0, ends are
+    included. Where a wide cell meets a taken place behind its first, both have it. One fold over a page's tokens, whose state
+    is the first free row of each column.
+    """
+    span = lambda c: F.greatest(F.lit(1), F.coalesce(F.col(c), F.lit(1))).cast("int")
+    own = tokens.where(F.col("token").isin("row", "cell")).select("page", F.struct("at", "token", span("rowspan").alias("down"), span("colspan").alias("wide"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    pages = own.groupBy("page").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    cell = "struct<row0:int,row1:int,col0:int,col1:int,text:string>"
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("col"), F.array().cast("array<int>").alias("free"), F.array().cast(f"array<{cell}>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        row = F.greatest(s["row"], F.lit(0))
+        places = F.sequence(F.lit(0), F.size(s["free"]))
+        first = F.coalesce(F.get(F.filter(places, lambda c: (c >= s["col"]) & (F.coalesce(F.get(s["free"], c), F.lit(0)) <= row)), F.lit(0)), F.greatest(s["col"], F.size(s["free"])))
+        last = first + t["wide"] - 1
+        below = row + t["down"]
+        free = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s["free"]) - 1, last)), lambda c: F.when(c.between(first, last), F.greatest(below, F.coalesce(F.get(s["free"], c), F.lit(0)))).otherwise(F.coalesce(F.get(s["free"], c), F.lit(0))))
+        made = F.struct(row.alias("row0"), (below - 1).alias("row1"), first.alias("col0"), last.alias("col1"), t["text"].alias("text"))
+        filled = F.struct(row.alias("row"), (last + 1).alias("col"), free.alias("free"), F.concat(s["out"], F.array(made)).alias("out"))
+        begun = F.struct((s["row"] + 1).alias("row"), F.lit(0).alias("col"), s["free"].alias("free"), s["out"].alias("out"))
+        return F.when(t["token"] == "row", begun).otherwise(filled)
+
+    cells = pages.select("page", F.posexplode(F.aggregate("ts", start, step)["out"]).alias("box", "c"))
+    return cells.select("page", F.col("box").cast("long").alias("box"), "c.*")
+
+
 def _ordered(cells: list[tuple]) -> list[tuple]:
     return sorted(cells, key=lambda c: (min(c[0], c[1]), min(c[2], c[3])))
 

@@ -21,8 +21,12 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return as_candidates(table(spark, d, "part"))
+
+
+def as_candidates(parts: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_size < 40").select(
+    return parts.where("p_size < 40").select(
         k.alias("arrival"), F.expr(f"CASE WHEN p_partkey % 17 = 0 THEN '　' ELSE '　' || {_KEY} || ' ' END").alias("source"), F.concat(F.lit(" "), F.col("p_brand")).alias("target"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("reading"),
         F.when(k % 4 == 0, "").when(k % 4 == 1, "?").otherwise(" 地名 ").alias("type"), F.when(k % 3 == 0, "f").alias("gender"), F.array(F.col("p_type"), F.lit(" "), F.expr(_KEY)).alias("aliases"), F.when(k % 5 == 0, F.col("p_type")).otherwise("").alias("note"),
         F.when(k % 7 == 0, "user").otherwise("x").alias("origin"), F.lit(False).alias("locked"), F.floor(k / 10).alias("chunk"), F.when(k % 2 == 0, "pre").otherwise("post").alias("phase"),
@@ -109,12 +113,6 @@ def _polygon(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", runs.in_polygon(x, y, points).alias("place"))
 
 
-def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    lines = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), k.alias("line"), (k % 4).alias("predicted"), (k % 50).alias("width"), (k % 40).alias("height"), k)
-    return runs.cascade(lines, {m: F.repeat(F.lit(c), (k % n).cast("int")) for m, c, n in ((30, "s", 60), (50, "m", 90), (100, "l", 120), (200, "h", 200))}).select("page", "line", F.length("text").alias("chars"), "model")
-
-
 def _settings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     tiers = F.map_concat(F.create_map(F.lit("strong"), F.lit("S")), *(F.when(k % n == 0, F.create_map(F.lit(t), F.lit(t[0]))).otherwise(F.create_map().cast("map<string,string>")) for t, n in (("cheap", 2), ("fast", 3))))
@@ -151,7 +149,6 @@ def queries() -> dict[str, Query]:
         "sample_pack": _sample_pack,
         "recognised_texts": _recognised,
         "in_polygon": _polygon,
-        "recognition_cascade": _cascade,
         "tier_settings": _settings,
         "number_missing": lambda s, d: quality.number_missing(_marked_pairs(s, d)),
         "placeholder_diff": lambda s, d: quality.placeholder_diff(_marked_pairs(s, d)),
@@ -205,7 +202,6 @@ def oracle_sql() -> dict[str, str]:
         "recognised_texts": f"""WITH {_LINES}, p AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY line, text) AS text, '<PAGE>' || string_agg('<LINE STRING="' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '"/>', '' ORDER BY line, text) || '</PAGE>' AS xml, list(text ORDER BY line, text) AS contents FROM x GROUP BY doc, page)
             SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, '<OCRDATASET>' || chr(10) || string_agg(xml, chr(10) ORDER BY page) || chr(10) || '</OCRDATASET>' AS xml, to_json({{'contents': list(contents ORDER BY page), 'page_count': count(*)::INTEGER}})::VARCHAR AS json FROM p GROUP BY doc""",
         "in_polygon": f"WITH p AS (SELECT o_orderkey, (o_orderkey * 7 % 100)::DOUBLE AS x, (o_custkey * 13 % 100)::DOUBLE AS y FROM orders) SELECT o_orderkey, CASE WHEN y = 10 AND x BETWEEN 10 AND 90 THEN 0 WHEN ({_CROSSED}) % 2 = 1 THEN 1 ELSE -1 END::INTEGER AS place FROM p",
-        "recognition_cascade": "WITH x AS (SELECT o_custkey AS page, o_orderkey AS line, o_orderkey AS k, k % 4 = 2 OR k % 4 = 3 AND k % 60 >= 25 AS m FROM orders), y AS (SELECT *, k % 4 < 2 OR m AND k % 90 >= 45 AS l FROM x), z AS (SELECT *, l AND k % 120 >= 98 AND k % 40 < k % 50 AS h FROM y) SELECT page, line, (CASE WHEN h THEN k % 200 WHEN l THEN k % 120 WHEN m THEN k % 90 ELSE k % 60 END)::INTEGER AS chars, (CASE WHEN h THEN 200 WHEN l THEN 100 WHEN m THEN 50 ELSE 30 END)::INTEGER AS model FROM z",
         "tier_settings": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'f' WHEN n_nationkey % 2 = 0 THEN 'c' ELSE 'S' END AS fast, CASE WHEN n_nationkey % 2 = 0 THEN 'c' ELSE 'S' END AS cheap, 'S' AS strong, 'S' AS other, CASE WHEN n_nationkey % 12 <= 8 THEN (n_nationkey % 12)::BIGINT END AS stage FROM nation",
         "number_missing": f"WITH {_PAIRS}, {r._NUMBERS} SELECT * FROM g",
         "placeholder_diff": f"WITH {_PAIRS}, {r._PLACES} SELECT * FROM x WHERE n_src <> n_zh",

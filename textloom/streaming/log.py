@@ -1,6 +1,6 @@
-"""The event log and the glossary as streams.
+"""The event log as a stream.
 
-Both write one folder for each micro-batch, named by the batch, and overwrite it when a batch is run again: a query that
+It writes one folder for each micro-batch, named by the batch, and overwrites it when a batch is run again: a query that
 restarts from its checkpoint loses and repeats nothing.
 """
 
@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import events, glossary
+from ..operators import events
 from ..sources.readers import EVENT
 
-KNOWN = "source string, target string, batch bigint"
-
 
 def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A folder of JSON-lines files as a stream; lines that are not objects are skipped."""
@@ -48,17 +46,3 @@ def append_sequenced(stream: DataFrame, order: str, path: str, checkpoint: str)
         own.write.mode("overwrite").parquet(f"{path}/_last/{batch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def glossary_stream(stream: DataFrame, seeds: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Folds candidates (source, target, arrival from 0 on) into a glossary: ``path``/actions has what was done with each, and
-    ``path``/known the terms that a batch added. Seeds (source, target) are locked. Arrivals must not go back between batches."""
-
-    def write(rows: DataFrame, batch: int) -> None:
-        known = _earlier(rows.sparkSession, f"{path}/known", batch, KNOWN)
-        before = known.select("source", "target", F.lit(-1).cast("bigint").alias("arrival"))
-        done = glossary.merge(seeds, before.union(rows.select("source", "target", F.col("arrival").cast("bigint")))).where("arrival >= 0")
-        done.write.mode("overwrite").parquet(f"{path}/actions/batch={batch}")
-        done.where("action = 'inserted'").select("source", "target").write.mode("overwrite").parquet(f"{path}/known/batch={batch}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
