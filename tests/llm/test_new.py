@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import align, language_id, registry, whitening
+from textloom.llm import align, html_text, language_id, registry, whitening
 
 SMALL, TOKENIZERS = "/root/testdata/sf0.001", "/opt/tokenizers"
 LONG = " ".join(f"long{k % 997} text{k % 31}" for k in range(60_000))
@@ -333,3 +333,57 @@ def test_whitening_at_the_edges(spark):
     assert [(r.deviation, r.whitened and abs(r.whitened)) for r in flat] == [(512**2, 1.0), (512**2, None)] * 2 and flat[0].identity_error < 1e-15
     huge = whitening.whiten(make([(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [5.0, 2.0])])).where("component = 1").orderBy("vec_id").collect()
     assert [r.deviation for r in huge] == [None, None, 2560**2 + 768**2] and all(math.isfinite(r.whitened) for r in huge)
+
+
+# Main text of pages
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<main>main words here<article class="comment">reader says</article></main>', "main words here"),
+        ("<article>post<article class='comment'>reader says</article></article>", "post"),
+        ("<article>post<article><p>nested</p></article> more</article>", "post\nmore"),
+        ("<main><h1>Title</h1><p>lead</p><article><p>rest</p></article></main>", "Title\nlead\nrest"),
+        ("<nav>menu</nav><article>one</article><article>two</article><p>out", "one\ntwo"),
+        ('<article><h2 id="comments">Comments on the treaty</h2><p>text</p><div id="comments">no</div></article>', "Comments on the treaty\ntext"),
+        ('<article role="article" id="related-posts">no</article><main>yes</main>', "yes"),
+        ("<p>menu</p><article></article>", "menu"),
+    ],
+)
+def test_regions_of_the_parsed_page(page, want):
+    assert html_text.text_of(html_text.blocks_of(page))[0] == want
+
+
+def test_marks_in_comments_and_scripts_are_none(spark):
+    shared = "home news sports weather travel food music films books"
+    pages = [(1, "http://h.com/1", f"<!-- <article> --><div>{shared}</div><p>first text"), (2, "http://h.com/2", f"<script>'<main>'</script><div>{shared}</div><p>second text")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "first text", 2: "second text"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the generated tables")
+@pytest.mark.parametrize("pages_an_array", [20, 500])
+def test_given_pages_without_their_marks(spark, pages_an_array):
+    """The given pages with the marks taken out: what eight tokens that another page of the host has cover is gone, nothing else."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").withColumn("html", F.regexp_replace("html", "(?i)<(/?)(article|main)", "<$1div"))
+    pages = pages.withColumn("url", F.regexp_replace("url", "//[^/]*", "//one.host"))
+    rows = [(r.page_id, [t.split(" ") for t, _ in html_text.blocks_of(r.html or "")]) for r in pages.collect()]
+    streams = {i: [w for b in blocks for w in b] for i, blocks in rows}
+    on = defaultdict(set)
+    for s in streams.values():
+        for k in range(len(s) - 7):
+            on[tuple(s[k : k + 8])].add(tuple(s))
+    want = {}
+    for i, blocks in rows:
+        s, gone, out, at = streams[i], set(), [], 0
+        for k in range(len(s) - 7):
+            if len(on[tuple(s[k : k + 8])]) > 1:
+                gone.update(range(k, k + 8))
+        for b in blocks:
+            if left := [w for k, w in enumerate(b) if at + k not in gone]:
+                out.append(" ".join(left))
+            at += len(b)
+        want[i] = "\n".join(out)
+    assert {r.page_id: r.text for r in html_text.main_text(pages, pages_an_array=pages_an_array).collect()} == want
+    assert any(want.values()) and want != {i: "\n".join(" ".join(b) for b in blocks) for i, blocks in rows}
