@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import canonical
-from textloom.operators import grids, polygons, runs, tables, upright
+from textloom.operators import grids, matching, metered, polygons, quality, runs, scanner, tables, upright
+from textloom.sources import readers, writers
 
 
 def test_each_reader_gets_just_its_lines(spark):
@@ -250,3 +251,102 @@ def test_order_of_names_does_not_matter(v):
         return {k: turned(x[k]) for k in reversed(list(x))} if isinstance(x, dict) else [turned(y) for y in x] if isinstance(x, list) else x
 
     assert canonical._ordered(json.dumps(v)) == canonical._ordered(json.dumps(turned(v), indent=2, ensure_ascii=False))
+
+
+# Figures of a write, files by element, encodings, terms in one pass
+
+CALLS = "id int, tier string, stage string, prompt_tokens long, completion_tokens long, total_tokens long, cache_hit_tokens long, cache_miss_tokens long"
+
+
+def test_figures_come_with_the_write(spark, tmp_path):
+    rows = [(k, "fast" if k % 3 else "strong", "draft" if k % 2 else None, k, 2 * k, 3 * k, k // 2, k - k // 2) for k in range(50)]
+    seen, path = spark.sparkContext.accumulator(0), str(tmp_path / "calls")
+
+    @F.udf("int")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    calls = spark.createDataFrame(rows, CALLS).repartition(3).withColumn("id", passed.asNondeterministic()("id"))
+    groups = {"tier": ("fast", "strong", "none"), "stage": ("draft",)}
+    for run, part in (("a", calls.where("id < 20")), ("b", calls.where("id >= 20")), ("b", calls.where("id >= 20"))):
+        metered.write_calls(part, path, run, groups, lambda df: df.repartition("tier").sortWithinPartitions("id"))
+    assert seen.value == 3 * 50  # each write passes over its rows once
+    got = {(r.level, r.name): (r.calls, r.prompt_tokens, r.total_tokens, r.cache_hit_rate) for r in metered.usage(spark, path).collect()}
+    one = lambda rs: (len(rs), sum(r[3] for r in rs), sum(r[5] for r in rs), round(sum(r[6] for r in rs) / max(1, sum(r[3] for r in rs)), 4) if rs else 0.0)
+    assert got == {("tier", "fast"): one([r for r in rows if r[1] == "fast"]), ("tier", "strong"): one([r for r in rows if r[1] == "strong"]), ("tier", "none"): one([]), ("stage", "draft"): one([r for r in rows if r[2]])}
+    assert spark.read.parquet(path).count() == 50
+    with pytest.raises(RuntimeError, match="20 rows became 10"):
+        metered.write_calls(calls.where("id < 20"), path, "c", groups, lambda df: df.where("id % 2 = 0"))
+    assert spark.read.parquet(path).count() == 50 and metered.usage(spark, path).where("name = 'fast'").first().calls == one([r for r in rows if r[1] == "fast"])[0]
+
+
+def test_layout_files_are_cut_by_page(spark, tmp_path):
+    line = '<LINE X="{x}" Y="2" WIDTH="3" HEIGHT="4" CONF="0.5" STRING="日本{x}"/>'
+    page = lambda k: f'<PAGE IMAGENAME="p{k}.jpg" WIDTH="9"><TEXTBLOCK>{line.format(x=k)}\n{line.format(x=k + 1)}</TEXTBLOCK>{line.format(x=k + 2)}</PAGE>'
+    xml = '<?xml version="1.0" encoding="utf-8"?>\n<OCRDATASET>\n' + "\n".join(map(page, range(200))) + "\n</OCRDATASET>\n"
+    (tmp_path / "a.xml").write_text(xml)
+    (tmp_path / "b.xml").write_text('<OCRDATASET><PAGE IMAGENAME="broken"><LINE</PAGE><PAGE/></OCRDATASET>')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.read_layout_pages(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 5
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = ["block", "box", "x0", "y0", "x1", "y1", "conf", "text"]
+    whole = readers.layout_boxes(spark.createDataFrame([(1, xml)], "k int, x string"), "k", "x").collect()
+    assert sorted(repr((r.name, *(r[n] for n in names))) for r in rows) == sorted(repr((f"p{r.page}.jpg", *(r[n] for n in names))) for r in whole)
+    assert len(rows) == 600 and {r.file.rsplit("/", 1)[1] for r in rows} == {"a.xml"}
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-32", "shift_jis", "euc_jp", "gb18030"])
+def test_files_in_old_encodings(spark, tmp_path, encoding):
+    text = "日本語のテキスト。" if encoding != "gb18030" else "简体中文，𠀀和é"
+    (tmp_path / "a.txt").write_bytes(text.encode(encoding))
+    assert readers.read_texts(spark, str(tmp_path)).first().text == text
+    # an escape sequence is ASCII, so the first encoding takes it as it is
+    assert readers.decoded("日本".encode("iso2022_jp"), readers.FILE_ENCODINGS).startswith("\x1b$B")
+
+
+def test_glossary_json_keeps_reading_and_gender(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps([{"source": "a", "target": "b", "reading": "r", "gender": "f"}, {"source": "　", "target": "c"}, {"source": "d", "target": " "}]))
+    assert [(r.source, r.reading, r.gender) for r in readers.read_glossary_json(spark, str(tmp_path / "g.json")).collect()] == [("a", "r", "f")]
+
+
+def test_shards_of_terms_share_one_scan(spark):
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in "猫犬鳥魚abcd" for b in "木火土xyz"]
+    texts = [(k, None if k == 7 else "".join(rng.choice([*words, " ", "。", "-"]) for _ in range(60))) for k in range(40)]
+    terms = spark.createDataFrame([(w, [w, w[::-1]]) for w in words], "source string, keys array<string>")
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = matching.term_counts(df, "id", "text", terms, shard=70)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # 96 keys in three shards
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, matching.term_counts(df, "id", "text", terms).collect()))
+    spans = matching.term_spans(df, "id", "text", terms, shard=70).collect()
+    held = dict(texts)
+    assert spans and all(matching.normalized(held[r.id])[r.begin : r.finish] == r.term_key for r in spans)
+    merged = {}
+    for r in spans:
+        merged.setdefault((r.id, r.source), []).append((r.begin, r.finish))
+    assert {k: matching.merged(v) for k, v in merged.items()} == {(r.id, r.source): r.n for r in got.collect()}
+
+
+def test_suggested_terms(spark):
+    pairs = spark.createDataFrame([(1, "ドラゴン ドラゴン ﾄﾞﾗ", "x"), (2, "ドラゴン スライム\n```\nスライム\n```\nスライム", "かな\nよ\nx"), (3, "カタカナ カタカナ カタカナ", None), (4, None, "x")], "chunk long, src string, zh string")
+    terms = spark.createDataFrame([("カタカナ", "k", "", None)], "source string, target string, type string, aliases array<string>")
+    assert [tuple(r) for r in scanner.suggestions(pairs.where("src is not null"), terms).collect()] == [(1, "ドラゴン", 3)]
+    found = scanner.qa_issues(pairs, ["chunk"], terms, policy="A").orderBy("id").collect()
+    assert [r.id for r in found] == list(range(1, len(found) + 1)) and (found[-1].kind, found[-1].severity, found[-1].chunk, found[-1].detail, found[-1].n) == ("suggestion", "info", None, "ドラゴン", 3)
+    assert not any(r.kind == "suggestion" for r in scanner.qa_issues(pairs, ["chunk"], terms).collect())
+    counted = quality.qa_summary(pairs.withColumnsRenamed({"chunk": "conv_id"}).withColumn("turn", F.lit(0)))
+    assert {r.kind: r.n for r in counted.collect()}["residue"] == 2
+
+
+def test_a_key_with_too_many_rows_ends_the_job(spark, monkeypatch):
+    monkeypatch.setattr(writers, "MOST", 2)
+    rows = spark.createDataFrame([(1, k, f"s{k}", "t", "", "user", "") for k in range(1, 4)], "chunk int, position int, source string, target string, type string, origin string, note string")
+    assert writers.hits_csv(rows.where("position < 3"), "chunk").count() == 1
+    with pytest.raises(Exception, match="more than 2 rows"):
+        writers.hits_csv(rows, "chunk").collect()

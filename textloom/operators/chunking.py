@@ -91,3 +91,19 @@ def digest_packs(docs: DataFrame, group: str, size: int = 8) -> DataFrame:
     rows = sequenced(docs.select(group, "doc_id", F.length("text").alias("chars")).where("doc_id is not null"), "doc_id", by=group)
     pack = (F.floor((F.col("seq") - 1) / size) + 1).alias("pack")
     return rows.select(group, "doc_id", "chars", pack).groupBy(group, "pack").agg(F.count("*").alias("n_docs"), F.sum("chars").alias("total_chars"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+# The head of a pack of digests, that of each digest, and what stands for an empty one.
+PACK_HEAD = "# 梗概包 %02d（第 %d–%d 块）\n\n- 覆盖块数：%d\n\n> 说明：以下为逐块中文梗概。请先归纳本包的情节主线、登场人物与\n> 关键设定，输出一段不超过 400 字的小结，供后续汇总为全书简介。\n\n"
+PACK_PART, PACK_EMPTY = "## 第 %d 块\n\n%s\n", "（本块梗概为空）"
+
+
+def digest_pack_texts(docs: DataFrame, group: str, size: int = 20) -> DataFrame:
+    """(group, pack, text): the packs of ``size`` documents as texts for a model, each under its number; blank ones are named so.
+    A pack holds no more than ``size`` texts, however large its group."""
+    rows = sequenced(docs.select(group, "doc_id", F.coalesce(strip(F.col("text")), F.lit("")).alias("t")).where("doc_id is not null"), "doc_id", by=group)
+    pack = (F.floor((F.col("seq") - 1) / size) + 1).alias("pack")
+    packs = rows.groupBy(group, pack).agg(F.sort_array(F.collect_list(F.struct("doc_id", "t"))).alias("ts"))
+    part = lambda x: F.format_string(PACK_PART, x["doc_id"], F.when(x["t"] == "", PACK_EMPTY).otherwise(x["t"]))
+    head = F.format_string(PACK_HEAD, "pack", F.element_at("ts", 1)["doc_id"], F.element_at("ts", -1)["doc_id"], F.size("ts"))
+    return packs.select(group, "pack", F.concat(head, F.array_join(F.transform("ts", part), "\n")).alias("text"))

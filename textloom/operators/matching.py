@@ -1,15 +1,15 @@
 """Terms in any script within texts, and how often their translations follow them.
 
 ASCII terms are tokens and are matched by a join (``glossary.term_occurrences``). Terms with other letters have no token
-boundary, so they are sought by an automaton over the normalised text. Terms are taken in shards of at most ``SHARD`` keys:
-that bounds what is sent to executors, however many terms there are.
+boundary, so they are sought by an automaton over the normalised text. Terms are taken in shards of at most ``SHARD`` keys,
+of which ``AT_ONCE`` pass over the texts together: that bounds what is sent to executors, however many terms there are.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SOURCE_ONLY = ("称谓", "敬称", "口癖", "固定表达")
 SPACED = ("LATIN", "GREEK", "CYRILLIC")
 SHARD = 100_000
+#: Shards whose automata a task holds at a time; more need another scan of the texts.
+AT_ONCE = 4
 
 
 def normalized(text: str) -> str:
@@ -51,8 +53,8 @@ def merged(spans: list[tuple[int, int]]) -> int:
     return n
 
 
-def count_terms(text: str, automaton: ahocorasick.Automaton) -> dict[str, int]:
-    """Occurrences of each term: matches of one key do not overlap each other, those of a term's keys are merged."""
+def spans_of(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[str, int, int]]]:
+    """(key, begin, end) of each term's occurrences in the normalised text; those of one key do not overlap each other."""
     text, last, found = normalized(text), {}, defaultdict(list)
     for end, (key, rule, terms) in automaton.iter(text):
         kind, left, right = rule
@@ -61,8 +63,13 @@ def count_terms(text: str, automaton: ahocorasick.Automaton) -> dict[str, int]:
             continue
         last[key] = b
         for t in terms:
-            found[t].append((a, b))
-    return {t: merged(s) for t, s in found.items()}
+            found[t].append((key, a, b))
+    return found
+
+
+def count_terms(text: str, automaton: ahocorasick.Automaton) -> dict[str, int]:
+    """Occurrences of each term, those of its keys merged."""
+    return {t: merged([(a, b) for _, a, b in s]) for t, s in spans_of(text, automaton).items()}
 
 
 def automaton(keys: dict[str, list[str]]) -> ahocorasick.Automaton:
@@ -79,29 +86,43 @@ def keyed(terms: DataFrame) -> DataFrame:
     return terms.select("source", F.when(F.coalesce("type", F.lit("")).isin(*SOURCE_ONLY), F.array("source")).otherwise(both).alias("keys"))
 
 
-def term_counts(texts: DataFrame, key: str, text: str, terms: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(key, source, n) for every text and term (source, keys) that it has; null texts and blank keys have none."""
-    total = terms.count()
+def _scanned(texts: DataFrame, key: str, text: str, terms: DataFrame, shard: int, columns: str, rows_of: Callable) -> DataFrame:
+    """What ``rows_of`` (text, automaton) says of every text and shard of terms, behind the text's key: the shards of ``AT_ONCE``
+    go to executors by themselves and pass over each batch of texts together."""
+    context, total = texts.sparkSession.sparkContext, terms.select(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(1, -(-total * 2 // shard))
     kind = texts.schema[key].dataType.simpleString()
     dealt = terms.withColumn("_part", F.pmod(F.xxhash64("source"), F.lit(parts)))
     outs = []
-    for part in range(parts):
-        keys: dict[str, list[str]] = {}
-        for row in dealt.where(F.col("_part") == part).collect():  # about shard / 2 terms
-            for k in {normalized(k).strip() for k in row["keys"] if k} - {""}:
-                keys.setdefault(k, []).append(row["source"])
-
-        def scan(frames: Iterator[pd.DataFrame], keys: dict[str, list[str]] = keys) -> Iterator[pd.DataFrame]:
-            machine = automaton(keys) if keys else None
+    for first in range(0, parts, AT_ONCE):
+        shards = []
+        for part in range(first, min(parts, first + AT_ONCE)):
+            keys: dict[str, list[str]] = {}
+            for row in dealt.where(F.col("_part") == part).toLocalIterator():  # about half of a shard's keys
+                for k in {normalized(k).strip() for k in row["keys"] if k} - {""}:
+                    keys.setdefault(k, []).append(row["source"])
+            shards.append(context.broadcast(keys))
+
+        def scan(frames: Iterator[pd.DataFrame], shards: list = shards) -> Iterator[pd.DataFrame]:
+            machines = [automaton(b.value) for b in shards if b.value]
             for f in frames:
-                rows = [(k, s, n) for k, t in zip(f["k"], f["t"]) if machine and t for s, n in count_terms(t, machine).items()]
-                yield pd.DataFrame(rows, columns=[key, "source", "n"])
+                rows = [(k, *r) for k, t in zip(f["k"], f["t"]) if t for m in machines for r in rows_of(t, m)]
+                yield pd.DataFrame(rows, columns=[key, *(c.split()[0] for c in columns.split(", "))])
 
-        outs.append(texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, source string, n bigint"))
+        outs.append(texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"`{key}` {kind}, {columns}"))
     return reduce(DataFrame.union, outs)
 
 
+def term_counts(texts: DataFrame, key: str, text: str, terms: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(key, source, n) for every text and term (source, keys) that it has; null texts and blank keys have none."""
+    return _scanned(texts, key, text, terms, shard, "source string, n bigint", lambda t, m: count_terms(t, m).items())
+
+
+def term_spans(texts: DataFrame, key: str, text: str, terms: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(key, source, term_key, begin, finish): where the keys of each term stand in the normalised text, ends not included."""
+    return _scanned(texts, key, text, terms, shard, "source string, term_key string, begin bigint, finish bigint", lambda t, m: ((s, *x) for s, found in spans_of(t, m).items() for x in found))
+
+
 def term_rate(pairs: DataFrame, key: str, terms: DataFrame) -> DataFrame:
     """One row (expected, violations, rate): occurrences of each term (source, target, type, aliases) in ``src``, and how
     many of them no occurrence of its target in ``zh`` answers; the rate is 1 where nothing is expected."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HALF_WIDTH, KATAKANA_RUN, PLACEHOLDERS, numbers, paragraphs, strip
+from ..functions.text import HALF_WIDTH, KANA, KATAKANA_RUN, PLACEHOLDERS, numbers, paragraphs, strip
 
 RATIO_MIN, RATIO_MAX = 0.55, 1.70
 
@@ -40,6 +40,11 @@ def align_summary(p: DataFrame) -> DataFrame:
     return align_issues(p).groupBy("kind", "severity").agg(F.count("*").alias("n"), F.countDistinct("conv_id", "turn").alias("n_chunks"))
 
 
+def error_chunks(p: DataFrame) -> DataFrame:
+    """(conv_id, turn) of the pairs with an error, in order."""
+    return align_issues(p).where("severity = 'error'").select("conv_id", "turn").distinct().orderBy("conv_id", "turn")
+
+
 def number_missing(p: DataFrame) -> DataFrame:
     """Numbers of the source that its target lacks, as a difference of multisets."""
     side = lambda c: p.where(F.col("zh").isNotNull()).select("conv_id", "turn", F.explode(numbers(F.col(c))).alias("number")).groupBy("conv_id", "turn", "number").agg(F.count("*").alias("n"))
@@ -68,14 +73,14 @@ def punct_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.regexp_count("text", F.lit(HALF_WIDTH)).alias("n_half_width"), F.regexp_count("text", F.lit("[「」『』]")).alias("n_brackets"))
 
 
-def qa_summary(p: DataFrame) -> DataFrame:
-    """Issues of each kind, zero where there are none: one pass counts all kinds but numbers, which are compared as multisets."""
+def qa_summary(p: DataFrame, residue: str = KANA) -> DataFrame:
+    """Issues of each kind, zero where there are none; lines of a target with ``residue`` are one each. One pass counts all kinds but numbers, which are compared as multisets."""
     full = F.col("zh").isNotNull() & (strip("zh") != "")
     places = reduce(lambda a, b: a + b, ((F.regexp_count("src", F.lit(x)) != F.regexp_count("zh", F.lit(x))).cast("int") for x in PLACEHOLDERS.values()))
     apart = F.size(paragraphs(F.col("src"), r"\n")) != F.size(paragraphs(F.col("zh"), r"\n"))
     counts = p.agg(
         F.count_if(~full).alias("empty"), F.coalesce(F.sum(F.when(full, places)), F.lit(0)).alias("placeholder"), F.count_if(full & (F.regexp_count("zh", F.lit(HALF_WIDTH)) > 0)).alias("punctuation"),
-        F.count_if(full & apart).alias("paragraph"), F.lit(0).cast("bigint").alias("residue"),
+        F.count_if(full & apart).alias("paragraph"), F.coalesce(F.sum(F.when(full, F.size(F.filter(F.split("zh", "\n"), lambda t: F.rlike(t, F.lit(residue)))))), F.lit(0)).alias("residue"),
     )
     one_pass = counts.unpivot([], ["empty", "placeholder", "punctuation", "paragraph", "residue"], "kind", "n")
     numbers_ = number_missing(p.where(full)).select("conv_id", "turn").distinct().agg(F.count("*").alias("n")).select(F.lit("number").alias("kind"), "n")

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.lineage import cut
 from ..functions.punctuation import strip_fenced
-from ..functions.text import HALF_WIDTH, KANA, PLACEHOLDERS, first_line_with, numbers, paragraphs, strip
+from ..functions.text import HALF_WIDTH, KANA, KATAKANA_RUN, PLACEHOLDERS, first_line_with, numbers, paragraphs, strip
 from . import lifecycle, matching
 from .events import sequenced
 
 # Kinds in the order of their issues within a segment, severities from the worst on, and the brackets that should be gone.
-KINDS = ("empty", "residue", "terminology", "placeholder", "number", "punctuation", "paragraph")
+KINDS = ("empty", "residue", "terminology", "placeholder", "number", "punctuation", "paragraph", "suggestion")
 SEVERITIES = ("error", "warn", "info")
 BRACKETS = "[「」『』]"
+# Of how many occurrences on a run of katakana may be a term, and how many are named.
+SUGGEST_LEAST, SUGGEST_MOST = 3, 20
 FOUND = "kind string, severity string, part bigint, detail string, line bigint, n bigint, found string, excerpt string"
 _NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
@@ -97,13 +101,34 @@ def term_issues(pairs: DataFrame, keys: list[str], terms: DataFrame, logged: Dat
     return guessed.select(*keys, _issue("terminology", "error", detail=F.col("source"), line=at["line"] + 1, n=F.col("missing"), found=F.col("found"), excerpt=at["excerpt"]).alias("i")).select(*keys, "i.*")
 
 
-def qa_issues(pairs: DataFrame, keys: list[str], terms: DataFrame | None = None, logged: DataFrame | None = None, residue: str = KANA, separator: str = r"(?U)\n\s*\n") -> DataFrame:
+@F.pandas_udf(StringType())
+def _normalized(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else matching.normalized(t))
+
+
+def suggestions(pairs: DataFrame, terms: DataFrame, pattern: str = KATAKANA_RUN, least: int = SUGGEST_LEAST, most: int = SUGGEST_MOST) -> DataFrame:
+    """(position, source, n): runs of katakana that the sources have ``least`` times or more outside fences and that are no key
+    of a term, the ``most`` frequent, equal ones in order; positions begin at 1."""
+    runs = pairs.select(F.explode(F.regexp_extract_all(unfenced("src"), F.lit(f"({pattern})"), 1)).alias("source")).groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    known = matching.keyed(terms).select(F.explode("keys").alias("key")).where("key <> ''").select(_normalized("key").alias("key")).distinct()
+    open_ = runs.join(known, _normalized("source") == F.col("key"), "left_anti")
+    best = open_.orderBy(F.desc("n"), "source").limit(most)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("n"), "source")).alias("position"), "source", "n")
+
+
+def qa_issues(pairs: DataFrame, keys: list[str], terms: DataFrame | None = None, logged: DataFrame | None = None, residue: str = KANA, separator: str = r"(?U)\n\s*\n", policy: str = "B", runs: str = KATAKANA_RUN) -> DataFrame:
     """All issues of the pairs with ``id``, from 1 without gaps: by ``keys``, the first of which must be a whole number, then by
-    kind and place. Fenced lines are looked at only for their paragraphs. Pairs without a source are left out."""
+    kind and place. Fenced lines are looked at only for their paragraphs. Pairs without a source are left out. Under policy A,
+    where only the user adds terms, suggestions of terms come last, without keys."""
     parts = [text_issues(pairs, keys, residue, separator), number_issues(pairs, keys)] + ([term_issues(pairs, keys, terms, logged)] if terms is not None else [])
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     rows = cut(reduce(DataFrame.unionByName, parts).withColumn("_rank", rank))  # numbering reads them twice
-    return sequenced(rows, keys[0], then=(*keys[1:], "_rank", "part", "detail")).withColumnRenamed("seq", "id").select("id", *keys, *(c for c in _NAMES if c != "part"))
+    out = sequenced(rows, keys[0], then=(*keys[1:], "_rank", "part", "detail")).withColumnRenamed("seq", "id").select("id", *keys, *(c for c in _NAMES if c != "part"))
+    if policy != "A" or terms is None:
+        return out
+    more = suggestions(pairs.where("src is not null"), terms, runs).withColumn("i", _issue("suggestion", "info", detail=F.col("source"), n=F.col("n")))
+    kinds = {f.name: f.dataType for f in out.schema}
+    return out.unionByName(more.select((F.col("position") + rows.count()).cast(kinds["id"]).alias("id"), *(F.lit(None).cast(kinds[k]).alias(k) for k in keys), *(F.col(f"i.{c}").alias(c) for c in _NAMES if c != "part")))
 
 
 def qa_counts(issues: DataFrame) -> DataFrame:

@@ -80,8 +80,10 @@ def upserted(terms: DataFrame, candidates: DataFrame, policy: str = "B") -> Data
         F.bool_or(inserted).alias("_new"), F.bool_or(same).alias("_same"), F.bool_or(F.col("outcome") == "conflict").alias("_conflict"), F.first("_base").alias("_target"),
         *(least(F.col(c), same & (text(c) != "")).alias(f"_{c}") for c in ("reading", "gender", "note")),
         least(kind, same & (kind != DEFAULT_TYPE)).alias("_type"), least(F.struct("origin", F.coalesce("locked", F.lit(False)).alias("locked"), "chunk"), inserted).alias("_made"),
-        F.flatten(F.collect_set(F.when(same, F.col("aliases")))).alias("_aliases"),
     )
+    # one row for each source and alias before they are listed, so a source with many candidates gathers only different ones
+    named = judged.where(same).select(F.col("source").alias("_n"), F.explode("aliases").alias("_a")).distinct().groupBy("_n").agg(F.collect_list("_a").alias("_aliases"))
+    takes = takes.join(named, F.col("_s") == F.col("_n"), "left")
     both = terms.join(takes, F.col("source") == F.col("_s"), "full")
     new, source = F.coalesce("_new", F.lit(False)), F.coalesce("source", "_s")
     fill = lambda c: F.coalesce(F.when(text(c) != "", F.col(c)), F.col(f"_{c}"), F.lit("")).alias(c)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, json_hash
 from ..functions.lineage import scratch_path
-from ..operators import chunking, grids, polygons, runs, tables, upright
+from ..operators import chunking, glossary, grids, matching, metered, polygons, quality, runs, scanner, tables, upright
 from ..streaming import terms
+from . import registry as r
+from .records import _ISSUES, LEFT
 from .registry import _PARAS, Query, table
 from .runs import _B, _terms, as_candidates
 
@@ -89,6 +91,28 @@ def _props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", canonical_json(nested).alias("form"), json_hash(nested).alias("hash"))
 
 
+#: What the given turns have instead of runs of katakana.
+RUN = "[a-zA-Z]{4,}"
+
+
+def _kept_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark tokens as terms that stay as they are."""
+    return glossary.ascii_terms(table(spark, d, "benchmark")).select("source", F.col("source").alias("target"), F.lit("").alias("type"), F.lit(None).cast("array<string>").alias("aliases"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return matching.term_spans(table(spark, d, "documents"), "doc_id", "text", glossary.ascii_terms(table(spark, d, "benchmark")).withColumn("keys", F.array("source")))
+
+
+def _metered(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls, written in two runs, one of them twice; their figures as they were kept."""
+    v, path = F.floor("value").cast("bigint"), scratch_path(spark, "calls")
+    calls = table(spark, d, "events").select("event_id", F.col("event_type").alias("stage"), F.when(F.col("user_id") % 3 == 0, "fast").otherwise("strong").alias("tier"), v.alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"), (v + F.col("event_id") % 50).alias("total_tokens"), F.floor(v / 3).alias("cache_hit_tokens"), (v - F.floor(v / 3)).alias("cache_miss_tokens"))
+    for run, part in (("a", calls.where("stage = 'view'")), ("b", calls.where("stage <> 'view' or stage is null")), ("b", calls.where("stage <> 'view' or stage is null"))):
+        metered.write_calls(part, path, run, {"tier": ("fast", "strong"), "stage": ("view", "click", "purchase")}, lambda df: df.repartition("stage").sortWithinPartitions("event_id"))
+    return metered.usage(spark, path)
+
+
 def _stream_terms(spark: SparkSession, d: str) -> DataFrame:
     """Parts as a stream of candidates, and the glossary that the state store has after them."""
     parts = table(spark, d, "part")
@@ -110,6 +134,12 @@ def queries() -> dict[str, Query]:
         "upright_runs": _upright,
         "upright_parts": lambda s, d: upright.reading_parts(_ink(s, d)[0], upright.upright_runs(*_ink(s, d))).withColumnsRenamed({"from": "top", "to": "bottom"}),
         "canonical_json": _props,
+        "term_spans": _spans,
+        "error_chunks": lambda s, d: quality.error_chunks(quality.pairs(table(s, d, "conversations"))),
+        "digest_pack_texts": lambda s, d: chunking.digest_pack_texts(table(s, d, "documents"), "source", 8),
+        "scan_suggestions": lambda s, d: scanner.suggestions(quality.pairs(table(s, d, "conversations")), _kept_terms(s, d), RUN),
+        "qa_issues_user_only": lambda s, d: scanner.qa_issues(quality.pairs(table(s, d, "conversations")), ["conv_id", "turn"], _kept_terms(s, d), residue=LEFT, separator=r"\n", policy="A", runs=RUN),
+        "usage_of_runs": _metered,
         "glossary_stream": _stream_terms,
     }
 
@@ -125,6 +155,10 @@ b AS (SELECT line, width, band, min(y0) AS t, max(y1) AS u, greatest(2, (max(y1)
 w AS (SELECT b.*, sum(greatest(0, least(c.y1, b.u + m, 400) - greatest(c.y0, b.t - m, 0))) AS sides, sum(CASE WHEN c.pair THEN 0 ELSE greatest(0, least(c.y1, b.u + m, 400) - greatest(c.y0, b.t - m, 0)) END) AS gap FROM b JOIN c USING (line) GROUP BY ALL),
 f AS (SELECT line, band, t, u, r, CASE WHEN gap * 10 > sides THEN 1 ELSE 2 END AS parts, width >= 30 AND u - t >= 5 AND gap * 10 <= sides AND (u - t) * 4 <= width * 3 AS upright FROM w)"""
 
+_SUGGESTED = f"""su AS (SELECT source, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{RUN}')) AS source FROM conversations WHERE role = 'user') GROUP BY source HAVING count(*) >= 3),
+st AS (SELECT DISTINCT source FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS source FROM benchmark) WHERE length(source) >= 8),
+sg AS (SELECT row_number() OVER (ORDER BY n DESC, source)::INTEGER AS position, source, n FROM su WHERE lower(source) NOT IN (SELECT source FROM st) ORDER BY n DESC, source LIMIT 20)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -145,5 +179,11 @@ SELECT page, row_number() OVER (PARTITION BY page ORDER BY n, i) - 1 AS box, r::
 k AS (SELECT *, sum(CASE WHEN upright OR above IS NULL OR above THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY band ROWS UNBOUNDED PRECEDING) - 1 AS part FROM s WHERE flagged)
 SELECT line, part::BIGINT AS part, min(CASE WHEN upright THEN greatest(0, t - r) WHEN above THEN above_to ELSE t END) AS top, max(CASE WHEN upright THEN least(400, u + r) WHEN below THEN below_from ELSE u END) AS bottom, bool_or(upright) AS upright FROM k GROUP BY line, part""",
         "canonical_json": """WITH f AS (SELECT event_id, concat('{"a":[', event_id, '.0,', event_id, ',{"b":null,"é":"', event_type, '"}],"z":{"k":', props::JSON ->> '$.k', '}}') AS form FROM events) SELECT event_id, form, sha256(form) AS hash FROM f""",
+        "term_spans": f"WITH {r._HITS}, p AS (SELECT doc_id, regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[^a-z0-9_]') AS ps FROM documents), q AS (SELECT doc_id, unnest(ps) AS source, unnest(list_transform(range(1, len(ps) + 1), lambda i: coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT)) AS begin FROM p) SELECT doc_id, source, source AS term_key, begin, begin + length(source) AS finish FROM q JOIN w USING (source)",
+        "error_chunks": f"{r._ALIGN} SELECT DISTINCT conv_id, turn FROM i WHERE severity = 'error'",
+        "digest_pack_texts": f"WITH p AS (SELECT source, doc_id, {r._STRIP.format('text')} AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 + 1 AS pack FROM documents) SELECT source, pack, printf('# 梗概包 %02d（第 %d–%d 块）', pack, min(doc_id), max(doc_id)) || chr(10) || chr(10) || '- 覆盖块数：' || count(*) || chr(10) || chr(10) || '> 说明：以下为逐块中文梗概。请先归纳本包的情节主线、登场人物与' || chr(10) || '> 关键设定，输出一段不超过 400 字的小结，供后续汇总为全书简介。' || chr(10) || chr(10) || string_agg('## 第 ' || doc_id || ' 块' || chr(10) || chr(10) || CASE WHEN t = '' THEN '（本块梗概为空）' ELSE t END || chr(10), chr(10) ORDER BY doc_id) AS text FROM p GROUP BY source, pack",
+        "scan_suggestions": f"WITH {_SUGGESTED} SELECT * FROM sg",
+        "qa_issues_user_only": f"{_ISSUES}, {_SUGGESTED}, al AS (SELECT conv_id, turn, rank, part, kind, severity, detail, line::BIGINT AS line, n::BIGINT AS n, found, excerpt FROM iss UNION ALL SELECT NULL, NULL, 99, position, 'suggestion', 'info', source, NULL, n, NULL, NULL FROM sg) SELECT row_number() OVER (ORDER BY rank = 99, conv_id, turn, rank, part, detail) AS id, conv_id, turn, kind, severity, detail, line, n, found, excerpt FROM al",
+        "usage_of_runs": "WITH c AS (SELECT event_type AS stage, CASE WHEN user_id % 3 = 0 THEN 'fast' ELSE 'strong' END AS tier, floor(value)::BIGINT AS v, event_id % 50 AS e FROM events), u AS (SELECT 'tier' AS level, tier AS name, v, e FROM c UNION ALL SELECT 'stage', stage, v, e FROM c), s AS (SELECT level, name, count(*) AS calls, sum(v)::BIGINT AS prompt_tokens, sum(e)::BIGINT AS completion_tokens, sum(v + e)::BIGINT AS total_tokens, sum(floor(v / 3))::BIGINT AS cache_hit_tokens, sum(v - floor(v / 3))::BIGINT AS cache_miss_tokens FROM u WHERE name IN ('fast', 'strong', 'view', 'click', 'purchase') GROUP BY ALL) SELECT *, CASE WHEN prompt_tokens > 0 THEN round_even(cache_hit_tokens::DOUBLE / prompt_tokens, 4) ELSE 0 END AS cache_hit_rate FROM s",
         "glossary_stream": f"WITH {_B} SELECT * FROM u",
     }

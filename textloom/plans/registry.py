@@ -63,7 +63,7 @@ def queries() -> dict[str, Query]:
         "sample_positions": _turns,
         "align_issues": _pairs(quality.align_issues),
         "align_summary": _pairs(quality.align_summary),
-        "qa_summary": _pairs(quality.qa_summary),
+        "qa_summary": _pairs(lambda p: quality.qa_summary(p, "[dwüé]{2}")),
         "residue_scan": _docs(quality.residue_scan),
         "punct_scan": _docs(quality.punct_scan),
         "term_hits": _hits,
@@ -140,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "align_summary": f"{_ALIGN} SELECT kind, severity, count(*) AS n, count(DISTINCT (conv_id, turn)) AS n_chunks FROM i GROUP BY kind, severity",
         "qa_summary": f"""WITH {_PAIRS}, {_NUMBERS}, {_PLACES}, fl AS (SELECT * FROM pr WHERE zh IS NOT NULL AND {_STRIP.format("zh")} <> '')
             SELECT 'empty' AS kind, count(*) AS n FROM pr WHERE zh IS NULL OR {_STRIP.format("zh")} = '' UNION ALL SELECT 'number', count(DISTINCT (conv_id, turn)) FROM g UNION ALL SELECT 'paragraph', count(*) FROM fl WHERE {_N_PARAS.format("src")} <> {_N_PARAS.format("zh")}
-            UNION ALL SELECT 'placeholder', count(*) FROM x WHERE n_src <> n_zh UNION ALL SELECT 'punctuation', count(*) FROM fl WHERE regexp_matches(zh, '[,.!?;:]') UNION ALL SELECT 'residue', 0""",
+            UNION ALL SELECT 'placeholder', count(*) FROM x WHERE n_src <> n_zh UNION ALL SELECT 'punctuation', count(*) FROM fl WHERE regexp_matches(zh, '[,.!?;:]') UNION ALL SELECT 'residue', count(*) FROM (SELECT unnest(string_split(zh, chr(10))) AS t FROM fl) WHERE regexp_matches(t, '[dwüé]{{2}}')""",
         "residue_scan": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, line, regexp_extract_all(t, '[äöüß]') AS cs FROM (SELECT doc_id, unnest(range(len(ls)))::INTEGER AS line, unnest(ls) AS t FROM l)) SELECT doc_id, line, len(cs)::INTEGER AS n_chars, array_to_string(list_sort(list_distinct(cs))[1:20], '') AS found FROM c WHERE len(cs) > 0",
         "punct_scan": "SELECT doc_id, len(regexp_extract_all(text, '[,.!?;:]'))::INTEGER AS n_half_width, len(regexp_extract_all(text, '[「」『』]'))::INTEGER AS n_brackets FROM documents",
         "term_hits": f"WITH {_HITS} SELECT * FROM h",

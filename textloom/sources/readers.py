@@ -18,6 +18,7 @@ from ..functions.text import strip
 
 # Encodings in the order in which they are tried, kinds of files, names of glossary columns.
 ENCODINGS = ("utf-8", "utf-8-sig", "shift_jis", "euc_jp", "cp932")
+FILE_ENCODINGS = ("utf-8", "utf-32", "shift_jis", "euc_jp", "iso2022_jp", "gb18030")
 KINDS = ("txt", "json", "xml")
 GLOSSARY = ("source", "target", "type", "origin", "note")
 EVENT = "seq bigint, ts double, type string, stage string, chunk bigint, detail string"
@@ -38,6 +39,12 @@ def decode_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: decoded(bytes(b)), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def decode_file(raw: pd.Series) -> pd.Series:
+    """Files of any origin, which come in more encodings than the texts of a run."""
+    return raw.map(lambda b: decoded(bytes(b), FILE_ENCODINGS), na_action="ignore")
+
+
 def _strings(value) -> Iterator[str]:
     if isinstance(value, str):
         if value.strip():
@@ -109,7 +116,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, text) of all text, JSON, XML and DOCX files below a folder; other kinds have no text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = files.select("path", kind.alias("kind"), F.when(kind.isin(*KINDS), decode_text("content")).alias("raw"), docx_text(F.when(kind == "docx", F.col("content"))).alias("docx"))
+    text = files.select("path", kind.alias("kind"), F.when(kind.isin(*KINDS), decode_file("content")).alias("raw"), docx_text(F.when(kind == "docx", F.col("content"))).alias("docx"))
     blocks = F.array_join(json_strings("raw"), "\n\n")
     return text.select("path", "kind", F.when(F.col("kind") == "json", blocks).when(F.col("kind") == "xml", xml_text("raw")).when(F.col("kind") == "docx", F.col("docx")).otherwise(F.col("raw")).alias("text"))
 
@@ -130,11 +137,12 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_glossary_json(spark: SparkSession, path: str) -> DataFrame:
     """Terms of JSON files, either a list or an object with ``terms``."""
-    term = "struct<source:string,target:string,type:string,origin:string,note:string,aliases:array<string>>"
+    term = "struct<source:string,target:string,type:string,origin:string,note:string,aliases:array<string>,reading:string,gender:string>"
     raw = spark.read.text(path, wholetext=True)
     top = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
     listed = F.when(F.startswith(top, F.lit("[")), F.from_json(top, f"array<{term}>")).otherwise(F.from_json(top, f"struct<terms:array<{term}>>")["terms"])
-    return raw.select(F.explode(listed).alias("t")).select("t.*").where("coalesce(trim(source), '') <> '' and coalesce(trim(target), '') <> ''")
+    rows = raw.select(F.explode(listed).alias("t")).select("t.*")
+    return rows.where((F.coalesce(strip(F.col("source")), F.lit("")) != "") & (F.coalesce(strip(F.col("target")), F.lit("")) != ""))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -195,6 +203,18 @@ def layout_boxes(files: DataFrame, key: str, xml: str) -> DataFrame:
     return files.select(F.col(key).cast("string").alias("k"), F.col(xml).alias("x")).mapInPandas(parse, LAYOUT)
 
 
+def read_layout_pages(spark: SparkSession, path: str, element: str = "PAGE") -> DataFrame:
+    """The boxes of ``layout_boxes`` for each page of layout files, whatever their size: (file, name, key and the boxes). A file
+    is cut behind the end tags of its pages while it is read, so large ones are read in parts and no file is one string.
+    ``name`` is the page's IMAGENAME, ``key`` joins both. Files are UTF-8 without prefixes; what stands behind the last page is none.
+    """
+    ends = spark.read.option("lineSep", f"</{element}>").text(path).select(F.input_file_name().alias("file"), F.regexp_extract("value", rf"(?s)<{element}[\s>/].*$", 0).alias("page"))
+    pages = ends.where("page <> ''").withColumn("name", F.regexp_extract("page", rf"<{element}[^>]*?\bIMAGENAME\s*=\s*[\"']([^\"']*)", 1))
+    pages = pages.withColumns({"key": F.concat_ws("#", "file", "name"), "page": F.concat("page", F.lit(f"</{element}>"))})
+    boxes = layout_boxes(pages, "key", "page")
+    return boxes.withColumns({"file": F.substring_index("key", "#", 1), "name": F.regexp_extract("key", "#(.*)$", 1)})
+
+
 def recognized_boxes(files: DataFrame, key: str, json: str) -> DataFrame:
     """(key, box, x0, y0, x1, y1, text): the lines of recognition results with the corners around their points, whole numbers,
     numbered by y0, then x0. Lines without points or text are left out; broken results have none."""

@@ -12,6 +12,8 @@ CSV = {"csv2": ("source", "target"), "csv5": ("source", "target", "type", "origi
 # Header of the hits as CSV, and the names of origins there.
 HITS_HEADER = ("日语", "中文", "类型", "来源", "备注")
 ORIGIN_NAMES = {"user": "用户", "auto": "自动"}
+#: Rows of one key that may become one file.
+MOST = 1_000_000
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -46,11 +48,17 @@ def prompt_blocks(hits: DataFrame, terms: DataFrame, key: str, policy: str) -> D
     return rows.select(key, F.concat(F.lit(policy + "\n\n"), "lines").alias("prompt"))
 
 
+def _listed(rows: DataFrame, key: str, item, *sums) -> DataFrame:
+    """(key, ls): the first ``MOST`` items of each key by position; a key with more ends the job, since its file would be one task's."""
+    held = rows.groupBy(key).agg(*sums, F.array_sort(F.collect_list(F.when(F.col("position") <= MOST, item))).alias("ls"), F.max("position").alias("_top"), F.count("*").alias("_n"))
+    return held.withColumn("ls", F.when((F.col("_n") > MOST) | (F.col("_top") > MOST), F.raise_error(F.lit(f"a key has more than {MOST} rows; cut them by store.prompt_rows"))).otherwise(F.col("ls")))
+
+
 def hits_json(rows: DataFrame, key: str) -> DataFrame:
     """(key, json): what ``store.prompt_rows`` gives for each key as one JSON object."""
     term = F.struct("position", F.struct("source", "target", "type", "locked", "aliases", "note", "status").alias("term"))
-    sums = rows.groupBy(key).agg(F.count("*").alias("count"), F.bool_or("truncated").alias("truncated"), F.array_sort(F.collect_list(term)).alias("ts"))
-    return sums.select(key, F.to_json(F.struct("count", "truncated", F.transform("ts", lambda t: t["term"]).alias("terms"))).alias("json"))
+    sums = _listed(rows, key, term, F.count("*").alias("count"), F.bool_or("truncated").alias("truncated"))
+    return sums.select(key, F.to_json(F.struct("count", "truncated", F.transform("ls", lambda t: t["term"]).alias("terms"))).alias("json"))
 
 
 def _quoted(c):
@@ -63,7 +71,7 @@ def hits_csv(rows: DataFrame, key: str) -> DataFrame:
     """(key, csv): the terms (position, source, target, type, origin, note) of each key as CSV with a header, in order of position."""
     origin = F.when(F.col("origin") == "user", ORIGIN_NAMES["user"]).otherwise(ORIGIN_NAMES["auto"])
     line = F.concat_ws(",", *(_quoted(c) for c in (F.col("source"), F.col("target"), F.col("type"), origin, F.col("note"))))
-    sums = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("ls"))
+    sums = _listed(rows, key, F.struct("position", line.alias("line")))
     return sums.select(key, F.concat(F.lit(",".join(HITS_HEADER) + "\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n")).alias("csv"))
 
 
