@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, tidy
+from .shared import scratch, tidy
 
 ORDER = 5
 #: Largest size of the arrays that are sent to tasks.
@@ -192,12 +192,12 @@ def counted(learn: DataFrame, order: int = ORDER) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams, pa.string()), "c": pa.array(n, pa.int64())})
 
     rows = learn.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null")
-    level = cut(rows.mapInArrow(tidy(run), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+    level = scratch(rows.mapInArrow(tidy(run), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"grams{order}")
     out = level.withColumn("k", F.lit(order))
     for k in range(order - 1, 0, -1):
-        level = level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+        level = scratch(level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), f"grams{k}")
         out = out.unionByName(level.withColumn("k", F.lit(k)))
-    return cut(out)
+    return out
 
 
 def _pivot(df: DataFrame, keys: list[str], value: str, langs: list[str], default: float) -> DataFrame:
@@ -215,8 +215,8 @@ def interpolated(counts: DataFrame, langs: list[str], order: int = ORDER) -> tup
     with_d = counts.join(F.broadcast(discounts), ["k", "lang"]).withColumn("context", F.expr("substring(gram, 1, k - 1)"))  # one row for each language and order
     sums = with_d.groupBy("k", "lang", "context").agg(F.sum("c").alias("total"), (F.max("d") * F.count("*") / F.sum("c")).alias("w"))
     seen = with_d.join(sums, ["k", "lang", "context"]).withColumn("p", (F.col("c") - F.col("d")) / F.col("total"))
-    own = cut(_pivot(seen, ["k", "gram"], "p", langs, 0.0))
-    weights = cut(_pivot(sums, ["k", "context"], "w", langs, 1.0))
+    own = scratch(_pivot(seen, ["k", "gram"], "p", langs, 0.0), "seen")
+    weights = scratch(_pivot(sums, ["k", "context"], "w", langs, 1.0), "weights")
     size = own.where("k = 1").count() + 1
     first = weights.where("k = 1").first()
     floor = [w / size for w in first.w] if first else []
@@ -227,7 +227,7 @@ def interpolated(counts: DataFrame, langs: list[str], order: int = ORDER) -> tup
         back = weights.where(F.col("k") == k).select("context", "w")
         level = own.where(F.col("k") == k).withColumns({"context": F.substring("gram", 1, k - 1), "end": F.substring("gram", 2, k)}).join(back, "context", "left").join(shorter, "end")
         w = F.coalesce("w", F.array(*[one] * len(langs)))
-        level = cut(level.select("k", "gram", F.zip_with("p", F.zip_with(w, "q", lambda a, b: a * b), lambda p, r: p + r).alias("p")))
+        level = scratch(level.select("k", "gram", F.zip_with("p", F.zip_with(w, "q", lambda a, b: a * b), lambda p, r: p + r).alias("p")), f"model{k}")
         out = out.unionByName(level)
     return out, weights, floor
 
@@ -292,7 +292,7 @@ def _joined(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
     keyed = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     held = keyed.select("sha", "text").mapInArrow(tidy(run), "sha string, gram string, c long, block long").distinct().groupBy("sha", "gram").agg(F.sum("c").alias("c"))
-    held = cut(held)
+    held = scratch(held, "held")
     zero, add = F.array(*[F.lit(0.0)] * len(langs)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     left, parts = held.select("gram").distinct().select("gram", F.col("gram").alias("end"), zero.alias("h")), []
     for k in range(order, 0, -1):
@@ -342,7 +342,7 @@ def identify(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == HELD_OUT).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"), F.lit(None).cast("double").alias("entropy"))
     names = F.array(*map(F.lit, fitted.langs))
     rows = entropies(docs, fitted).withColumns({"size": F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"), "low": F.array_min("h")})
-    rows = cut(rows.withColumn("best", F.element_at(names, F.array_position("h", F.col("low")).cast("int"))))
+    rows = scratch(rows.withColumn("best", F.element_at(names, F.array_position("h", F.col("low")).cast("int"))), "entropies")
     known = rows.where((F.col("fold") == CALIBRATE) & (F.col("n") > 0)).withColumn("own", F.element_at("h", F.array_position(names, F.col("lang")).cast("int"))).where("own is not null")
     limits = known.groupBy(F.col("lang").alias("best"), "size").agg(F.greatest(F.percentile_approx("own", F.lit(1 - REJECT), F.lit(10_000)), F.avg("own") + SPREAD * F.stddev("own")).alias("limit"), F.count("*").alias("n")).where(F.col("n") >= FEWEST).drop("n")
     fits = known.agg(*(F.sum(F.log(F.greatest(F.lit(1e-12), _posterior(s, "n", "h", "own")))).alias(str(i)) for i, s in enumerate(STEEPNESS))).first()
