@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import align, html_text, language_id, registry, whitening
+from textloom.llm import align, decontaminate, html_text, language_id, registry, whitening
 
 SMALL, TOKENIZERS = "/root/testdata/sf0.001", "/opt/tokenizers"
 LONG = " ".join(f"long{k % 997} text{k % 31}" for k in range(60_000))
@@ -387,3 +387,25 @@ def test_given_pages_without_their_marks(spark, pages_an_array):
         want[i] = "\n".join(out)
     assert {r.page_id: r.text for r in html_text.main_text(pages, pages_an_array=pages_an_array).collect()} == want
     assert any(want.values()) and want != {i: "\n".join(" ".join(b) for b in blocks) for i, blocks in rows}
+
+
+# Decontamination against a large benchmark
+
+
+def test_ten_shards_write_hits_alone(spark, monkeypatch):
+    """More shards than pass at once: the same rows as with one, and what is written is smaller than one text."""
+    paths, real = [], decontaminate.scratch
+    monkeypatch.setattr(decontaminate, "SHARDS_AT_ONCE", 2)
+    monkeypatch.setattr(decontaminate, "scratch", lambda df, name: paths.append(real(df, name)) or paths[-1])
+    texts = [f"item{k} " * 15 for k in range(60)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    rows = [(k % 37, f"a {texts[k % 60]} b {texts[(k * 7) % 60]} " + LONG[:50_000] * (k % 2)) for k in range(80)] + [(1, None), (None, texts[3]), (None, texts[3]), (5, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id int, spans int").repartition(3)
+    want = decontaminate.contamination(spark, docs, items).collect()
+    assert not paths
+    got = decontaminate.contamination(spark, docs, items, shard_bytes=1000).collect()
+    assert len(paths) >= 5 and sorted(map(str, got)) == sorted(map(str, want)) and sum(r.contaminated for r in got) > 20
+    written = sum(len(str(r.asDict())) for df in paths for r in df.drop("id", "own").collect())
+    assert "text" not in paths[0].columns and written < 50_000
+    kept = decontaminate.drop_contaminated(spark, docs, items, shard_bytes=1000)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, decontaminate.drop_contaminated(spark, docs, items).collect()))

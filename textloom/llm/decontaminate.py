@@ -10,13 +10,14 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, tidy
+from .shared import fresh, scratch, tidy
 
 WINDOW = 13
 SHARD_BYTES, SHARDS_AT_ONCE = 4 << 20, 4
@@ -167,23 +168,51 @@ def scan_batch(index, b: pa.RecordBatch, mode: str, spans_in: str, items_in: str
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+def _index(spark: SparkSession, items: DataFrame, k: int, shards: int, window: int):
+    """The index of one shard of the benchmark, sent out."""
+    part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
+    return spark.sparkContext.broadcast([(vars(wm), n_words, owners) for wm, n_words, owners in build([(r.item, r.text.encode()) for r in part.collect()], window)])
+
+
+def _hits(spark: SparkSession, docs: DataFrame, items: DataFrame, shards: int, window: int, names: list[str]) -> DataFrame:
+    """(doc_id, hash of the text, spans, items) of the documents that any of many shards hits, without their texts. Each few
+    shards are one pass over ``docs``, after which their hits are written down and their indexes go."""
+    i, h, spans, found = names
+    rows = docs.select(F.col("doc_id").cast("long").alias(i), F.xxhash64(F.col("text").cast("string")).alias(h), F.col("text").cast("string").alias("text"), F.array().cast("array<bigint>").alias(spans), F.array().cast("array<string>").alias(found))
+    parts = []
+    for start in range(0, shards, SHARDS_AT_ONCE):
+        indexes = [_index(spark, items, k, shards, window) for k in range(start, min(shards, start + SHARDS_AT_ONCE))]
+        df = rows
+        for index in indexes:
+            df = df.mapInArrow(tidy(_scan(index, "carry", spans, found)), rows.schema)
+        parts.append(scratch(df.where(F.size(spans) > 0).drop("text").dropDuplicates([i, h]), "hits"))
+        for index in indexes:
+            index.destroy()
+    return reduce(DataFrame.union, parts).groupBy(i, h).agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_distinct(F.flatten(F.collect_list(found))).alias(found))
+
+
 def _passed(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, mode: str, schema) -> DataFrame:
     """``docs`` past all shards of the benchmark's index. Its size is measured first; the patterns go out in as many
     broadcasts of at most about ``shard_bytes`` of text as it takes. The documents pass up to SHARDS_AT_ONCE in one
-    stage; before more, their hits so far are written down, so no executor holds all of a large benchmark."""
+    stage; of a larger benchmark the hits alone are written down and joined to the documents in the end, so no executor holds
+    all of it and no text is written."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    spans, found = fresh(docs, "spans", "items")
-    df = docs.withColumns({spans: F.array().cast("array<bigint>"), found: F.array().cast("array<string>")})
-    for k in range(shards):
-        if k and k % SHARDS_AT_ONCE == 0:
-            df = cut(df)
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
-        index = spark.sparkContext.broadcast([(vars(wm), n_words, owners) for wm, n_words, owners in build([(r.item, r.text.encode()) for r in part.collect()], window)])
-        last = k == shards - 1
-        df = df.mapInArrow(tidy(_scan(index, mode if last else "carry", spans, found)), schema if last else df.schema)
-    return df
+    i, h, spans, found = fresh(docs, "id", "own", "spans", "items")
+    none = {spans: F.array().cast("array<bigint>"), found: F.array().cast("array<string>")}
+    if shards <= SHARDS_AT_ONCE:
+        df = docs.withColumns(none)
+        for k in range(shards):
+            last = k == shards - 1
+            df = df.mapInArrow(tidy(_scan(_index(spark, items, k, shards, window), mode if last else "carry", spans, found)), schema if last else df.schema)
+        return df
+    hits = _hits(spark, docs, items, shards, window, [i, h, spans, found])
+    gi, gh = fresh(docs, "hit_id", "hit_own")
+    keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(F.col("text").cast("string"))})
+    both = keyed.join(hits.withColumnsRenamed({i: gi, h: gh}), F.col(i).eqNullSafe(F.col(gi)) & (F.col(h) == F.col(gh)), "left")
+    both = both.select(*docs.columns, *(F.coalesce(F.col(c), v).alias(c) for c, v in none.items()))
+    return both.mapInArrow(tidy(_scan(spark.sparkContext.broadcast([]), mode, spans, found)), schema)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
