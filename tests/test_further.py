@@ -11,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.functions import canonical
-from textloom.operators import grids, matching, metered, polygons, quality, runs, scanner, tables, upright
+from textloom.functions import canonical, punctuation
+from textloom.operators import classes, grids, layout, lifecycle, matching, metered, polygons, quality, runs, scanner, tables, upright
 from textloom.sources import readers, writers
 
 
@@ -350,3 +350,38 @@ def test_a_key_with_too_many_rows_ends_the_job(spark, monkeypatch):
     assert writers.hits_csv(rows.where("position < 3"), "chunk").count() == 1
     with pytest.raises(Exception, match="more than 2 rows"):
         writers.hits_csv(rows, "chunk").collect()
+
+
+def test_newer_stores_are_refused(spark):
+    df = spark.createDataFrame([(1, "A"), (None, "x")], "schema_version int, policy string")
+    assert [r.policy for r in lifecycle.admitted(df).collect()] == ["A", "C"]
+    with pytest.raises(Exception, match="schema_version 2 is newer than 1"):
+        lifecycle.admitted(df.union(spark.createDataFrame([(2, "B")], "schema_version int, policy string"))).collect()
+
+
+def test_class_names(spark):
+    df = spark.createDataFrame([("3",), ("line_caption",), ("キャプション",), ("no",), (None,)], "x string")
+    assert [r.class_id for r in classes.named(df, "x").collect()] == [3, 3, 3, None, None]
+    assert [(r.class_id, r.class_name) for r in classes.named(spark.createDataFrame([(6,), (8,)], "x int"), "x", "run").collect()] == [(6, "inline_hinv"), (None, None)]
+    assert classes.classes(spark).count() == 24
+
+
+def test_files_are_counted_as_they_are_rewritten(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x, y!"), ("b", "好，的"), ("c", None), ("d", "你好,他")], "path string, text string")
+    dry = metered.normalized_files(df)
+    assert not (tmp_path / "out").exists() and metered.normalized_files(df, str(tmp_path / "out")) == dry
+    rows = {r.path: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.path: r.r for r in df.select("path", punctuation.normalize_punctuation("text").alias("r")).collect()}
+    assert rows == {k: v.text for k, v in want.items()}
+    assert dry == {"files": 4, "changed": sum(v.n_changes > 0 for v in want.values()), "replacements": sum(v.n_changes for v in want.values())} and dry["changed"] >= 1
+
+
+def test_pages_in_order_keep_their_lines(spark):
+    rng = random.Random(1)
+    rows = [(p, k, 30 * (k % 4), 20 * (k // 4), 30 * (k % 4) + 25, 20 * (k // 4) + 10, None if k == 5 else f"t{k}") for p in range(3) for k in range(12)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page long, box long, x0 long, y0 long, x1 long, y1 long, text string")
+    ranks = {(r.page, r.box): r["rank"] for r in layout.layout_order(df).collect()}
+    texts = {(r[0], r[1]): r[6] or "" for r in rows}
+    want = {p: "|".join(texts[p, k] for k in sorted(range(12), key=lambda k: ranks[p, k])) for p in range(3)}
+    assert {r.page: (r.n, r.text) for r in layout.ordered_pages(df, "|").collect()} == {p: (12, t) for p, t in want.items()}

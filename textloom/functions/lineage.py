@@ -21,7 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, which outlives any executor and goes with its last user."""
+    """``df`` with its lineage cut by a reliable checkpoint, which outlives any executor. Its files go with the last reference to it
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, and stay where it is not."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 

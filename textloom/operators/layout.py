@@ -143,6 +143,8 @@ def xy_order(boxes: np.ndarray) -> np.ndarray:
         upright[i] += sum(upright[j] for j in kids[i])
     sideways = lambda i: all(regions[j][1::2] == regions[i][1::2] for j in kids[i])
     order = [k for i in walk(lambda i: sideways(i) and count[i] < 2 * upright[i]) for k in sorted(held.get(i, []), key=lambda k: (-g[k, 0], g[k, 1]))]
+    if len(order) != n:
+        raise RuntimeError(f"{n} boxes became {len(order)}")
     rank = np.empty(n, int)
     rank[order] = np.arange(n)
     return rank
@@ -159,6 +161,15 @@ def layout_order(boxes: DataFrame) -> DataFrame:
     return ranked.select("page", "r.boxes.box", "r.rank")
 
 
+def ordered_pages(lines: DataFrame, joint: str = "\n") -> DataFrame:
+    """(page, n, text): each page's lines (page, box, corners, text) put in reading order and joined, and how many they are; a null
+    text is empty. One shuffle, by page; a page whose lines change in number ends the job."""
+    pages = _by_page(lines, "box", "x0", "y0", "x1", "y1", "text").withColumn("ranks", _ranks("boxes"))
+    placed = F.array_sort(F.transform("boxes", lambda b, i: F.struct(F.get("ranks", i).alias("rank"), F.coalesce(b["text"], F.lit("")).alias("text"))))
+    whole = F.when(F.size("ranks") == F.size("boxes"), placed).otherwise(F.raise_error(F.lit("lines were lost")))
+    return pages.select("page", F.size("boxes").alias("n"), F.array_join(F.transform(whole, lambda x: x["text"]), joint).alias("text"))
+
+
 def sort_lines(boxes: list[tuple], vertical: bool) -> list[int]:
     """Indexes of lines (x and y of the centre, width, height) in order: columns from the right, or rows from the top, where places that differ
     by no more than 0.3 of the median thickness count as one column or row."""

@@ -140,3 +140,21 @@ def status_document(run: Column) -> Column:
         F.lit("\n- terms: "), n("terms"), F.lit(" ("), n("locked"), F.lit(" locked), open conflicts: "), n("open_conflicts"),
         F.lit("\n- issues: "), n("issues"), F.lit(", misaligned: "), n("misaligned"), F.lit("\n- compliant: "), s("compliant"), F.lit("\n- "), s("message"), F.lit("\n"),
     )
+
+
+# The policies, the one of stores without a known one, and the newest layout of a store that is understood.
+POLICIES, OTHER_POLICY, VERSION = ("A", "B", "C", "D"), "C", 1
+
+
+def guarded(stores: DataFrame, version: int = VERSION) -> DataFrame:
+    """Stores (schema_version, policy) with the policy that holds, C for an unknown or missing one, and whether each is
+    ``refused``: its layout is newer than ``version``. A missing or unreadable version is taken for the present one."""
+    number = F.col("schema_version").cast("string").try_cast("bigint")
+    return stores.withColumns({"policy": F.when(F.col("policy").isin(*POLICIES), F.col("policy")).otherwise(OTHER_POLICY), "refused": F.coalesce(number > version, F.lit(False))})
+
+
+def admitted(stores: DataFrame, version: int = VERSION) -> DataFrame:
+    """The same, but a refused store ends the job, so that no old program writes over a newer layout."""
+    seen = guarded(stores, version)
+    stop = F.raise_error(F.concat(F.lit("schema_version "), F.col("schema_version").cast("string"), F.lit(f" is newer than {version}")))
+    return seen.withColumn("policy", F.when(F.col("refused"), stop).otherwise(F.col("policy"))).drop("refused")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.punctuation import normalize_punctuation
+
 #: Figures of a call, as in ``events.usage_samples``.
 USAGE = ("prompt_tokens", "completion_tokens", "total_tokens", "cache_hit_tokens", "cache_miss_tokens")
 
@@ -41,3 +43,15 @@ def usage(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("basePath", f"{path}_usage").parquet(f"{path}_usage").groupBy("level", "name").agg(*(F.sum(f).alias(f) for f in ("calls", *USAGE)))
     seen = F.col("cache_hit_tokens") + F.col("cache_miss_tokens")
     return rows.withColumn("cache_hit_rate", F.when(seen > 0, F.bround(F.col("cache_hit_tokens") / seen, 4)).otherwise(0.0))
+
+
+def normalized_files(texts: DataFrame, out: str | None = None) -> dict:
+    """Files (path, text) with full-width punctuation below ``out``, and how many there are, how many changed, and by how many
+    replacements; null texts stay null. Without ``out`` nothing is written and the figures are what would be."""
+    done = texts.select("path", F.col("text").alias("_was"), normalize_punctuation("text").alias("r")).select("path", "r.text", "r.n_changes", (~F.col("_was").eqNullSafe(F.col("r.text"))).alias("changed"))
+    figures = [F.count(F.lit(1)).alias("files"), F.count_if("changed").alias("changed"), F.coalesce(F.sum("n_changes"), F.lit(0)).alias("replacements")]
+    if out is None:
+        return done.agg(*figures).first().asDict()
+    seen = Observation()
+    done.observe(seen, *figures).select("path", "text").write.mode("overwrite").parquet(out)
+    return seen.get

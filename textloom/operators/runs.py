@@ -23,6 +23,13 @@ PRESETS = {
 }
 
 
+def with_preset(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the parameters of the preset that column ``name`` names; null where there is no such preset."""
+    first = next(iter(PRESETS.values()))
+    pick = lambda key: F.coalesce(*(F.when(F.col(name) == preset, F.lit(values[key])) for preset, values in PRESETS.items()))
+    return rows.withColumns({key: pick(key) for key in first})
+
+
 def valid_events(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Events of these types whose ``chunk`` and ``seq`` (strings as read) are whole numbers, as numbers."""
     whole = lambda c: F.when(F.col(c).cast("string").rlike(r"^-?[0-9]+$"), F.col(c).cast("string").try_cast("bigint"))

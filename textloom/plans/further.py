@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, json_hash
 from ..functions.lineage import scratch_path
-from ..operators import chunking, glossary, grids, matching, metered, polygons, quality, runs, scanner, tables, upright
+from ..operators import chunking, classes, glossary, grids, lifecycle, matching, metered, polygons, quality, runs, scanner, tables, upright
 from ..streaming import terms
 from . import registry as r
 from .records import _ISSUES, LEFT
@@ -113,6 +113,21 @@ def _metered(spark: SparkSession, d: str) -> DataFrame:
     return metered.usage(spark, path)
 
 
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    """Items as boxes that name their class by number, name or label, counted by class."""
+    k = F.col("l_partkey")
+    listed = F.array(*(F.lit(x) for i, names in enumerate(classes.BOXES, 1) for x in (str(i), *names)), F.lit("?"))
+    rows = classes.named(table(spark, d, "lineitem").select(F.element_at(listed, (k % F.size(listed) + 1).cast("int")).alias("given")), "given")
+    kind = F.when(classes.is_line(F.col("class_name")), "line").when(classes.is_other_block(F.col("class_name")), "block")
+    return rows.groupBy("class_id", "class_name", "class_label", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _guards(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    stores = table(spark, d, "orders").select(k, F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit(None), F.lit("x")), (k % 4 + 1).cast("int")).alias("schema_version"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("D"), F.lit("E"), F.lit(None)), (k % 5 + 1).cast("int")).alias("policy"))
+    return lifecycle.guarded(stores).select("o_orderkey", "policy", "refused")
+
+
 def _stream_terms(spark: SparkSession, d: str) -> DataFrame:
     """Parts as a stream of candidates, and the glossary that the state store has after them."""
     parts = table(spark, d, "part")
@@ -140,6 +155,9 @@ def queries() -> dict[str, Query]:
         "scan_suggestions": lambda s, d: scanner.suggestions(quality.pairs(table(s, d, "conversations")), _kept_terms(s, d), RUN),
         "qa_issues_user_only": lambda s, d: scanner.qa_issues(quality.pairs(table(s, d, "conversations")), ["conv_id", "turn"], _kept_terms(s, d), residue=LEFT, separator=r"\n", policy="A", runs=RUN),
         "usage_of_runs": _metered,
+        "class_names": _classes,
+        "preset_settings": lambda s, d: runs.with_preset(table(s, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("fast", "standard", "fine", "none"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("preset")), "preset"),
+        "store_guards": _guards,
         "glossary_stream": _stream_terms,
     }
 
@@ -184,6 +202,9 @@ SELECT line, part::BIGINT AS part, min(CASE WHEN upright THEN greatest(0, t - r)
         "digest_pack_texts": f"WITH p AS (SELECT source, doc_id, {r._STRIP.format('text')} AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 + 1 AS pack FROM documents) SELECT source, pack, printf('# 梗概包 %02d（第 %d–%d 块）', pack, min(doc_id), max(doc_id)) || chr(10) || chr(10) || '- 覆盖块数：' || count(*) || chr(10) || chr(10) || '> 说明：以下为逐块中文梗概。请先归纳本包的情节主线、登场人物与' || chr(10) || '> 关键设定，输出一段不超过 400 字的小结，供后续汇总为全书简介。' || chr(10) || chr(10) || string_agg('## 第 ' || doc_id || ' 块' || chr(10) || chr(10) || CASE WHEN t = '' THEN '（本块梗概为空）' ELSE t END || chr(10), chr(10) ORDER BY doc_id) AS text FROM p GROUP BY source, pack",
         "scan_suggestions": f"WITH {_SUGGESTED} SELECT * FROM sg",
         "qa_issues_user_only": f"{_ISSUES}, {_SUGGESTED}, al AS (SELECT conv_id, turn, rank, part, kind, severity, detail, line::BIGINT AS line, n::BIGINT AS n, found, excerpt FROM iss UNION ALL SELECT NULL, NULL, 99, position, 'suggestion', 'info', source, NULL, n, NULL, NULL FROM sg) SELECT row_number() OVER (ORDER BY rank = 99, conv_id, turn, rank, part, detail) AS id, conv_id, turn, kind, severity, detail, line, n, found, excerpt FROM al",
+        "class_names": f"WITH c(class_id, class_name, class_label) AS (VALUES {', '.join(str((i, *x)) for i, x in enumerate(classes.BOXES, 1))}), l AS (SELECT l_partkey % {3 * len(classes.BOXES) + 1} // 3 + 1 AS class_id FROM lineitem) SELECT class_id::INTEGER AS class_id, class_name, class_label, CASE WHEN class_name[1:5] = 'line_' THEN 'line' WHEN class_name[1:6] = 'block_' AND class_name <> 'block_table' THEN 'block' END AS kind, count(*) AS n FROM (SELECT c.* FROM l LEFT JOIN c USING (class_id)) GROUP BY ALL",
+        "preset_settings": "SELECT c_custkey, p.* EXCLUDE k FROM customer JOIN (VALUES (0, 'fast', false, false, 'off', 10, 6000), (1, 'standard', true, true, 'always', 10, 4000), (2, 'fine', true, true, 'always', 20, 3000), (3, 'none', NULL, NULL, NULL, NULL, NULL)) AS p(k, preset, prescan, style, pre_extract, first_n, max_chars) ON c_custkey % 4 = k",
+        "store_guards": "SELECT o_orderkey, ['A', 'B', 'D', 'C', 'C'][o_orderkey % 5 + 1] AS policy, o_orderkey % 4 = 1 AS refused FROM orders",
         "usage_of_runs": "WITH c AS (SELECT event_type AS stage, CASE WHEN user_id % 3 = 0 THEN 'fast' ELSE 'strong' END AS tier, floor(value)::BIGINT AS v, event_id % 50 AS e FROM events), u AS (SELECT 'tier' AS level, tier AS name, v, e FROM c UNION ALL SELECT 'stage', stage, v, e FROM c), s AS (SELECT level, name, count(*) AS calls, sum(v)::BIGINT AS prompt_tokens, sum(e)::BIGINT AS completion_tokens, sum(v + e)::BIGINT AS total_tokens, sum(floor(v / 3))::BIGINT AS cache_hit_tokens, sum(v - floor(v / 3))::BIGINT AS cache_miss_tokens FROM u WHERE name IN ('fast', 'strong', 'view', 'click', 'purchase') GROUP BY ALL) SELECT *, CASE WHEN prompt_tokens > 0 THEN round_even(cache_hit_tokens::DOUBLE / prompt_tokens, 4) ELSE 0 END AS cache_hit_rate FROM s",
         "glossary_stream": f"WITH {_B} SELECT * FROM u",
     }

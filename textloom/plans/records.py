@@ -79,7 +79,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 def _totals(spark: SparkSession, d: str) -> DataFrame:
     turns, k = table(spark, d, "conversations"), F.col("conv_id")
     runs = turns.select("conv_id").distinct().withColumns({"in_structure": F.when(k % 3 == 0, k % 2), "in_config": F.when(k % 4 == 0, k), "in_status": F.lit(0)})
-    return lifecycle.total_chunks(runs, turns.where("turn <> 4").select("conv_id", (F.col("turn") + 1).alias("chunk")), "conv_id")
+    return lifecycle.total_chunks(runs, turns.select("conv_id", (F.col("turn") + F.when(F.col("turn") < 4, 1).otherwise(2)).alias("chunk")), "conv_id")
 
 
 def _policies(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _policies(spark: SparkSession, d: str) -> DataFrame:
 
 def _adopted(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    seeds = part.where("p_size = 50").groupBy(F.col("p_name").alias("source")).agg(F.max_by("p_brand", "p_partkey").alias("target"), F.max("p_partkey").alias("k"))
+    seeds = part.where("p_size >= 25").groupBy(F.col("p_name").alias("source")).agg(F.max_by("p_brand", "p_partkey").alias("target"), F.max("p_partkey").alias("k"))
     terms = seeds.select("source", "target", F.lit("user").alias("origin"), (F.col("k") % 2 == 0).alias("locked"), F.lit("conflict").alias("status"))
     return lifecycle.adopted(terms, part.where("p_size < 25").select(F.col("p_name").alias("source"), F.col("p_brand").alias("target"), F.col("p_partkey").alias("arrival")))
 
@@ -249,10 +249,10 @@ def oracle_sql() -> dict[str, str]:
         "recognized_boxes": f"WITH {_SHEET} SELECT page, (row_number() OVER (PARTITION BY page ORDER BY y0, x0, box) - 1)::INTEGER AS box, x0, y0, x1, y1, text, (x0 + x1) // 2 AS x, (y0 + y1) // 2 AS y FROM s",
         "typed_pairs": "SELECT event_id, p.key, p.kind, p.value FROM (SELECT event_id, unnest([{'key': 'n', 'kind': 'int', 'value': event_id::VARCHAR}, {'key': 'x', 'kind': 'float', 'value': '1.5'}, {'key': 'b', 'kind': 'bool', 'value': 'True'}, {'key': 't', 'kind': 'string', 'value': 'a=' || event_type}]) AS p FROM events)",
         "resume_reasons": "SELECT o_orderkey, reason, reason = '' AS resumable FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 7 = 0 THEN 'resume_disabled' WHEN o_orderkey % 11 = 0 THEN 'schema_mismatch' WHEN o_orderkey % 5 = 0 THEN 'input_changed' WHEN o_orderkey % 17 = 0 THEN 'params_changed' WHEN o_orderstatus = 'F' THEN 'finished' ELSE '' END AS reason FROM orders)",
-        "total_chunks": """WITH c AS (SELECT DISTINCT conv_id, turn + 1 AS chunk FROM conversations WHERE turn <> 4), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY chunk) AS i FROM c), g AS (SELECT conv_id, count(*) AS n FROM n WHERE chunk = i GROUP BY conv_id), k AS (SELECT DISTINCT conv_id FROM conversations)
+        "total_chunks": """WITH c AS (SELECT DISTINCT conv_id, turn + CASE WHEN turn < 4 THEN 1 ELSE 2 END AS chunk FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY chunk) AS i FROM c), g AS (SELECT conv_id, count(*) AS n FROM n WHERE chunk = i GROUP BY conv_id), k AS (SELECT DISTINCT conv_id FROM conversations)
             SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 > 0 THEN conv_id % 2 WHEN conv_id % 4 = 0 AND conv_id > 0 THEN conv_id ELSE coalesce(n, 0) END::BIGINT AS total FROM k LEFT JOIN g USING (conv_id)""",
         "policies": "SELECT o_orderkey, has_user, auto, CASE WHEN u AND NOT auto THEN 'A' WHEN u THEN 'B' WHEN auto THEN 'C' ELSE 'D' END AS policy, auto AS inserts, u AS seeds, u OR auto AS maintains, u AND NOT auto AS suggests FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 = 0 END AS has_user, o_orderkey % 3 = 0 AS auto, o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS u FROM orders)",
-        "adopted_terms": """WITH t AS (SELECT p_name AS source, arg_max(p_brand, p_partkey) AS had, max(p_partkey) % 2 = 0 AS held FROM part WHERE p_size = 50 GROUP BY p_name), f AS (SELECT p_name AS source, arg_min(p_brand, p_partkey) AS new FROM part WHERE p_size < 25 GROUP BY p_name),
+        "adopted_terms": """WITH t AS (SELECT p_name AS source, arg_max(p_brand, p_partkey) AS had, max(p_partkey) % 2 = 0 AS held FROM part WHERE p_size >= 25 GROUP BY p_name), f AS (SELECT p_name AS source, arg_min(p_brand, p_partkey) AS new FROM part WHERE p_size < 25 GROUP BY p_name),
             b AS (SELECT *, new IS NOT NULL AND (had IS NULL OR had = new OR NOT held) AS takes FROM t FULL JOIN f USING (source)) SELECT source, CASE WHEN takes THEN new ELSE had END AS target, 'user' AS origin, CASE WHEN takes THEN true ELSE held END AS locked, CASE WHEN takes THEN 'ok' ELSE 'conflict' END AS status FROM b""",
         "folder_differences": "SELECT * FROM (SELECT p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 AND p_partkey % 7 <> 0 THEN 'orphan' WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0 AND p_brand <> p_type THEN 'changed' END AS problem FROM part) WHERE problem IS NOT NULL",
         "compliance": """WITH u AS (SELECT user_id, min(event_id) FILTER (event_type = 'view') AS f, min(event_id) FILTER (event_type = 'purchase') AS t FROM events GROUP BY user_id), c AS (SELECT 'pre_extract_order' AS "check", count(*) FILTER (t IS NOT NULL AND (f IS NULL OR f >= t)) = 0 AS passed FROM u UNION ALL SELECT 'stage_artifacts', true UNION ALL SELECT 'chunk_complete', count(*) > 0 AND count(*) FILTER (t IS NULL) = 0 FROM u)
