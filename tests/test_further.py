@@ -385,3 +385,14 @@ def test_pages_in_order_keep_their_lines(spark):
     texts = {(r[0], r[1]): r[6] or "" for r in rows}
     want = {p: "|".join(texts[p, k] for k in sorted(range(12), key=lambda k: ranks[p, k])) for p in range(3)}
     assert {r.page: (r.n, r.text) for r in layout.ordered_pages(df, "|").collect()} == {p: (12, t) for p, t in want.items()}
+
+
+def test_annotated_files_are_cut_by_page(spark, tmp_path):
+    page = lambda k: f'<PAGE IMAGENAME="{k}.jpg"><LINE TYPE="t" X="{k}" Y="1" WIDTH="2" HEIGHT="3"><CHAR MOJI="あ" X="1" Y="1" WIDTH="1" HEIGHT="1"/></LINE><BLOCK TYPE="b" X="0" Y="0" WIDTH="9" HEIGHT="9"/><LINE ERROR="x" X="0" Y="0" WIDTH="1" HEIGHT="1"/></PAGE>'
+    xml = "<DATASET>\n" + "\n".join(map(page, range(30))) + "\n</DATASET>"
+    (tmp_path / "a.xml").write_text(xml)
+    names = ["image", "item", "kind", "type", "x0", "y0", "x1", "y1", "points", "chars"]
+    got = readers.read_annotated_pages(spark, str(tmp_path)).collect()
+    whole = readers.annotated_boxes(spark.createDataFrame([(1, xml)], "k int, x string"), "k", "x").collect()
+    assert sorted(repr([r[n] for n in names]) for r in got) == sorted(repr([r[n] for n in names]) for r in whole) and len(got) == 60
+    assert {r.name for r in got} == {f"{k}.jpg" for k in range(30)}

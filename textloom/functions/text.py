@@ -81,3 +81,13 @@ def first_line_with(c: Column, needle: Column, longest: int = 60) -> Column:
     first = F.try_element_at(F.filter(numbered, lambda r: r["has"]), F.lit(1))
     cut = F.when(F.length(first["t"]) <= longest, first["t"]).otherwise(F.concat(F.left(first["t"], F.lit(longest - 3)), F.lit("…")))
     return F.when(first.isNotNull(), F.struct(first["line"].alias("line"), cut.alias("excerpt")))
+
+
+def time_text(epoch: Column) -> Column:
+    """Seconds since 1970 as date and time of the session's zone; null stays null."""
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm:ss")
+
+
+def archive_stamp(epoch: Column) -> Column:
+    """The same as digits alone, for names of folders, which then sort by time."""
+    return F.date_format(F.timestamp_seconds(epoch), "yyyyMMddHHmmss")

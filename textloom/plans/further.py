@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, json_hash
 from ..functions.lineage import scratch_path
+from ..functions.text import archive_stamp, time_text
 from ..operators import chunking, classes, glossary, grids, lifecycle, matching, metered, polygons, quality, runs, scanner, tables, upright
 from ..streaming import terms
 from . import registry as r
@@ -128,6 +129,12 @@ def _guards(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.guarded(stores).select("o_orderkey", "policy", "refused")
 
 
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    """Times of orders, days apart, and the names of folders that they make."""
+    epoch = (F.col("o_orderkey") * 86_399).cast("double") + 0.5
+    return table(spark, d, "orders").select("o_orderkey", time_text(epoch).alias("time"), archive_stamp(epoch).alias("stamp"))
+
+
 def _stream_terms(spark: SparkSession, d: str) -> DataFrame:
     """Parts as a stream of candidates, and the glossary that the state store has after them."""
     parts = table(spark, d, "part")
@@ -158,6 +165,7 @@ def queries() -> dict[str, Query]:
         "class_names": _classes,
         "preset_settings": lambda s, d: runs.with_preset(table(s, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("fast", "standard", "fine", "none"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("preset")), "preset"),
         "store_guards": _guards,
+        "time_texts": _times,
         "glossary_stream": _stream_terms,
     }
 
@@ -204,6 +212,7 @@ SELECT line, part::BIGINT AS part, min(CASE WHEN upright THEN greatest(0, t - r)
         "qa_issues_user_only": f"{_ISSUES}, {_SUGGESTED}, al AS (SELECT conv_id, turn, rank, part, kind, severity, detail, line::BIGINT AS line, n::BIGINT AS n, found, excerpt FROM iss UNION ALL SELECT NULL, NULL, 99, position, 'suggestion', 'info', source, NULL, n, NULL, NULL FROM sg) SELECT row_number() OVER (ORDER BY rank = 99, conv_id, turn, rank, part, detail) AS id, conv_id, turn, kind, severity, detail, line, n, found, excerpt FROM al",
         "class_names": f"WITH c(class_id, class_name, class_label) AS (VALUES {', '.join(str((i, *x)) for i, x in enumerate(classes.BOXES, 1))}), l AS (SELECT l_partkey % {3 * len(classes.BOXES) + 1} // 3 + 1 AS class_id FROM lineitem) SELECT class_id::INTEGER AS class_id, class_name, class_label, CASE WHEN class_name[1:5] = 'line_' THEN 'line' WHEN class_name[1:6] = 'block_' AND class_name <> 'block_table' THEN 'block' END AS kind, count(*) AS n FROM (SELECT c.* FROM l LEFT JOIN c USING (class_id)) GROUP BY ALL",
         "preset_settings": "SELECT c_custkey, p.* EXCLUDE k FROM customer JOIN (VALUES (0, 'fast', false, false, 'off', 10, 6000), (1, 'standard', true, true, 'always', 10, 4000), (2, 'fine', true, true, 'always', 20, 3000), (3, 'none', NULL, NULL, NULL, NULL, NULL)) AS p(k, preset, prescan, style, pre_extract, first_n, max_chars) ON c_custkey % 4 = k",
+        "time_texts": "SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS time, strftime(make_timestamp(o_orderkey * 86399 * 1000000), '%Y%m%d%H%M%S') AS stamp FROM orders",
         "store_guards": "SELECT o_orderkey, ['A', 'B', 'D', 'C', 'C'][o_orderkey % 5 + 1] AS policy, o_orderkey % 4 = 1 AS refused FROM orders",
         "usage_of_runs": "WITH c AS (SELECT event_type AS stage, CASE WHEN user_id % 3 = 0 THEN 'fast' ELSE 'strong' END AS tier, floor(value)::BIGINT AS v, event_id % 50 AS e FROM events), u AS (SELECT 'tier' AS level, tier AS name, v, e FROM c UNION ALL SELECT 'stage', stage, v, e FROM c), s AS (SELECT level, name, count(*) AS calls, sum(v)::BIGINT AS prompt_tokens, sum(e)::BIGINT AS completion_tokens, sum(v + e)::BIGINT AS total_tokens, sum(floor(v / 3))::BIGINT AS cache_hit_tokens, sum(v - floor(v / 3))::BIGINT AS cache_miss_tokens FROM u WHERE name IN ('fast', 'strong', 'view', 'click', 'purchase') GROUP BY ALL) SELECT *, CASE WHEN prompt_tokens > 0 THEN round_even(cache_hit_tokens::DOUBLE / prompt_tokens, 4) ELSE 0 END AS cache_hit_rate FROM s",
         "glossary_stream": f"WITH {_B} SELECT * FROM u",

@@ -203,18 +203,29 @@ def layout_boxes(files: DataFrame, key: str, xml: str) -> DataFrame:
     return files.select(F.col(key).cast("string").alias("k"), F.col(xml).alias("x")).mapInPandas(parse, LAYOUT)
 
 
-def read_layout_pages(spark: SparkSession, path: str, element: str = "PAGE") -> DataFrame:
-    """The boxes of ``layout_boxes`` for each page of layout files, whatever their size: (file, name, key and the boxes). A file
-    is cut behind the end tags of its pages while it is read, so large ones are read in parts and no file is one string.
-    ``name`` is the page's IMAGENAME, ``key`` joins both. Files are UTF-8 without prefixes; what stands behind the last page is none.
-    """
+def _page_elements(spark: SparkSession, path: str, element: str) -> DataFrame:
+    """(key, page): each element of this name in XML files, as a document by itself. A file is cut behind the elements' end tags while it is read,
+    so large ones are read in parts and no file is one string. ``key`` joins the file and the page's IMAGENAME with ``#``. Files are
+    UTF-8 and their names have no prefixes; what stands behind the last element is none."""
     ends = spark.read.option("lineSep", f"</{element}>").text(path).select(F.input_file_name().alias("file"), F.regexp_extract("value", rf"(?s)<{element}[\s>/].*$", 0).alias("page"))
-    pages = ends.where("page <> ''").withColumn("name", F.regexp_extract("page", rf"<{element}[^>]*?\bIMAGENAME\s*=\s*[\"']([^\"']*)", 1))
-    pages = pages.withColumns({"key": F.concat_ws("#", "file", "name"), "page": F.concat("page", F.lit(f"</{element}>"))})
-    boxes = layout_boxes(pages, "key", "page")
+    name = F.regexp_extract("page", rf"<{element}[^>]*?\bIMAGENAME\s*=\s*[\"']([^\"']*)", 1)
+    return ends.where("page <> ''").select(F.concat_ws("#", "file", name).alias("key"), F.concat(F.lit("<PAGES>"), "page", F.lit(f"</{element}></PAGES>")).alias("page"))
+
+
+def _with_names(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"file": F.substring_index("key", "#", 1), "name": F.regexp_extract("key", "#(.*)$", 1)})
 
 
+def read_layout_pages(spark: SparkSession, path: str, element: str = "PAGE") -> DataFrame:
+    """The boxes of ``layout_boxes`` for each page of layout files of any size, with their ``file`` and page's ``name``."""
+    return _with_names(layout_boxes(_page_elements(spark, path, element), "key", "page"))
+
+
+def read_annotated_pages(spark: SparkSession, path: str, element: str = "PAGE") -> DataFrame:
+    """The boxes of ``annotated_boxes`` for each page of annotated files of any size, with their ``file`` and page's ``name``."""
+    return _with_names(annotated_boxes(_page_elements(spark, path, element), "key", "page"))
+
+
 def recognized_boxes(files: DataFrame, key: str, json: str) -> DataFrame:
     """(key, box, x0, y0, x1, y1, text): the lines of recognition results with the corners around their points, whole numbers,
     numbered by y0, then x0. Lines without points or text are left out; broken results have none."""
