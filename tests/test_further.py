@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -396,3 +397,27 @@ def test_annotated_files_are_cut_by_page(spark, tmp_path):
     whole = readers.annotated_boxes(spark.createDataFrame([(1, xml)], "k int, x string"), "k", "x").collect()
     assert sorted(repr([r[n] for n in names]) for r in got) == sorted(repr([r[n] for n in names]) for r in whole) and len(got) == 60
     assert {r.name for r in got} == {f"{k}.jpg" for k in range(30)}
+
+
+def test_pages_ranked_together_are_those_ranked_alone(spark, monkeypatch):
+    rng, pages = np.random.default_rng(4), []
+    for k in range(150):
+        n, top = int(rng.integers(1, 12)), (1000, 20, 3)[k % 3]
+        b = rng.integers(0, top, (n, 4))
+        if k % 2:
+            b[:, 2:] = b[:, :2] + rng.integers(0, 60, (n, 2))
+        pages.append(b)
+    want = {(k, i): int(r) for k, b in enumerate(pages) for i, r in enumerate(layout.xy_order(b))}
+    for n in range(1, 12):
+        same = np.array([b for b in pages if len(b) == n])
+        assert layout.xy_orders(same).tolist() == [layout.xy_order(b).tolist() for b in same]
+    monkeypatch.setattr(layout, "TOGETHER", 8)
+    df = spark.createDataFrame([(k, i, *map(int, x)) for k, b in enumerate(pages) for i, x in enumerate(b)], "page long, box long, x0 long, y0 long, x1 long, y1 long")
+    assert {(r.page, r.box): r["rank"] for r in layout.layout_order(df).collect()} == want
+
+
+def test_many_pages_take_microseconds_each():
+    boxes = np.random.default_rng(5).integers(0, 1000, (2000, 4, 2))
+    begun = time.process_time()
+    layout.xy_orders(np.concatenate([boxes, boxes + 50], 2))
+    assert time.process_time() - begun < 2, "2000 pages by themselves take over 4 s"

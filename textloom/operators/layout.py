@@ -7,13 +7,18 @@ Boxes are (page, box, x0, y0, x1, y1).
 from __future__ import annotations
 
 from functools import cmp_to_key
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+#: Boxes of a page up to which pages are ranked together, and cells between their stops at a time; both give the same ranks as one page by itself.
+TOGETHER, CELLS = 32, 200_000
+
 
 def normalized_boxes(boxes: DataFrame, width: str, height: str) -> DataFrame:
     """Corners in thousandths of the page, held within 0 to 999."""
@@ -84,6 +89,17 @@ def _cut(region, sums):
     return parts if len(parts) > 1 else []
 
 
+def _on_grid(boxes: np.ndarray) -> np.ndarray:
+    """Boxes (..., n, 4) of one page or of several with as many boxes each, in cells of the page's grid."""
+    b = boxes.astype(float)
+    b[..., 2:] = np.maximum(b[..., :2], b[..., 2:])
+    low = b[..., :2].min(-2, keepdims=True)
+    span = np.maximum(b[..., 2:].max(-2, keepdims=True) - low, 1)
+    grid = 100 * np.sqrt(b.shape[-2]) * span / span.min(-1, keepdims=True)
+    twice = lambda x: np.concatenate([x, x], -1)
+    return np.maximum((b - twice(low)) * twice(grid) // twice(span), 0).astype(int)
+
+
 def xy_order(boxes: np.ndarray) -> np.ndarray:
     """Rank of each box (n, 4) by recursive cuts along the emptiest bands.
 
@@ -94,12 +110,7 @@ def xy_order(boxes: np.ndarray) -> np.ndarray:
     n = len(boxes)
     if n == 0:
         return np.zeros(0, int)
-    b = boxes.astype(float)
-    b[:, 2:] = np.maximum(b[:, :2], b[:, 2:])
-    low = b[:, :2].min(0)
-    span = np.maximum(b[:, 2:].max(0) - low, 1)
-    grid = 100 * np.sqrt(n) * span / span.min()
-    g = np.maximum((b - np.tile(low, 2)) * np.tile(grid, 2) // np.tile(span, 2), 0).astype(int)
+    g = _on_grid(boxes)
     filled = np.zeros((g[:, 3].max() + 1, g[:, 2].max() + 1), np.int32)
     for x0, y0, x1, y1 in g:
         filled[y0:y1, x0:x1] = 1
@@ -150,9 +161,143 @@ def xy_order(boxes: np.ndarray) -> np.ndarray:
     return rank
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _ranks(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda boxes: xy_order(np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in boxes], float)).tolist())
+class _Level(NamedTuple):
+    """Regions as numbers of stops, the regions of the level before that they are parts of, how they are cut, and whether."""
+
+    page: np.ndarray
+    x0: np.ndarray
+    y0: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
+    up: np.ndarray
+    sideways: np.ndarray
+    cut: np.ndarray
+
+
+def _stops(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different places, from 0 to one behind the last, at which boxes of each page begin or end (filled up with the last one), and which of them is the last."""
+    some = np.sort(np.concatenate([np.zeros((len(ends), 1), int), ends, ends.max(1, keepdims=True) + 1], 1), 1)
+    at = np.concatenate([np.zeros((len(ends), 1), int), np.cumsum(np.diff(some) > 0, 1)], 1)
+    out = np.repeat(some[:, -1:], some.shape[1], 1)
+    np.put_along_axis(out, at, some, 1)
+    return out, at[:, -1]
+
+
+def _all_quietest(profiles: np.ndarray, begin: np.ndarray, end: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_quietest`` of the part from begin to end of each profile, whose values hold from stop to stop: first and last stop of the run, its length and score."""
+    k, every = np.arange(profiles.shape[1]), np.arange(len(profiles))
+    inside = (k >= begin[:, None]) & (k < end[:, None])
+    low, high = np.where(inside, profiles, np.iinfo(np.int64).max).min(1), np.where(inside, profiles, -1).max(1)
+    quiet = np.zeros((len(profiles), len(k) + 2), np.int8)
+    quiet[:, 1:-1] = inside & (profiles == low[:, None])
+    edges = np.diff(quiet, axis=1)
+    (row, first), last = np.nonzero(edges > 0), np.nonzero(edges < 0)[1]
+    length = stops[row, last] - stops[row, first]
+    longest = np.maximum.reduceat(length, np.searchsorted(row, every))
+    found = np.flatnonzero(length == longest[row])
+    own = found[np.searchsorted(row[found], every)]
+    score = np.where(stops[every, end] - stops[every, begin] == 1, low, np.where(high > 0, -low / np.maximum(high, 1), 0.0))
+    return first[own], last[own], longest, score
+
+
+def xy_orders(boxes: np.ndarray) -> np.ndarray:
+    """``xy_order`` of several pages with as many boxes each (pages, n, 4): regions of all pages are cut level by level.
+
+    Between two ends of boxes a profile keeps its value, so profiles have a value for each stop instead of each cell.
+    """
+    g = _on_grid(boxes)
+    pages, n, _ = g.shape
+    (xs, wide), (ys, high) = _stops(g[:, :, ::2].reshape(pages, -1)), _stops(g[:, :, 1::2].reshape(pages, -1))
+    k = np.arange(xs.shape[1] - 1)
+    filled = np.zeros((pages, len(k), len(k)), bool)
+    for x0, y0, x1, y1 in np.moveaxis(g, 1, 0).transpose(0, 2, 1)[..., None]:
+        filled |= ((ys[:, :-1] >= y0) & (ys[:, :-1] < y1))[:, :, None] & ((xs[:, :-1] >= x0) & (xs[:, :-1] < x1))[:, None, :]
+    down, across = np.zeros((pages, len(k), len(k) + 1), np.int64), np.zeros((pages, len(k) + 1, len(k)), np.int64)
+    np.cumsum(filled * np.diff(xs)[:, None, :], 2, out=down[:, :, 1:])
+    np.cumsum(filled * np.diff(ys)[:, :, None], 1, out=across[:, 1:])
+
+    zero = np.zeros(pages, int)
+    page, x0, y0, x1, y1, up = np.arange(pages), zero, zero, wide, high, zero
+    levels = []
+    while len(page):
+        xa, xb, xn, xv = _all_quietest(across[page, y1] - across[page, y0], x0, x1, xs[page])
+        ya, yb, yn, yv = _all_quietest(down[page, :, x1] - down[page, :, x0], y0, y1, ys[page])
+        sideways = (xv > yv) | ((xv == yv) & (xn >= yn))
+        stops = np.where(sideways, [x0, xa, xb, x1], [y0, ya, yb, y1]).T
+        parts = stops[:, :-1] < stops[:, 1:]
+        cut = parts.sum(1) > 1
+        levels.append(_Level(page, x0, y0, x1, y1, up, sideways, cut))
+        up, part = np.nonzero(parts & cut[:, None])
+        begin, end, level = stops[up, part], stops[up, part + 1], sideways[up]
+        page, x0, y0, x1, y1 = page[up], np.where(level, begin, x0[up]), np.where(level, y0[up], begin), np.where(level, end, x1[up]), np.where(level, y1[up], end)
+
+    def summed(own: list[np.ndarray]) -> list[np.ndarray]:
+        """Each region's own value and those of all of its parts."""
+        out = own[-1:]
+        for i in range(len(levels) - 2, -1, -1):
+            out.insert(0, own[i] + np.bincount(levels[i + 1].up, out[0], len(own[i])).astype(int))
+        return out
+
+    leaves = summed([(~x.cut).astype(int) for x in levels])
+
+    def places(turned: list[np.ndarray]) -> np.ndarray:
+        """The place of each leaf, level by level, among those of its page; parts of regions that are turned run backwards."""
+        first, out = np.zeros(pages, int), []
+        for i, x in enumerate(levels):
+            if i:
+                ends, all_ = np.cumsum(leaves[i]), leaves[i - 1][x.up]
+                before = ends - leaves[i]
+                before -= before[np.searchsorted(x.up, x.up)]
+                first = first[x.up] + np.where(turned[i - 1][x.up], all_ - before - leaves[i], before)
+            out.append(first[~x.cut])
+        return np.concatenate(out)
+
+    page, x0, y0, x1, y1 = (np.concatenate([x[c][~x.cut] for x in levels]) for c in range(5))
+    by = np.lexsort((places([np.zeros(len(x.cut), bool) for x in levels]), page))
+    page, x0, y0, x1, y1 = page[by], xs[page, x0][by], ys[page, y0][by], xs[page, x1][by], ys[page, y1][by]
+    at, every = np.searchsorted(page, np.arange(pages)), np.arange(pages)
+    held = np.empty((pages, n), int)
+    for j in range(n):
+        a0, b0, a1, b1 = g[page, j].T
+        common = np.maximum(0, np.minimum(a1, x1) - np.maximum(a0, x0) + 1) * np.maximum(0, np.minimum(b1, y1) - np.maximum(b0, y0) + 1)
+        ours, theirs = (a1 - x0 + 1) * (b1 - y0 + 1), (x1 - a0 + 1) * (y1 - b0 + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = common / (ours + theirs - common)
+        share[np.isnan(share)] = -np.inf
+        best = np.flatnonzero(share == np.maximum.reduceat(share, at)[page])
+        held[:, j] = by[best[np.searchsorted(page[best], every)]]
+
+    def counted(leaf: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(x.cut), int) for x in levels]
+        for own, x, c in zip(out, levels, np.split(np.bincount(leaf, minlength=len(by)), np.cumsum([np.count_nonzero(~x.cut) for x in levels])[:-1]), strict=True):
+            own[~x.cut] = c
+        return summed(out)
+
+    count, upright = counted(held.ravel()), counted(held[g[..., 2] - g[..., 0] < g[..., 3] - g[..., 1]])
+    place = places([x.cut & x.sideways & (c < 2 * u) for x, c, u in zip(levels, count, upright, strict=True)])[held]
+    order = np.lexsort((g[..., 1].ravel(), -g[..., 0].ravel(), place.ravel(), np.repeat(every, n)))
+    ranks = np.empty(pages * n, int)
+    ranks[order] = np.arange(pages * n) % n
+    return ranks.reshape(pages, n)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _ranks(pages: pa.Array) -> pa.Array:
+    """Pages of up to ``TOGETHER`` boxes go through ``xy_orders``, those with as many boxes at once; larger ones and those with a missing corner by themselves."""
+    flat, sizes = pages.flatten(), pages.value_lengths().to_numpy(zero_copy_only=False)
+    corners = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], 1)
+    ends = np.cumsum(sizes)
+    out = np.empty(len(corners), np.int32)
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = (ends - sizes)[sizes == n, None] + np.arange(n)
+        odd = np.isnan(corners[at]).any((1, 2)) | (n > TOGETHER)
+        for own in at[odd]:
+            out[own] = xy_order(corners[own])
+        at = at[~odd]
+        some = max(1, CELLS // (2 * n + 2) ** 2)
+        for i in range(0, len(at), some):
+            out[at[i : i + some]] = xy_orders(corners[at[i : i + some]])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out))
 
 
 def layout_order(boxes: DataFrame) -> DataFrame:
