@@ -421,3 +421,10 @@ def test_many_pages_take_microseconds_each():
     begun = time.process_time()
     layout.xy_orders(np.concatenate([boxes, boxes + 50], 2))
     assert time.process_time() - begun < 2, "2000 pages by themselves take over 4 s"
+
+
+def test_positions_may_be_any_numbers(spark, monkeypatch):
+    monkeypatch.setattr(writers, "MOST", 3)
+    names = "chunk int, position long, source string, target string, type string, locked boolean, aliases array<string>, note string, status string, origin string, truncated boolean"
+    rows = spark.createDataFrame([(1, p, f"s{p}", "t", "", False, ["a"], None, "ok", "user", False) for p in (5_000_000, 7, None)], names)
+    assert [x.split(",")[0] for x in writers.hits_csv(rows, "chunk").first().csv.split("\n")[1:-1]] == ["sNone", "s7", "s5000000"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -49,9 +49,10 @@ def prompt_blocks(hits: DataFrame, terms: DataFrame, key: str, policy: str) -> D
 
 
 def _listed(rows: DataFrame, key: str, item, *sums) -> DataFrame:
-    """(key, ls): the first ``MOST`` items of each key by position; a key with more ends the job, since its file would be one task's."""
-    held = rows.groupBy(key).agg(*sums, F.array_sort(F.collect_list(F.when(F.col("position") <= MOST, item))).alias("ls"), F.max("position").alias("_top"), F.count("*").alias("_n"))
-    return held.withColumn("ls", F.when((F.col("_n") > MOST) | (F.col("_top") > MOST), F.raise_error(F.lit(f"a key has more than {MOST} rows; cut them by store.prompt_rows"))).otherwise(F.col("ls")))
+    """(key, ls): all items of each key by position, whatever numbers positions are; a key of more than ``MOST`` rows ends the job, since its file would be one task's."""
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("position")))
+    held = ranked.groupBy(key).agg(*sums, F.array_sort(F.collect_list(F.when(F.col("_rank") <= MOST, item))).alias("ls"), F.count("*").alias("_n"))
+    return held.withColumn("ls", F.when(F.col("_n") > MOST, F.raise_error(F.lit(f"a key has more than {MOST} rows; cut them by store.prompt_rows"))).otherwise(F.col("ls")))
 
 
 def hits_json(rows: DataFrame, key: str) -> DataFrame:
