@@ -428,3 +428,5 @@ def test_positions_may_be_any_numbers(spark, monkeypatch):
     names = "chunk int, position long, source string, target string, type string, locked boolean, aliases array<string>, note string, status string, origin string, truncated boolean"
     rows = spark.createDataFrame([(1, p, f"s{p}", "t", "", False, ["a"], None, "ok", "user", False) for p in (5_000_000, 7, None)], names)
     assert [x.split(",")[0] for x in writers.hits_csv(rows, "chunk").first().csv.split("\n")[1:-1]] == ["sNone", "s7", "s5000000"]
+    got = json.loads(writers.hits_json(rows, "chunk").first().json)
+    assert got["count"] == 3 and [t["source"] for t in got["terms"]] == ["sNone", "s7", "s5000000"]
