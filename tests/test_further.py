@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import canonical, punctuation
+from textloom.functions.text import archive_stamp, time_text
 from textloom.operators import classes, grids, layout, lifecycle, matching, metered, polygons, quality, runs, scanner, tables, upright
 from textloom.sources import readers, writers
 
@@ -430,3 +432,11 @@ def test_positions_may_be_any_numbers(spark, monkeypatch):
     assert [x.split(",")[0] for x in writers.hits_csv(rows, "chunk").first().csv.split("\n")[1:-1]] == ["sNone", "s7", "s5000000"]
     got = json.loads(writers.hits_json(rows, "chunk").first().json)
     assert got["count"] == 3 and [t["source"] for t in got["terms"]] == ["sNone", "s7", "s5000000"]
+
+
+def test_times_of_long_years_have_no_sign(spark):
+    epochs = spark.createDataFrame([(253402300800.5,), (253402300799.0,), (777599913601.5,), (None,)], "t double")
+    got = [r.t for r in epochs.select(time_text("t").alias("t")).collect()]
+    stamps = [r.t for r in epochs.select(archive_stamp("t").alias("t")).collect()]
+    assert got[:2] == ["10000-01-01 00:00:00", "9999-12-31 23:59:59"] and got[2].startswith("26611-") and got[3] is None
+    assert stamps == [x and re.sub("[^0-9]", "", x) for x in got]

@@ -83,11 +83,16 @@ def first_line_with(c: Column, needle: Column, longest: int = 60) -> Column:
     return F.when(first.isNotNull(), F.struct(first["line"].alias("line"), cut.alias("excerpt")))
 
 
+def _dated(epoch: Column, form: str) -> Column:
+    """The engine puts a plus before years of more than four digits, which is no part of a text or a name."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(epoch), form), F.lit("+"))
+
+
 def time_text(epoch: Column) -> Column:
     """Seconds since 1970 as date and time of the session's zone; null stays null."""
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm:ss")
+    return _dated(epoch, "yyyy-MM-dd HH:mm:ss")
 
 
 def archive_stamp(epoch: Column) -> Column:
-    """The same as digits alone, for names of folders, which then sort by time."""
-    return F.date_format(F.timestamp_seconds(epoch), "yyyyMMddHHmmss")
+    """The same as digits alone, for names of folders, which then sort by time up to the year 9999."""
+    return _dated(epoch, "yyyyMMddHHmmss")
