@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,3 +205,12 @@ def test_event_stream_numbers_without_gaps(spark, tmp_path):
         _drain(log.append_sequenced(stream, "at", str(out), str(state)))
     rows = spark.read.parquet(str(out)).orderBy("seq").collect()
     assert [(r.seq, r.at) for r in rows] == [(i + 1, t) for i, t in enumerate([0, 1, 2, 10, 11, 12])]
+
+
+def test_only_other_encodings_become_objects(monkeypatch):
+    seen, real = [], readers.decoded
+    monkeypatch.setattr(readers, "decoded", lambda raw, encodings: seen.append(raw) or real(raw, encodings))
+    raw = [b"", None, "字".encode(), b"\xed\xa0\x80"] + [b"plain"] * 200 + ["字".encode("shift_jis")]
+    assert readers._decoded(pa.array(raw[4:-1], pa.binary()), readers.ENCODINGS).to_pylist() == ["plain"] * 200 and not seen
+    assert readers._decoded(pa.array(raw, pa.binary()), readers.ENCODINGS).to_pylist() == [b if b is None else real(b) for b in raw]
+    assert 2 <= len(seen) < 150

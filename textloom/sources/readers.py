@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -21,6 +22,8 @@ ENCODINGS = ("utf-8", "utf-8-sig", "shift_jis", "euc_jp", "cp932")
 FILE_ENCODINGS = ("utf-8", "utf-32", "shift_jis", "euc_jp", "iso2022_jp", "gb18030")
 KINDS = ("txt", "json", "xml")
 GLOSSARY = ("source", "target", "type", "origin", "note")
+#: Texts that are decoded one by one at a time, where one of them is not UTF-8.
+SLICE = 64
 EVENT = "seq bigint, ts double, type string, stage string, chunk bigint, detail string"
 
 
@@ -34,15 +37,25 @@ def decoded(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
     return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf(StringType())
-def decode_text(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: decoded(bytes(b)), na_action="ignore")
+def _decoded(raw: pa.Array, encodings: tuple[str, ...]) -> pa.Array:
+    """``decoded`` of each value. What is UTF-8 as it stands is not copied; only slices with other texts become objects."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        if len(raw) > SLICE:
+            return pa.concat_arrays([_decoded(raw.slice(k, SLICE), encodings) for k in range(0, len(raw), SLICE)])
+        return pa.array([None if b is None else decoded(b, encodings) for b in raw.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def decode_file(raw: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def decode_text(raw: pa.Array) -> pa.Array:
+    return _decoded(raw, ENCODINGS)
+
+
+@F.arrow_udf(StringType())
+def decode_file(raw: pa.Array) -> pa.Array:
     """Files of any origin, which come in more encodings than the texts of a run."""
-    return raw.map(lambda b: decoded(bytes(b), FILE_ENCODINGS), na_action="ignore")
+    return _decoded(raw, FILE_ENCODINGS)
 
 
 def _strings(value) -> Iterator[str]:
