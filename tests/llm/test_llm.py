@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, exact_dedup, html_text, mixing, near_copies, pii, simhash, substring_dedup, toxicity, url_filter, warc
 from textloom.llm.components import connected_components
@@ -123,6 +124,20 @@ def test_near_dedup_takes_five_word_copies(spark, monkeypatch, block):
     assert got == sorted(repr((i, want[k])) for k, (i, _) in enumerate(texts))
 
 
+def test_near_dedup_asks_fingerprints_first(spark, monkeypatch):
+    """Fingerprints name candidates, which are confirmed before any is found by shingles; even classes that are no copies change no group."""
+    texts, asked, pairs, real = near_texts(), [], [], near_copies._of_classes
+    copies, want = spark.createDataFrame(texts, "doc_id long, text string"), five_word_groups(texts)
+    kept = sorted({i for i, _ in texts if i is not None and i in set(want.values())})
+    links = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: asked.append(1) or links(*a))
+    monkeypatch.setattr(near_copies, "_of_classes", lambda *a: pairs.append(real(*a)) or pairs[-1])
+    assert sorted({r.doc_id for r in simhash.near_dedup(copies).collect()}) == kept
+    assert asked == [1] and pairs[0].count() > 0
+    monkeypatch.setattr(simhash, "alike_texts", lambda docs: docs.select(F.xxhash64("text").alias("own"), F.lit(0).alias("class")).distinct())
+    assert sorted({r.doc_id for r in simhash.near_dedup(copies).collect()}) == kept
+
+
 @pytest.mark.parametrize("limit", [256, 2])
 def test_links_connect_all_close_fingerprints(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "LONG_RUN", limit)

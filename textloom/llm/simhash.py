@@ -212,9 +212,18 @@ def near_groups(docs: DataFrame, bits: int = BITS, segments: int = SEGMENTS, shi
     return table.join(labels, table.fp == labels.of).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike_texts(docs: DataFrame, bits: int = BITS, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
+    """(own, class): the texts of ``docs``, by xxhash64, and the least fingerprint that each reaches, as in :func:`near_groups`."""
+    text = F.col("text").cast("string")
+    table = cut(fingerprint_table(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), shingle).distinct())
+    roots = connected_components(fingerprint_links(table.select("fp").distinct(), bits, segments))
+    return table.join(roots, table.fp == roots.node, "left").select(F.col("doc_id").alias("own"), F.coalesce("root", "fp").alias("class"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group of near copies (five-word Jaccard similarity 4/5, not
-    fingerprints), with all their columns, whatever their names: one document of each group. Rows without an id stay only
-    if their whole group has none. What goes is looked up by doc_id and text."""
-    gone = cut(near_copy_rows(docs).where("not doc_id <=> component_id").select("doc_id", "own").distinct())
+    """The rows of ``docs`` whose doc_id names their group of near copies, with all their columns, whatever their names: one
+    document of each group. Candidates are the texts that fingerprints link, and then all that share rare shingles, since
+    fingerprints miss most copies of the stated similarity (five-word Jaccard 4/5), which decides on either. Rows without an
+    id stay only if their whole group has none. What goes is looked up by doc_id and text."""
+    gone = cut(near_copy_rows(docs, alike=alike_texts(docs)).where("not doc_id <=> component_id").select("doc_id", "own").distinct())
     return without_rows(docs, gone)
