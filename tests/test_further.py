@@ -440,3 +440,14 @@ def test_times_of_long_years_have_no_sign(spark):
     stamps = [r.t for r in epochs.select(archive_stamp("t").alias("t")).collect()]
     assert got[:2] == ["10000-01-01 00:00:00", "9999-12-31 23:59:59"] and got[2].startswith("26611-") and got[3] is None
     assert stamps == [x and re.sub("[^0-9]", "", x) for x in got]
+
+
+def test_bands_do_not_hang_on_the_order_of_equal_strokes(spark):
+    """Strokes that reach over the end of the line become equal; each line has the same bands, and no window or second shuffle of boxes is planned."""
+    lines = spark.createDataFrame([(k, 45, 400) for k in range(40)], "line long, width long, height long")
+    strokes = [(k, a, y, b, e) for k in range(40) for y, e in ((50, 90), (356, 401), (356, 405), (356, 405)) for a, b in ((2, 10), (14, 22))]
+    random.Random(2).shuffle(strokes)
+    found = upright.upright_runs(lines, spark.createDataFrame(strokes, "line long, x0 long, y0 long, x1 long, y1 long").distinct())
+    assert {tuple(r)[1:] for r in found.collect()} == {(0, 50, 90, 2, False), (1, 356, 400, 2, False)} and found.count() == 80
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1

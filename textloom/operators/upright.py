@@ -23,19 +23,46 @@ def _clipped(lines: DataFrame, ink: DataFrame) -> DataFrame:
 
 
 def bands(lines: DataFrame, ink: DataFrame) -> DataFrame:
-    """(line, width, height, band, b0, b1): ink boxes (line, x0, y0, x1, y1; ends not included) of vertical lines (line, width,
-    height), merged along the height where less than ``MIN_GAP`` lies between them; bands count from 0."""
-    by = Window.partitionBy("line").orderBy("y0", "y1")
-    before = F.max("y1").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = _clipped(lines, ink).withColumn("new", F.coalesce(F.col("y0") - before >= MIN_GAP, F.lit(True)).cast("int"))
-    rows = rows.withColumn("band", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return rows.groupBy("line", "width", "height", "band").agg(F.min("y0").alias("b0"), F.max("y1").alias("b1"))
+    """(line, width, height, band, b0, b1, boxes): ink boxes (line, x0, y0, x1, y1; ends not included) of vertical lines (line, width,
+    height), merged along the height where less than ``MIN_GAP`` lies between them; bands count from 0. ``boxes`` are all of the
+    line. They are one array, so that nothing but it is sorted and kept; a line is bounded by its paper."""
+    rows = _clipped(lines, ink)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("y0", "y1")}
+    held = rows.groupBy("line", "width", "height").agg(F.array_sort(F.collect_list(F.struct("y0", "y1", "x0", "x1"))).alias("boxes"))
+
+    def step(out: Column, b: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["b0"].alias("b0"), F.greatest(last["b1"], b["y1"]).alias("b1"))
+        apart = last.isNull() | (b["y0"] - last["b1"] >= MIN_GAP)
+        return F.when(apart, F.concat(out, F.array(F.struct(b["y0"].alias("b0"), b["y1"].alias("b1"))))).otherwise(F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer)))
+
+    merged = F.aggregate("boxes", F.array().cast(f"array<struct<b0:{kinds['y0']},b1:{kinds['y1']}>>"), step)
+    return held.select("*", F.posexplode(merged).alias("band", "b")).select("line", "width", "height", F.col("band").cast("bigint").alias("band"), "b.b0", "b.b1", "boxes")
 
 
 def _margin(share: float, least: int) -> Column:
     return F.greatest(F.lit(least), F.floor((F.col("b1") - F.col("b0")) * share))
 
 
+def _parts(ends: Column) -> Column:
+    """Runs above the share ``INK`` of its top of the profile whose steps (x, d) are given by place: one pass for the top, one for the runs."""
+    begun = lambda *more: F.struct(F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("ink"), *more)
+    moved = lambda s, e: ~s["x"].eqNullSafe(e["x"])
+
+    def rise(s: Column, e: Column) -> Column:
+        return F.struct(e["x"].alias("x"), (s["ink"] + e["d"]).alias("ink"), F.when(moved(s, e), F.greatest(s["top"], s["ink"])).otherwise(s["top"]).alias("top"))
+
+    top = F.aggregate(ends, begun(F.lit(0.0).alias("top")), rise, lambda s: F.greatest(s["top"], s["ink"]))
+
+    def run(s: Column, e: Column) -> Column:
+        now = F.when(moved(s, e), s["ink"] > s["least"]).otherwise(s["dark"])
+        begins = (moved(s, e) & (s["ink"] > s["least"]) & ~s["dark"]).cast("bigint")
+        return F.struct(e["x"].alias("x"), (s["ink"] + e["d"]).alias("ink"), s["least"].alias("least"), now.alias("dark"), (s["n"] + begins).alias("n"))
+
+    # Behind the last end there is no ink, so no run begins there.
+    return F.aggregate(ends, begun((top * INK).alias("least"), F.lit(False).alias("dark"), F.lit(0).cast("bigint").alias("n")), run, lambda s: s["n"])
+
+
 def upright_runs(lines: DataFrame, ink: DataFrame) -> DataFrame:
     """(line, band, b0, b1, parts, upright) for every band of a vertical line.
 
@@ -45,18 +72,12 @@ def upright_runs(lines: DataFrame, ink: DataFrame) -> DataFrame:
     """
     own = bands(lines, ink).withColumn("m", _margin(LOOK, LOOK_LEAST))
     own = own.select("*", F.greatest(F.lit(0), F.col("b0") - F.col("m")).alias("from"), F.least("height", F.col("b1") + F.col("m")).alias("to"))
-    boxes = _clipped(lines, ink).drop("width", "height")
-    seen = own.join(boxes, "line").withColumn("tall", F.least("y1", "to") - F.greatest("y0", "from")).where("tall > 0")
-    ends = seen.select("line", "band", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("tall").alias("d")), F.struct(F.col("x1").alias("x"), (-F.col("tall")).alias("d")))).alias("e"))
-    ends = ends.groupBy("line", "band", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
-    by = Window.partitionBy("line", "band")
-    steps = ends.select("line", "band", "x", F.sum("d").over(by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("ink"))
-    dark = F.col("ink") > F.max("ink").over(by) * INK
-    steps = steps.withColumn("dark", dark).withColumn("begins", F.col("dark") & ~F.coalesce(F.lag("dark").over(by.orderBy("x")), F.lit(False)))
-    parts = steps.groupBy("line", "band").agg(F.count_if("begins").alias("parts"))
+    seen = F.filter(F.transform("boxes", lambda b: F.struct(b["x0"].cast("double").alias("x0"), b["x1"].cast("double").alias("x1"), (F.least(b["y1"], F.col("to")) - F.greatest(b["y0"], F.col("from"))).cast("double").alias("tall"))), lambda b: b["tall"] > 0)
+    ends = F.array_sort(F.flatten(F.transform(seen, lambda b: F.array(F.struct(b["x0"].alias("x"), b["tall"].alias("d")), F.struct(b["x1"].alias("x"), (-b["tall"]).alias("d"))))))
+    own = own.select("line", "band", "width", "b0", "b1", ends.alias("ends")).select("line", "band", "width", "b0", "b1", _parts(F.col("ends")).alias("parts"))
     tall = F.col("b1") - F.col("b0")
     upright = (F.col("width") >= MIN_WIDTH) & (tall >= MIN_GAP) & (F.col("parts") >= MIN_PARTS) & (tall <= F.col("width") * MAX_RATIO)
-    return own.join(parts, ["line", "band"]).select("line", "band", "b0", "b1", "parts", upright.alias("upright"))
+    return own.select("line", "band", "b0", "b1", "parts", upright.alias("upright"))
 
 
 def reading_parts(lines: DataFrame, runs: DataFrame) -> DataFrame:
