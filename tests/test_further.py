@@ -451,3 +451,17 @@ def test_bands_do_not_hang_on_the_order_of_equal_strokes(spark):
     assert {tuple(r)[1:] for r in found.collect()} == {(0, 50, 90, 2, False), (1, 356, 400, 2, False)} and found.count() == 80
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Join") == 1
+
+
+def test_the_place_of_a_cell_is_looked_for_once(spark):
+    """A table of many columns; the search stands once in the plan's fold."""
+    rows = [(1, 0, "row", None, None, "")] + [(1, k, "cell", 1 + k % 3, 1 + k % 2, str(k)) for k in range(1, 40)] + [(1, 40, "row", None, None, ""), (1, 41, "cell", None, None, "x")]
+    found = tables.decoded(spark.createDataFrame(rows, "page int, at int, token string, rowspan int, colspan int, text string"))
+    assert found._jdf.queryExecution().analyzed().toString().count("filter(") == 1
+    want, at = [], 0
+    for k in range(1, 40):
+        want.append((0, k % 3, at, at + k % 2, str(k)))
+        at += 1 + k % 2
+    first = next(c for r0, r1, c, _, _ in want if r1 == 0)
+    got = [tuple(r)[2:] for r in found.orderBy("box").collect()]
+    assert got == [*want, (1, 1, first, first, "x")]

@@ -54,19 +54,22 @@ def decoded(tokens: DataFrame) -> DataFrame:
     """
     span = lambda c: F.greatest(F.lit(1), F.coalesce(F.col(c), F.lit(1))).cast("int")
     own = tokens.where(F.col("token").isin("row", "cell")).select("page", F.struct("at", "token", span("rowspan").alias("down"), span("colspan").alias("wide"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    pages = own.groupBy("page").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    pages = own.groupBy("page").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     cell = "struct<row0:int,row1:int,col0:int,col1:int,text:string>"
     start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("col"), F.array().cast("array<int>").alias("free"), F.array().cast(f"array<{cell}>").alias("out"))
 
-    def step(s: Column, t: Column) -> Column:
-        row = F.greatest(s["row"], F.lit(0))
-        places = F.sequence(F.lit(0), F.size(s["free"]))
-        first = F.coalesce(F.get(F.filter(places, lambda c: (c >= s["col"]) & (F.coalesce(F.get(s["free"], c), F.lit(0)) <= row)), F.lit(0)), F.greatest(s["col"], F.size(s["free"])))
-        last = first + t["wide"] - 1
+    def placed(s: Column, t: Column, first: Column) -> Column:
+        row, last = F.greatest(s["row"], F.lit(0)), first + t["wide"] - 1
         below = row + t["down"]
         free = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s["free"]) - 1, last)), lambda c: F.when(c.between(first, last), F.greatest(below, F.coalesce(F.get(s["free"], c), F.lit(0)))).otherwise(F.coalesce(F.get(s["free"], c), F.lit(0))))
         made = F.struct(row.alias("row0"), (below - 1).alias("row1"), first.alias("col0"), last.alias("col1"), t["text"].alias("text"))
-        filled = F.struct(row.alias("row"), (last + 1).alias("col"), free.alias("free"), F.concat(s["out"], F.array(made)).alias("out"))
+        return F.struct(row.alias("row"), (last + 1).alias("col"), free.alias("free"), F.concat(s["out"], F.array(made)).alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        row, places = F.greatest(s["row"], F.lit(0)), F.sequence(F.lit(0), F.size(s["free"]))
+        first = F.coalesce(F.get(F.filter(places, lambda c: (c >= s["col"]) & (F.coalesce(F.get(s["free"], c), F.lit(0)) <= row)), F.lit(0)), F.greatest(s["col"], F.size(s["free"])))
+        # As the value of a lambda the place is looked for once a cell, not once for each column and field.
+        filled = F.get(F.transform(F.array(first), lambda f: placed(s, t, f)), F.lit(0))
         begun = F.struct((s["row"] + 1).alias("row"), F.lit(0).alias("col"), s["free"].alias("free"), s["out"].alias("out"))
         return F.when(t["token"] == "row", begun).otherwise(filled)
 
