@@ -4,13 +4,15 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, exact_dedup, html_text, mixing, near_copies, pii, simhash, substring_dedup, toxicity, url_filter, warc
+from textloom.functions import lineage
+from textloom.llm import components, decontaminate, exact_dedup, html_text, mixing, near_copies, pii, simhash, substring_dedup, toxicity, url_filter, warc
 from textloom.llm.components import connected_components
 
 W = [f"w{i}" for i in range(400)]
@@ -405,3 +407,26 @@ def test_feistel_is_a_permutation(spark):
 
     x = pii.feistel("k", F.lit("t"), F.col("l"), F.col("r"), F.lit(30), F.lit(7))
     assert df.select((x.l * 7 + x.r).alias("y")).distinct().count() == n
+
+
+def test_a_cut_leaves_no_shuffle_files_behind(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    setting = spark.conf.get(lineage.CLEANUP)
+    sums = lineage.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(lineage.CLEANUP) == setting
+    assert {r["count"] for r in sums.collect()} == {142, 143}, "the rows stay"
+
+
+def test_stars_are_settled_without_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df: written.append(1) or lineage.cut(df))
+    stars = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (7, 2), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(stars).collect()} == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)}
+    assert len(written) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(k, 0) for k in range(21)}

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpoint_dir, cut
+from ..functions.lineage import checkpoint_dir, cut, shuffles_dropped
 
-__all__ = ["checkpoint_dir", "cut", "fresh", "lower_ascii", "partitions", "remove", "scratch", "shared_folder", "table", "tidy", "without_rows"]
+__all__ = ["checkpoint_dir", "cut", "fresh", "lower_ascii", "partitions", "remove", "scratch", "shared_folder", "shuffles_dropped", "table", "tidy", "without_rows"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
