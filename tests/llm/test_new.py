@@ -389,6 +389,59 @@ def test_given_pages_without_their_marks(spark, pages_an_array):
     assert any(want.values()) and want != {i: "\n".join(" ".join(b) for b in blocks) for i, blocks in rows}
 
 
+def test_marked_pages_are_evidence_and_are_judged(spark):
+    menu, plea, lead, quoted = (" ".join(f"{x}{k}" for k in range(9)) for x in ("menu", "plea", "lead", "quoted"))
+    html = [
+        f"<div>{menu}</div><article><p>{lead}<p>first</article><p>{plea}",
+        f"<div>{menu}</div><p>no marks here",
+        f"<article><p>second<p>{plea}<p>{plea} and more</article><p>{plea}<p>{lead}",
+        f"<article><p>third<div>{plea}</div></article><div>{plea}</div><div>{lead}</div><aside>{quoted}</aside>",
+        f"<article><p>{lead}<p>first</article><p>a copy",
+        f"<main>{plea}</main>",
+        f"<p>{lead}<p>{quoted}<aside>{quoted} here</aside>",
+    ]
+    pages = spark.createDataFrame([(k, f"http://h.com/{k}", x) for k, x in enumerate(html)], "page_id long, url string, html string")
+    want = {0: f"{lead}\nfirst", 1: "no marks here", 2: f"second\n{plea} and more", 3: "third", 4: f"{lead}\nfirst", 5: plea, 6: quoted}
+    for sizes in ({}, {"pages_an_array": 1}, {"seeds_sent": 0}, {"pages_an_array": 2, "seeds_sent": 0}):
+        assert {r.page_id: r.text for r in html_text.main_text(pages, **sizes).collect()} == want
+    elsewhere = pages.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".com/")))
+    assert html_text.main_text(elsewhere).where("page_id = 1").first().text == f"{menu}\nno marks here"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the generated tables")
+@pytest.mark.parametrize("sizes", [{}, {"pages_an_array": 20}, {"pages_an_array": 20, "seeds_sent": 0}])
+def test_given_pages_half_without_marks(spark, sizes):
+    """One host; two thirds of the pages without marks, notices of ten words beside and inside articles: the rows of brute force."""
+    notice = lambda c: F.concat(F.lit("<div>"), F.concat_ws(" ", *[F.concat(F.lit(f"n{k}x"), c) for k in range(10)]), F.lit("</div>"))
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").withColumn("url", F.lit("http://one.host/")).withColumn("n", F.pmod("page_id", F.lit(7)).cast("string"))
+    pages = pages.withColumn("html", F.regexp_replace("html", "</article>", F.concat(notice(F.col("n")), F.lit("</article>"), notice(F.pmod("page_id", F.lit(5)).cast("string")))))
+    pages = pages.withColumn("html", F.when(F.col("page_id") % 3 > 0, F.regexp_replace("html", "(?i)<(/?)(article|main)", "<$1div")).otherwise(F.col("html"))).drop("n")
+    rows, outside, inside = {}, defaultdict(set), defaultdict(set)
+    for r in pages.collect():
+        every = html_text.blocks_of(r.html or "")
+        marked = any(x > 0 for _, x in every)
+        kept = [t.split(" ") for t, x in every if x > 0 or not marked]
+        beside = [w for t, x in every if x == 0 for w in t.split(" ")]
+        rows[r.page_id], own = (marked, kept), tuple(w for b in kept for w in b)
+        for stream, on in ((beside, outside), (own if marked else (), inside)):
+            for k in range(len(stream) - 7):
+                on[tuple(stream[k : k + 8])].add(own)
+    want = {}
+    for i, (marked, kept) in rows.items():
+        s, gone, out, at = [w for b in kept for w in b], set(), [], 0
+        for k in range(len(s) - 7):
+            if len(outside[key := tuple(s[k : k + 8])]) > 1 and (not marked or len(inside[key]) > 1):
+                gone.update(range(k, k + 8))
+        for b in kept:
+            left = [w for k, w in enumerate(b) if at + k not in gone]
+            if left:
+                out.append(" ".join(b if marked else left))
+            at += len(b)
+        want[i] = "\n".join(out or [" ".join(b) for b in kept if marked])
+    assert {r.page_id: r.text for r in html_text.main_text(pages, **sizes).collect()} == want
+    assert not any("n3x4" in t for t in want.values()) and {m for m, _ in rows.values()} == {True, False}
+
+
 # Decontamination against a large benchmark
 
 

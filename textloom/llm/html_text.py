@@ -1,8 +1,9 @@
 """Main text of web pages.
 
-Where a page marks its article (article, main, or such a role), the marks decide: what is in a marked element that is in no
-other one, with its titles and leads. Where no text is in such an element, the pages of its host decide: their token streams are concatenated, a suffix array finds long substrings that distinct pages repeat,
-and what these cover is boilerplate; only unique runs stay.
+The pages of a host decide together: what they have outside articles is concatenated as token streams, a suffix array finds
+long substrings that distinct pages repeat, and what these cover is boilerplate on every page of the host. Of a page that marks
+no article only unique runs stay. Where an article is marked (article, main, or such a role) the marks are the check that follows:
+what is in a marked element that is in no other one, with its titles and leads, is the text, without its blocks of boilerplate.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import scratch, tidy
 from .url_filter import host_and_path
 
-#: Substrings of so many tokens on two pages of a host are boilerplate; so many pages go into one suffix array.
+#: Substrings of so many tokens on two pages of a host are boilerplate; so many streams go into one suffix array.
 REPEAT_TOKENS, PAGES_AN_ARRAY = 8, 500
+#: Up to so many substrings are sent to the tasks, more are joined, with the same result.
+SEEDS_SENT = 1_000_000
 #: Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg canvas title textarea select object audio video math noframes".split())
@@ -162,120 +166,220 @@ def text_of(blocks: list[tuple[str, int]]) -> tuple[str, bool]:
     return "\n".join(marked or [t for t, _ in blocks]), bool(marked)
 
 
-def repeated(streams: list[list[str]], least: int = REPEAT_TOKENS) -> list[np.ndarray]:
-    """Which tokens of each stream lie in a substring of ``least`` tokens that another stream has as well.
+def _windows(streams: list[list[str]], owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where in the concatenated streams substrings of ``least`` tokens begin, sorted by substring; where a new one begins in
+    this order; the least and the greatest owner of a stream that has it.
 
     A suffix array of the concatenated streams, sorted by doubling as deep as ``least`` tokens; neighbours in it that
     agree to this depth are the repeats. Streams are set apart by tokens of their own.
     """
     ids: dict[str, int] = {}
-    flat, owner = [], []
+    flat = []
     for k, s in enumerate(streams):
         flat += [ids.setdefault(t, len(ids)) for t in s] + [-k - 1]
-        owner += [k] * (len(s) + 1)
-    rank = np.unique(np.array(flat), return_inverse=True)[1].astype(np.int64)
-    own, n, depth = np.array(owner), len(flat), 1
+    sizes = np.array([len(s) + 1 for s in streams], np.int64)
+    rank = np.unique(np.array(flat, np.int64), return_inverse=True)[1].astype(np.int64)
+    n, depth = len(flat), 1
     while depth < least:
         step = min(depth, least - depth)
         then = np.full(n, -1, np.int64)
-        then[: n - step] = rank[step:]
+        then[: max(n - step, 0)] = rank[step:]
         suffixes = np.lexsort((then, rank))
         new = np.concatenate([[0], np.cumsum((rank[suffixes][1:] != rank[suffixes][:-1]) | (then[suffixes][1:] != then[suffixes][:-1]))])
-        rank[suffixes] = new
+        rank[suffixes] = new[:n]
         depth += step
-    suffixes = np.lexsort((own, rank))
-    start = np.flatnonzero(np.concatenate([[True], np.diff(rank[suffixes]) != 0]))
-    size = np.diff(np.concatenate([start, [n]]))
-    shared = np.repeat(own[suffixes[start]] != own[suffixes[start + size - 1]], size)
-    covered = np.zeros(n + 1, np.int64)
-    at = suffixes[shared]
-    np.add.at(covered, at, 1)
-    np.subtract.at(covered, np.minimum(at + least, n), 1)
-    inside = np.cumsum(covered[:-1]) > 0
+    at = np.flatnonzero(np.arange(n) + least < np.repeat(np.cumsum(sizes), sizes))
+    own = np.repeat(owners, sizes)[at]
+    order = np.lexsort((own, rank[at]))
+    at, own = at[order], own[order]
+    start = np.flatnonzero(np.diff(rank[at], prepend=-1))
+    return at, start, own[start], own[np.append(start, len(at))[1:] - 1]
+
+
+def _covered(n: int, at: np.ndarray, least: int) -> np.ndarray:
+    """Which of ``n`` tokens are in a substring of ``least`` tokens that begins at one of these places."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.subtract.at(steps, np.minimum(at + least, n), 1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def repeated(streams: list[list[str]], least: int = REPEAT_TOKENS) -> list[np.ndarray]:
+    """Which tokens of each stream lie in a substring of ``least`` tokens that another stream has as well."""
+    at, start, low, high = _windows(streams, np.arange(len(streams)), least)
+    sizes = np.diff(np.append(start, len(at)))
+    inside = _covered(sum(len(s) + 1 for s in streams), at[np.repeat(low != high, sizes)], least)
     cuts = np.cumsum([0, *(len(s) + 1 for s in streams)])
     return [inside[a : b - 1] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x)
+
+
+def _seeds(tokens: list[str], host: str | None, least: int, known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each ``least`` tokens in a row, and of the host; ``known`` keeps the hashes of tokens."""
+    n = len(tokens) - least + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    for t in tokens:
+        if t not in known:
+            known[t] = _hash(t)
+    each, out = np.array([known[t] for t in tokens], np.uint64), np.zeros(n, np.uint64)
+    for k in range(least):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
+    return (out ^ np.uint64(_hash(host or ""))).view(np.int64)
+
+
+#: Tokens whose hashes a task keeps, and pages whose seeds it makes at once.
+KNOWN, ROWS = 200_000, 500
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of each page, one a line, whether they are marked, and the digest of its tokens: pages with the same tokens are one."""
+    """The blocks of each page, one a line, whether they are marked, the digest of their tokens (pages with the same ones are one), and the text beside marked elements."""
     for b in batches:
-        found = [text_of(blocks_of(p.as_py() or "")) for p in b.column(3)]
+        blocks = [blocks_of(p.as_py() or "") for p in b.column(3)]
+        found = [text_of(x) for x in blocks]
         digests = [hashlib.sha256(" ".join(x.split()).encode()).digest() for x, _ in found]
-        columns = [pa.array(digests, pa.binary()), pa.array([x for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["page_id", "url", "host", "own", "blocks", "marked"])
+        beside = ["\n".join(t for t, r in x if m and r == BODY) for x, (_, m) in zip(blocks, found, strict=True)]
+        columns = [pa.array(digests, pa.binary()), pa.array([x for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.bool_()), pa.array(beside, pa.string())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["page_id", "url", "host", "own", "blocks", "marked", "beside"])
 
 
-def _streams(t: pa.Table) -> tuple[list[list[str]], list[list[str]]]:
-    """The blocks of each page, and its tokens."""
-    pages = [x.split("\n") if x else [] for x in t.column("blocks").to_pylist()]
-    return pages, [[w for x in blocks for w in x.split(" ")] for blocks in pages]
+def _array(least: int) -> Callable:
+    """The substrings of one array's streams, by seed, with the least and the greatest owner: of a host's only array those that two have."""
 
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        streams = [re.split("[ \n]", x) for x in t.column("stream").to_pylist()]
+        at, start, low, high = _windows(streams, np.asarray(t.column("owner").combine_chunks()), least)
+        known: dict[str, int] = {}
+        seeds = [np.append(_seeds(s, key[0].as_py(), least, known), np.zeros(min(least, len(s) + 1), np.int64)) for s in streams]
+        sent = (low != high) | (key[2].as_py() > 1)
+        return pa.table({"seed": np.concatenate(seeds)[at[start]][sent], "low": low[sent], "high": high[sent]})
 
-def _seeds(stream: list[str], least: int) -> np.ndarray:
-    """The XXH64 of each ``least`` tokens in a row."""
-    return np.array([xxhash.xxh64_intdigest(" ".join(stream[k : k + least])) for k in range(len(stream) - least + 1)], np.uint64).view(np.int64)
+    return run
 
 
-def _single(least: int) -> Callable:
-    """The seeds of one array, and on how many of its pages each is (two stands for more)."""
+def _has(sorted_seeds: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    if not len(sorted_seeds):
+        return np.zeros(len(seeds), bool)
+    return sorted_seeds[np.minimum(np.searchsorted(sorted_seeds, seeds), len(sorted_seeds) - 1)] == seeds
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        own = [np.unique(_seeds(s, least)) for s in _streams(t)[1]]
-        seeds, pages = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
-        n = len(seeds)
-        return pa.table({"host": pa.array([key[0].as_py()] * n, pa.string()), "array": pa.array([key[1].as_py()] * n, pa.int64()), "seed": pa.array(seeds), "pages": pa.array(np.minimum(pages, 2))})
 
-    return run
+def _words(blocks: str) -> list[list[str]]:
+    return [x.split(" ") for x in blocks.split("\n")] if blocks else []
+
+
+def _without(pages: list[list[str]], gone: np.ndarray, marked: bool) -> str:
+    """The blocks of a page without what is gone: of a marked one whole blocks, if any stays."""
+    at, kept = 0, []
+    for words in pages:
+        mask = gone[at : at + len(words)]
+        if marked:
+            kept += [] if mask.all() else [" ".join(words)]
+        elif left := [w for w, x in zip(words, mask.tolist(), strict=True) if not x]:
+            kept.append(" ".join(left))
+        at += len(words)
+    return "\n".join(kept or ([" ".join(x) for x in pages] if marked else []))
 
 
-_TEXTS = "at_host string, digest binary, text string"
+def _asked(least: int, sent: Broadcast | None) -> Callable:
+    """host, own, marked, owner and seed of each substring of the pages' own text, or of those whose seeds were sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            if len(known) > KNOWN:
+                known.clear()
+            seeds = [np.unique(_seeds([w for x in _words(t) for w in x], h, least, known)) for h, t in zip(b.column("host").to_pylist(), b.column("blocks").to_pylist(), strict=True)]
+            if sent is not None:
+                seeds = [x[_has(sent.value[0], x)] for x in seeds]
+            rows = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+            columns = [b.column(x).take(pa.array(rows)) for x in ("host", "own", "marked", "owner")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(0, np.int64), *seeds]))], names=["host", "own", "marked", "owner", "seed"])
+
+    return run
 
 
-def _unmarked(least: int) -> Callable:
-    def run(t: pa.Table, elsewhere: pa.Table) -> pa.Table:
-        pages, streams = _streams(t)
-        seeds, texts = np.asarray(elsewhere.column("seed").combine_chunks()), []
-        for blocks, stream, inside in zip(pages, streams, repeated(streams, least), strict=True):
-            if len(seeds):
-                for k in np.flatnonzero(np.isin(_seeds(stream, least), seeds)):
-                    inside[k : k + least] = True
-            at, kept = 0, []
-            for x in blocks:
-                words = x.split(" ")
-                if left := [w for w, gone in zip(words, inside[at : at + len(words)].tolist(), strict=True) if not gone]:
-                    kept.append(" ".join(left))
-                at += len(words)
-            texts.append("\n".join(kept))
-        return pa.table({"at_host": t.column("host"), "digest": t.column("own"), "text": pa.array(texts, pa.string())})
+def _texts(least: int, sent: Broadcast | None) -> Callable:
+    """page_id, url and the text of each page, without the substrings whose seeds were sent, or are its own ``seeds``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            if len(known) > KNOWN:
+                known.clear()
+            texts, own = [], None if sent is not None else b.column("seeds")
+            for k, (host, blocks, marked) in enumerate(zip(*(b.column(x).to_pylist() for x in ("host", "blocks", "marked")), strict=True)):
+                pages = _words(blocks)
+                tokens = [w for x in pages for w in x]
+                if own is None:
+                    gone = sent.value[int(marked)]
+                else:
+                    gone = np.sort(np.asarray(own[k].values)) if own[k].is_valid else np.zeros(0, np.int64)
+                at = np.flatnonzero(_has(gone, _seeds(tokens, host, least, known))) if len(gone) else gone
+                texts.append(_without(pages, _covered(len(tokens), at, least), marked) if len(at) else blocks)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
 
 
-def main_text(pages: DataFrame, least: int = REPEAT_TOKENS, pages_an_array: int = PAGES_AN_ARRAY) -> DataFrame:
+_ASKED, _TEXT = "host string, own binary, marked boolean, owner long, seed long", "page_id long, url string, text string"
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The seeds that two owners have."""
+    return rows.groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("seed")
+
+
+def _sent(seeds: DataFrame) -> np.ndarray:
+    return np.sort(np.asarray(seeds.toArrow().column("seed").combine_chunks()))
+
+
+def main_text(pages: DataFrame, least: int = REPEAT_TOKENS, pages_an_array: int = PAGES_AN_ARRAY, seeds_sent: int = SEEDS_SENT) -> DataFrame:
     """One row per page: page_id, url, text (blocks joined by line ends, empty if none), n_chars (code points).
 
     Character references are decoded once, white space inside a block becomes one space. Null html is empty. Pages are
-    parsed once and their blocks written down. Those without text in a marked region are dealt by host into suffix arrays of about ``pages_an_array`` pages, so that a host with
-    a third of all pages does not land in one task; what an array's pages share with other arrays of their host is found by
-    hashes of ``least`` tokens, so the arrays' size does not change the text. Pages without a host share the empty one.
-    Pages of a host with the same tokens are one page, however many rows they are, and all of these rows get its text. An
-    empty table gives an empty result. Other columns than page_id, url and html are not read; long pages are read whole.
+    parsed once and their blocks written down. What every page, marked or not, has outside marked elements is dealt by host
+    into suffix arrays of about ``pages_an_array`` streams, so that a host with a third of all pages does not land in one task;
+    owners of a substring of ``least`` tokens are brought together over the arrays of their host by a hash, so the arrays' size
+    does not change the text. A substring that two pages have there is boilerplate of the host; menus and the like do not count,
+    since they are out already and adverts and footers quote articles. A page without marks loses all that boilerplate covers. A
+    marked page loses blocks that are covered whole, by boilerplate that is in another article as well: what is in one article
+    alone is that article's, however many pages quote it; an article of nothing else stays. What articles alone share is text,
+    since articles have copies. Pages of a host whose own text has the same tokens are one page, however many rows they are.
+    Pages without a host share the empty one. An empty table gives an empty result. Other columns than page_id, url and html
+    are not read; long pages are read whole.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.select("page_id", "url", host_and_path(F.col("url"))[0].alias("host"), "html")
-    parsed = scratch(rows.mapInArrow(tidy(_parsed), "page_id long, url string, host string, own binary, blocks string, marked boolean"), "pages")
-    as_text = ["page_id", "url", F.col("blocks").alias("text"), F.length("blocks").cast("bigint").alias("n_chars")]
-    done, open_ = parsed.where("marked").select(*as_text), parsed.where("not marked")
-    if open_.isEmpty():
-        return done
-    distinct = open_.groupBy("host", "own").agg(F.min("blocks").alias("blocks"))
-    arrays = distinct.groupBy("host").agg(F.ceil(F.count("*") / pages_an_array).alias("arrays")).withColumnRenamed("host", "of")
-    dealt = distinct.join(arrays, F.col("host") == F.col("of")).withColumn("array", F.pmod(F.xxhash64("own"), F.col("arrays")))
-    keys = ["host", "array"]
-    # Seeds on one page of their array and on a page of another one; what an array repeats itself its suffix array finds.
-    seeds = dealt.where("arrays > 1").select("blocks", *keys).groupBy(*keys).applyInArrow(_single(least), "host string, array long, seed long, pages long")
-    over = seeds.groupBy("host", "seed").agg(F.sum("pages").alias("total")).where("total > 1").select(F.col("host").alias("of_host"), F.col("seed").alias("of_seed"))
-    elsewhere = seeds.where("pages = 1").join(over, (F.col("host") == F.col("of_host")) & (F.col("seed") == F.col("of_seed"))).select(*keys, "seed")
-    texts = dealt.select("own", "blocks", *keys).groupBy(*keys).cogroup(elsewhere.groupBy(*keys)).applyInArrow(_unmarked(least), _TEXTS)
-    found = open_.select("page_id", "url", "host", "own").join(texts, (F.col("host") == F.col("at_host")) & (F.col("own") == F.col("digest")))
-    return done.union(found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")))
+    parsed = scratch(rows.mapInArrow(tidy(_parsed), "page_id long, url string, host string, own binary, blocks string, marked boolean, beside string"), "pages")
+    parsed = parsed.withColumn("owner", F.xxhash64("own"))
+    outside = parsed.select("host", "owner", F.when(F.col("marked"), F.col("beside")).otherwise(F.col("blocks")).alias("stream"))
+    streams = outside.where(F.size(F.split("stream", "[ \\n]")) >= least).distinct()
+    arrays = streams.groupBy("host").agg(F.ceil(F.count("*") / pages_an_array).alias("arrays")).withColumnRenamed("host", "of")
+    dealt = streams.join(arrays, F.col("host").eqNullSafe(F.col("of"))).withColumn("array", F.pmod(F.xxhash64("stream"), F.col("arrays")))
+    found = dealt.select("owner", "stream", "host", "array", "arrays").groupBy("host", "array", "arrays").applyInArrow(_array(least), "seed long, low long, high long")
+    shared = scratch(_shared(found), "boilerplate")
+    n = shared.count()
+    if n == 0:
+        return _counted(parsed.select("page_id", "url", F.col("blocks").alias("text")))
+    own = parsed.select("host", "own", "marked", "owner", "blocks")
+    sc = pages.sparkSession.sparkContext
+    if n <= seeds_sent:
+        sent = sc.broadcast([_sent(shared)])
+        articles = own.where("marked").mapInArrow(tidy(_asked(least, sent)), _ASKED)
+        in_articles = _shared(articles.withColumns({"low": F.col("owner"), "high": F.col("owner")}))
+        gone = sc.broadcast([sent.value[0], _sent(in_articles)])
+        return _counted(parsed.select("page_id", "url", "host", "blocks", "marked").mapInArrow(tidy(_texts(least, gone)), _TEXT))
+    asked = scratch(own.distinct().mapInArrow(tidy(_asked(least, None)), _ASKED).join(shared, "seed"), "covered")
+    in_articles = _shared(asked.where("marked").withColumns({"low": F.col("owner"), "high": F.col("owner")}))
+    lost = asked.where("not marked").unionByName(asked.where("marked").join(in_articles, "seed", "left_semi"))
+    lost = lost.groupBy(*(F.col(x).alias(f"at_{x}") for x in ("host", "own", "marked"))).agg(F.collect_set("seed").alias("seeds"))
+    same = [F.col(x).eqNullSafe(F.col(f"at_{x}")) for x in ("host", "own", "marked")]
+    each = parsed.join(lost, same, "left").select("page_id", "url", "host", "blocks", "marked", "seeds")
+    return _counted(each.mapInArrow(tidy(_texts(least, None)), _TEXT))
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
